@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import chat, html, licenses, mixing, packing, quality, secrets
+from . import chat, html, licenses, mixing, packing, pii, quality, secrets
 from .common import pick, read_table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read_table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digest(read_table(spark, sf_dir, "documents"))
 
@@ -41,6 +44,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_packing": op2_packing,
     "op3_license_scan": op3_license_scan,
     "op4_chat_format": op4_chat_format,
