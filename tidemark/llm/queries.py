@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, licenses, mixing, packing, pii, quality, secrets
+from . import chat, embeddings, html, licenses, mixing, packing, pii, quality, secrets
 from .common import pick, read_table
 
 
@@ -31,6 +31,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_html(read_table(spark, sf_dir, "pages"))
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_chat_format": op4_chat_format,
     "op5_html_text": op5_html_text,
+    "op7_near_vectors": op7_near_vectors,
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
