@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embeddings, html, licenses, mixing, packing, pii, quality, secrets
+from . import chat, embeddings, html, jaccard, licenses, mixing, packing, pii, quality, secrets
 from .common import pick, read_table
 
 
@@ -31,6 +31,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_html(read_table(spark, sf_dir, "pages"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
 def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_chat_format": op4_chat_format,
     "op5_html_text": op5_html_text,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_near_vectors": op7_near_vectors,
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
