@@ -135,6 +135,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *,
     )
 
 
+def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **how) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as mix() takes it, with the same columns."""
+    mixed = mix(docs, id_col, source_col, **how)
+    n = len(docs.columns)
+    flat = mixed.toDF(*[f"c{i}" for i in range(n)], "size", "source_size", "target", "copies").filter("copies > 0")
+    flat = flat.select(*[f"c{i}" for i in range(n)], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return flat.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken: the words that mix() takes of each document."""
     sized = pick(docs, doc_id="doc_id", source="source", text="text").select("doc_id", "source", word_count(F.col("text")).alias("size"))
