@@ -1,5 +1,9 @@
 """Queries of the library's own operators and their DuckDB SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = ""
+from __future__ import annotations
+
+from .plans import registry, relations, tables  # noqa: F401
+
+QUERIES = registry.QUERIES
+ORACLE_SQL = registry.SQL
+FLAGSHIP = "hourly_rate_filled"
