@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import registry, relations, tables  # noqa: F401
+from .plans import learning, registry, relations, tables  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLE_SQL = registry.SQL
