@@ -231,3 +231,29 @@ def test_stream_equals_batch(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("out").outputMode("complete").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert rows(spark.table("out")) == rows(windows.tumbling(df, "t", "10 minutes", ["g"], "v"))
+
+
+def test_fills_keep_known_values(spark):
+    v = [None, 1.0, None, 3.0, 4.0, None, 6.0, None]
+    df = table(spark, [("s", i, x) for i, x in enumerate(v)], "s string, t long, v double")
+    for name, fill in series.FILLS.items():
+        got = [r.filled for r in fill(df, "s", "t", "v").orderBy("t").collect()]
+        assert all(g == x for g, x in zip(got, v) if x is not None), name
+        assert got[2] == pytest.approx(2, abs=1.0), name
+    assert [r.filled for r in series.spline_fill(df, "s", "t", "v").orderBy("t").collect()] == pytest.approx([1, 1, 2, 3, 4, 5, 6, 6])
+    cubic = table(spark, [("s", i, None if i == 4 else float((i - 4) ** 3)) for i in range(9)], "s string, t long, v double")
+    assert series.spline_fill(cubic, "s", "t", "v").filter("t = 4").first().filled == pytest.approx(0, abs=1e-9)
+
+
+def test_prepared_series(spark):
+    df = table(spark, [("s", t, v) for t, v in ((0, 1.0), (60, 900.0), (120, 3.0), (240, 5.0), (300, 50.0), (360, 7.0))], "s string, t long, v double")
+    lin = series.prepare(df, "s", "t", "v", 60, 100.0, "linear", lambda c: c > 20)
+    assert [r.filled for r in lin.orderBy("t").collect()] == [1, 2, 3, 4, 5, 6, 7]
+    assert series.prepare(df, "s", "t", "v", 60, 100.0, "skip").count() == 5
+
+
+def test_kernel_margin_beats_a_line_on_rings(spark):
+    a = generators.ring(spark, 150, 1.0, 0.05).withColumn("label", F.lit(0.0))
+    b = generators.ring(spark, 150, 3.0, 0.05, 9).withColumn("label", F.lit(1.0))
+    out = models.kernel_margin(a.unionByName(b), ["x", "y"], "label")
+    assert out.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0] > 0.95

@@ -174,3 +174,24 @@ def linear_leaf_forest(df: DataFrame, key: str, columns: list[str], label: str,
         return pd.Series(total / len(blobs))
 
     return rows.withColumn("prediction", predict(*xs)).select(key, F.col("_y").alias(label), "prediction")
+
+
+def fourier_features(df: DataFrame, columns: list[str], n: int, gamma: float, seed: int = 1, out: str = "features") -> DataFrame:
+    """Random Fourier features: their dot products approximate exp(-gamma |x - y|^2), so that a linear margin on them
+    stands in for a kernel machine. An expression of the columns, evaluated row by row."""
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(seed)
+    w, b = rng.normal(0, math.sqrt(2 * gamma), (n, len(columns))), rng.uniform(0, 2 * math.pi, n)
+    table = F.array(*[F.struct(F.array(*map(F.lit, map(float, w[i]))).alias("w"), F.lit(float(b[i])).alias("b")) for i in range(n)])
+    x = F.array(*[F.col(c).cast("double") for c in columns])
+    dot = lambda r: F.aggregate(F.zip_with(r["w"], x, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    return df.withColumn(out, array_to_vector(F.transform(table, lambda r: F.cos(dot(r) + r["b"]) * math.sqrt(2 / n))))
+
+
+def kernel_margin(df: DataFrame, columns: list[str], label: str, weight: str | None = None, n: int = 64, gamma: float = 0.5, seed: int = 1) -> DataFrame:
+    """The rows with a prediction (labels 0, 1) by a linear margin on random Fourier features; with row weights if given."""
+    f = fourier_features(df, columns, n, gamma, seed, "_f").cache()
+    how = {"weightCol": weight} if weight else {}
+    out = LinearSVC(featuresCol="_f", labelCol=label, maxIter=50, rawPredictionCol="_r", **how).fit(f).transform(f)
+    return out.drop("_f", "_r")

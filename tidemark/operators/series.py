@@ -89,3 +89,85 @@ def every_nth(df: DataFrame, series: str, at: str, n: int) -> DataFrame:
 def first_rows(df: DataFrame, series: str, at: str, columns: list[str]) -> DataFrame:
     """The first row of each series, without sorting any."""
     return df.groupBy(series).agg(F.min_by(F.struct(*columns), at).alias("r")).select(series, "r.*")
+
+
+def _in_numpy(df: DataFrame, series: str, at: str, value: str, out: str, fill) -> DataFrame:
+    """A series is one group; ``fill`` gets its values in order (NaN where missing) and returns them filled."""
+    import pandas as pd
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(at)
+        pdf[out] = fill(pdf[value].to_numpy(float)) if pdf[value].notna().any() else float("nan")
+        return pdf
+
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (series, at, value)}
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + f", {out} double"
+    return df.select(series, at, value).groupBy(series).applyInPandas(one, schema)
+
+
+def spline_fill(df: DataFrame, series: str, at: str, value: str, out: str = "filled") -> DataFrame:
+    """A natural cubic spline through the known values by position; beyond the ends the nearest holds."""
+    import numpy as np
+
+    def fill(v):
+        x = np.flatnonzero(~np.isnan(v)).astype(float)
+        y = v[~np.isnan(v)]
+        n, at_ = len(x), np.arange(len(v), dtype=float)
+        if n < 3:
+            return np.interp(at_, x, y)
+        h, m = np.diff(x), np.zeros(n)
+        # Second derivatives of the knots: one tridiagonal sweep down and one back.
+        diag, right = 2 * (h[:-1] + h[1:]), 6 * (np.diff(y[1:]) / h[1:] - np.diff(y[:-1]) / h[:-1])
+        for i in range(1, n - 2):
+            f = h[i] / diag[i - 1]
+            diag[i] -= f * h[i]
+            right[i] -= f * right[i - 1]
+        for i in range(n - 3, -1, -1):
+            m[i + 1] = (right[i] - (h[i + 1] * m[i + 2] if i < n - 3 else 0)) / diag[i]
+        t = np.clip(at_, x[0], x[-1])
+        k = np.clip(np.searchsorted(x, t, side="right") - 1, 0, n - 2)
+        a, b = x[k + 1] - t, t - x[k]
+        return (m[k] * a**3 + m[k + 1] * b**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * a + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * b
+
+    return _in_numpy(df, series, at, value, out, fill)
+
+
+def level_fill(df: DataFrame, series: str, at: str, value: str, ratio: float = 0.5, out: str = "filled") -> DataFrame:
+    """Missing values from a local-level Kalman filter and smoother. ``ratio``: level noise over sample noise."""
+    import numpy as np
+
+    def fill(v):
+        scale = max(float(np.nanvar(np.diff(v[~np.isnan(v)]))) if (~np.isnan(v)).sum() > 2 else 1.0, 1e-12)
+        r, q = scale / (2 + ratio), scale * ratio / (2 + ratio)
+        n, m, p = len(v), float(v[~np.isnan(v)][0]), 1e6 * scale
+        ms, ps = np.zeros(n), np.zeros(n)
+        for i in range(n):
+            p += q
+            if not np.isnan(v[i]):
+                g = p / (p + r)
+                m, p = m + g * (v[i] - m), (1 - g) * p
+            ms[i], ps[i] = m, p
+        for i in range(n - 2, -1, -1):
+            ms[i] += ps[i] / (ps[i] + q) * (ms[i + 1] - ms[i])
+        return np.where(np.isnan(v), ms, v)
+
+    return _in_numpy(df, series, at, value, out, fill)
+
+
+FILLS = {"linear": interpolate, "spline": spline_fill, "average": moving_average_fill, "level": level_fill}
+
+
+def prepare(df: DataFrame, series: str, at: str, value: str, step: int, threshold: float, method: str = "linear", outlier=None) -> DataFrame:
+    """Bad values to null, gaps filled with rows, then missing values by ``method``; 'skip' leaves them out.
+
+    ``outlier``: Column -> Column, true where a filled value is an outlier; those are filled anew.
+    """
+    df = fill_gaps(df.withColumn(value, bad_to_null(F.col(value), threshold)), series, at, value, step)
+    if method == "skip":
+        return df.filter(F.col(value).isNotNull()).withColumn("filled", F.col(value))
+    fill = FILLS[method]
+    out = fill(df, series, at, value)
+    if outlier is not None:
+        out = out.withColumn(value, F.when(~outlier(F.col("filled")), F.col("filled"))).drop("filled")
+        out = fill(out, series, at, value)
+    return out

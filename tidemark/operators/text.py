@@ -62,3 +62,12 @@ def json_messages(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, n, message: the elements of the array ``messages`` in a JSON text; bad JSON gives none."""
     m = F.from_json(F.get_json_object(text, "$.messages"), "array<string>")
     return df.select(key, F.posexplode(m).alias("n", "message"))
+
+
+def word_vectors(t: DataFrame, key: str, size: int = 32, reach: int = 5, least: int = 5, seed: int = 1) -> DataFrame:
+    """token, vector by MLlib's Word2Vec (skip-gram, a substitute for a continuous bag of words)."""
+    from pyspark.ml.feature import Word2Vec
+
+    lines = t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("s")).select(F.transform("s", lambda x: x["token"]).alias("words"))
+    m = Word2Vec(vectorSize=size, windowSize=reach, minCount=least, seed=seed, maxIter=1, inputCol="words", outputCol="v").fit(lines)
+    return m.getVectors().withColumnRenamed("word", "token")

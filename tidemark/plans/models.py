@@ -249,3 +249,42 @@ def model_comparison(t):
 def linear_leaf_forest(t):
     p = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_quantity", "l_discount", "l_extendedprice")
     return models.linear_leaf_forest(p, "k", ["l_quantity", "l_discount"], "l_extendedprice", 2, 300)
+
+
+@query()
+def spline_fill(t):
+    g = series.fill_gaps(hourly(t), "event_type", "tick", "v", 3600)
+    return series.spline_fill(g, "event_type", "tick", "v").select("event_type", "tick", "filled")
+
+
+@query()
+def level_fill(t):
+    g = series.fill_gaps(hourly(t), "event_type", "tick", "v", 3600)
+    return series.level_fill(g, "event_type", "tick", "v").select("event_type", "tick", "filled")
+
+
+@query()
+def prepared_series(t):
+    h = t.events.groupBy("event_type", F.unix_timestamp(F.date_trunc("hour", "ts").cast("timestamp")).alias("tick")).agg(F.avg("value").alias("v"))
+    return series.prepare(h, "event_type", "tick", "v", 3600, 80.0, "linear", lambda c: c > 60).select("event_type", "tick", "filled")
+
+
+@query()
+def kernel_margin(t):
+    o = t.orders.select("o_orderkey", (F.col("o_totalprice") / 100000).alias("p"), (F.col("o_custkey") % 7).cast("double").alias("c"), (F.col("o_totalprice") + 30000 * (F.col("o_custkey") % 7) > 300000).cast("double").alias("label"))
+    w = splits.balanced_weights(o, "label")
+    return models.kernel_margin(w, ["p", "c"], "label", "weight").groupBy("label", "prediction").agg(F.count("*").alias("n"))
+
+
+@query()
+def word_vectors(t):
+    from ..operators import text
+
+    return text.word_vectors(text.tokens(t.documents.filter("lang = 'en'"), "doc_id", "text"), "doc_id", 8)
+
+
+@query("""SELECT round(x, 6) AS x, round(y, 6) AS y FROM (SELECT i / 10.0::DOUBLE AS x FROM range(11) t(i)), (SELECT j / 10.0::DOUBLE AS y FROM range(11) u(j))""")
+def decision_mesh(t):
+    from ..sources.generators import mesh
+
+    return mesh(t.spark, 0.0, 1.0, 10).select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

@@ -24,3 +24,9 @@ def gaussians(spark: SparkSession, centers: list[tuple[float, float]], sizes: li
 
 def uniform_ints(spark: SparkSession, rows: int, columns: int, high: int, seed: int = 1) -> DataFrame:
     return spark.range(rows).select("id", *[F.floor(F.rand(seed + i) * high).cast("int").alias(f"c{i}") for i in range(columns)])
+
+
+def mesh(spark: SparkSession, low: float, high: float, steps: int) -> DataFrame:
+    """x, y of a square grid of (steps + 1) ** 2 points."""
+    at = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: low + i * (high - low) / steps)
+    return spark.range(1).select(F.explode(at).alias("x")).withColumn("y", F.explode(at))
