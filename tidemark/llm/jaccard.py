@@ -7,9 +7,11 @@
 3. Of the rest, texts with a common minimum of a permutation are compared with the least such text. Links found
    so join most near copies into components, with a few comparisons for each text.
 4. What remains is a partner in another component with a common prefix shingle, the frequent shingles being last in
-   order. For each such shingle a signature tree is built: leaves and inner nodes hold OR-combined bitmaps of
-   shingles, ranges of set sizes and the component if it is one. A dual traversal drops node pairs whose largest
-   possible overlap is too small, or that are one component already; what is left is verified on whole sets.
+   order. Texts that share such shingles form groups, one for each least component among them, and a signature tree
+   is built over a group: leaves and inner nodes hold OR-combined bitmaps of shingles, ranges of set sizes and the
+   component if it is one. A dual traversal drops node pairs whose largest possible overlap is too small, or that
+   are one component already; pairs of texts that are left are verified on whole sets, unless links found meanwhile
+   join their components. So a group yields fewer links than it has components, never its pairs.
 """
 
 from __future__ import annotations
@@ -20,19 +22,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, pick, staged, steps, text_bytes
+from .common import pick, staged, steps, text_bytes
 from .components import components
 
 #: Shingle length; two sets link when DEN * overlap >= NUM * (sum of sizes), which is J >= 0.8.
 WORDS, NUM, DEN = 5, 4, 9
-#: Permutations for the first links; bits of a signature; texts in a leaf and children of a node.
-PERMUTATIONS, BITS, LEAF, FAN = 4, 1024, 32, 8
+#: Permutations for the first links; least and most bits of a signature; texts in a leaf and children of a node.
+PERMUTATIONS, LEAST_BITS, MOST_BITS, LEAF, FAN = 4, 1024, 16384, 32, 8
 #: The most frequent prefix shingles, which come last in order: so many at most, each in so many texts of a bucket.
 MOST_FREQUENT, FREQUENT = 1_000_000, 32
 #: Rows (16 bytes or so each) up to which a table of keys is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
-#: Prefix shingles in a bucket, about; texts of one shingle in a block; rows in a group of shingles.
-PER_BUCKET, BLOCK, PER_GROUP = 1_000_000, 4096, 50_000
+BROADCAST_ROWS = 250_000
+#: Prefix shingles in a bucket, about; texts and shingles in a block of a large group; shingles that one task takes at
+#: a time, about.
+PER_BUCKET, BLOCK, BLOCK_SHINGLES, PER_TASK = 250_000, 2048, 1_000_000, 2_000_000
+#: Text bytes that are hashed at a time.
+STEP_BYTES = 2 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _C = np.uint64(0x9E3779B97F4A7C15)
 _NONE = 0xFFFF
@@ -46,7 +51,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -199,7 +204,7 @@ def _tokens(s: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
-    """node, n, set (sorted hashes), minima, bitmap of rows (text)."""
+    """node, n, set (sorted hashes), minima of rows (text)."""
     mult = [np.uint64(2 * x + 1) for x in range(0x51ED27, 0x51ED27 + PERMUTATIONS)]
 
     def run(batches):
@@ -210,17 +215,24 @@ def whole_sets(docs: DataFrame) -> DataFrame:
                 sets = [s for s in shingle_sets(texts[part], known) if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
-                     pa.array([[int(_mix(s * m).min().astype(np.int64)) for m in mult] for s in sets], pa.list_(pa.int64())), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())],
-                    names=["node", "n", "set", "minima", "bitmap"],
+                     pa.array([[int(_mix(s * m).min().astype(np.int64)) for m in mult] for s in sets], pa.list_(pa.int64()))],
+                    names=["node", "n", "set", "minima"],
                 )
 
-    return docs.select("text").mapInArrow(run, "node long, n long, set binary, minima array<long>, bitmap binary")
+    return docs.select("text").mapInArrow(run, "node long, n long, set binary, minima array<long>")
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(s >> np.uint64(7)) & np.uint64(BITS - 1)] = 1
-    return np.packbits(bits).view(np.uint64)
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of 64-bit words a set; wide enough for the largest set to leave bits free, within limits."""
+    width = LEAST_BITS
+    while width < MOST_BITS and width < 2 * max(map(len, sets)):
+        width *= 2
+    out = np.zeros((len(sets), width // 8), np.uint8)
+    for row, s in zip(out, sets, strict=True):
+        bits = np.zeros(width, np.uint8)
+        bits[(s >> np.uint64(7)) & np.uint64(width - 1)] = 1
+        row[:] = np.packbits(bits)
+    return out.view(np.uint64)
 
 
 def _near(df: DataFrame, rows: int) -> DataFrame:
@@ -248,10 +260,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 if turn == 0:
                     now, held = b, np.frombuffer(s, np.uint64)
                 elif now == b:
-                    mine = np.frombuffer(s, np.uint64)
-                    both = np.concatenate([held, mine])
-                    both.sort(kind="stable")  # merges the two runs
-                    if DEN * int((both[1:] == both[:-1]).sum()) >= NUM * len(both):
+                    if linked(held, np.frombuffer(s, np.uint64)):
                         out.append((v, b))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
@@ -292,41 +301,64 @@ def may_link(low_a, high_a, slack_a, low_b, high_b, slack_b, common):
     return (5 * high_a >= 4 * low_b) & (5 * high_b >= 4 * low_a) & (DEN * (np.minimum(slack_a, slack_b) + common) >= NUM * (low_a + low_b))
 
 
-def tree_join(sizes: np.ndarray, bits: np.ndarray, label: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
-    """Pairs (i, j) of texts with different labels that may link; with ``side`` only pairs of unlike sides."""
-    order = np.argsort(sizes, kind="stable")
-    sizes, bits, label = sizes[order], bits[order], label[order]
-    side = None if side is None else side[order]
-    tree, found = Tree(sizes, bits, label), []
-    pop = np.bitwise_count(bits).sum(1, dtype=np.int64)
-    top = len(tree.levels) - 1
+def tree_join(sizes: np.ndarray, bits: np.ndarray, label: np.ndarray, side: np.ndarray | None = None):
+    """Arrays of pairs (i, j) of texts with different labels that may link, a pair of leaves at a time, the most common
+    bits first; with ``side`` only pairs of unlike sides. ``label`` may change meanwhile: equal labels are left out."""
+    order = np.lexsort((sizes, label))  # texts of a component are alike in size and bits
+    n = sizes[order]
+    bits = bits[order]
+    tree = Tree(n, bits, label[order])
+    slack = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
     a = b = np.zeros(1, np.int64)
-    for level in range(top, -1, -1):
-        sig, low, high, slack, one, same = tree.levels[level]
+    for level in range(len(tree.levels) - 1, -1, -1):
+        sig, low, high, most, one, same = tree.levels[level]
         keep = []
-        for s in range(0, len(a), 1 << 14):
-            x, y = a[s : s + (1 << 14)], b[s : s + (1 << 14)]
+        for s in range(0, len(a), 1 << 12):
+            x, y = a[s : s + (1 << 12)], b[s : s + (1 << 12)]
             common = np.bitwise_count(sig[x] & sig[y]).sum(1, dtype=np.int64)
-            keep.append(may_link(low[x], high[x], slack[x], low[y], high[y], slack[y], common) & ~(same[x] & same[y] & (one[x] == one[y])))
+            keep.append(may_link(low[x], high[x], most[x], low[y], high[y], most[y], common) & ~(same[x] & same[y] & (one[x] == one[y])))
         keep = np.concatenate(keep) if keep else np.zeros(0, bool)
         a, b = a[keep], b[keep]
         if not level or not len(a):
             break
-        n = len(tree.levels[level - 1][1])
+        below = len(tree.levels[level - 1][1])
         i = (a[:, None] * FAN + np.arange(FAN)).repeat(FAN, 1)
         j = np.tile(b[:, None] * FAN + np.arange(FAN), (1, FAN))
-        ok = (i < n) & (j < n) & (i <= j)
+        ok = (i < below) & (j < below) & (i <= j)
         a, b = i[ok], j[ok]
     for p, q in zip(a.tolist(), b.tolist(), strict=True):
-        i, j = np.arange(p * LEAF, min(len(sizes), (p + 1) * LEAF)), np.arange(q * LEAF, min(len(sizes), (q + 1) * LEAF))
-        common = np.bitwise_count(bits[i][:, None] & bits[j][None]).sum(2, dtype=np.int64)
-        n, m, t, u = sizes[i][:, None], sizes[j][None], (sizes - pop)[i][:, None], (sizes - pop)[j][None]
-        ok = may_link(n, n, t, m, m, u, common) & (label[i][:, None] != label[j][None]) & (i[:, None] < j[None])
+        i, j = np.arange(p * LEAF, min(len(n), (p + 1) * LEAF)), np.arange(q * LEAF, min(len(n), (q + 1) * LEAF))
+        ok = (label[order[i]][:, None] != label[order[j]][None]) & (i[:, None] < j[None])
         if side is not None:
-            ok &= side[i][:, None] != side[j][None]
+            ok &= side[order[i]][:, None] != side[order[j]][None]
+        if not ok.any():
+            continue
+        common = np.bitwise_count(bits[i][:, None] & bits[j][None]).sum(2, dtype=np.int64)
+        ok &= may_link(n[i][:, None], n[i][:, None], slack[i][:, None], n[j][None], n[j][None], slack[j][None], common)
         x, y = np.nonzero(ok)
-        found.append(np.stack([i[x], j[y]], 1))
-    return order[np.concatenate(found)] if found else np.zeros((0, 2), np.int64)
+        best = np.argsort(NUM * (n[i[x]] + n[j[y]]) - DEN * common[x, y], kind="stable")
+        yield np.stack([order[i[x[best]]], order[j[y[best]]]], 1)
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")  # merges the two runs
+    return DEN * int((both[1:] == both[:-1]).sum()) >= NUM * len(both)
+
+
+def join_group(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between texts of different labels that join all the components which the group's links join.
+
+    A link makes its two labels one at once, so later pairs of theirs aren't looked at.
+    """
+    label, out = label.copy(), []
+    for pairs in tree_join(np.array([len(s) for s in sets], np.int64), bitmaps(sets), label, side):
+        for i, j in pairs.tolist():
+            u, v = label[i], label[j]
+            if u != v and linked(sets[i], sets[j]):
+                label[label == max(u, v)] = min(u, v)
+                out.append((i, j))
+    return out
 
 
 def other_links(sets: DataFrame, parts: DataFrame, frequent: np.ndarray, times: np.ndarray, buckets: int) -> DataFrame:
@@ -354,40 +386,40 @@ def other_links(sets: DataFrame, parts: DataFrame, frequent: np.ndarray, times:
     known = parts.select(F.col("node").alias("p"), "component")
     rows = sets.select("node", "set").mapInArrow(prefixes, "node long, tok long").join(_near(known, known.count()), F.col("node") == F.col("p"), "left")
     rows = staged(rows.select("tok", "node", F.coalesce("component", "node").alias("label")), "jaccard-prefixes")
-    groups = rows.groupBy("tok").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c")).filter("low <> high")
-    groups = staged(groups.select(F.col("tok").alias("g"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"), "c"), "jaccard-groups")
-    count, total = groups.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    bins = max(1, total // PER_GROUP)
-    some = rows.join(_near(groups, count), F.col("tok") == F.col("g"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    some = some.withColumn("mine", mine)
+    groups = rows.groupBy("tok").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    groups = staged(groups.select(F.col("tok").alias("g"), "low"), "jaccard-groups")
+    some = rows.join(_near(groups, groups.count()), F.col("tok") == F.col("g")).select("low", "node", "label").distinct()
+    some = staged(some, "jaccard-members")
+    some = some.join(sets.select(F.col("node").alias("s"), "n"), F.col("node") == F.col("s"))
+    counts = some.groupBy(F.col("low").alias("of")).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    some = some.join(counts, F.col("low") == F.col("of")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     ij = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
-    some = some.select("tok", "node", "label", "mine", F.inline(ij)).withColumn("bin", F.pmod(F.xxhash64("tok", "i", "j"), F.lit(bins)))
-    some = some.join(sets.select(F.col("node").alias("s"), "n", "bitmap"), F.col("node") == F.col("s")).drop("s")
+    some = staged(some.select("low", "node", "label", "n", "mine", F.inline(ij)), "jaccard-dealt")
+    n, total = some.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    some = some.withColumn("bin", F.pmod(F.xxhash64("low", "i", "j"), F.lit(max(1, total // PER_TASK)))).drop("n")
+    some = sets.select("set", F.col("node").alias("s")).join(_near(some, n), F.col("node") == F.col("s")).drop("s")
 
     def run(key, table):
-        tok, node, label, i, j, mine, n = (table.column(c).to_numpy() for c in ("tok", "node", "label", "i", "j", "mine", "n"))
-        bits = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(len(n), -1)
-        order = np.lexsort((node, j, i, tok))
-        new = np.r_[True, (tok[order][1:] != tok[order][:-1]) | (i[order][1:] != i[order][:-1]) | (j[order][1:] != j[order][:-1])]
-        edges = np.r_[np.flatnonzero(new), len(order)]
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        low, node, label, i, j, mine = (table.column(c).to_numpy() for c in ("low", "node", "label", "i", "j", "mine"))
+        held = table.column("set")
+        order = np.lexsort((node, j, i, low))
+        same = (low[order][1:] == low[order][:-1]) & (i[order][1:] == i[order][:-1]) & (j[order][1:] == j[order][:-1])
+        edges = np.r_[0, np.flatnonzero(~same) + 1, len(order)]
+        a, b = [], []
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             at = order[s:e]
-            if e - s < 2:
-                continue
-            pairs = tree_join(n[at], bits[at], label[at], None if i[at[0]] == j[at[0]] else mine[at])
-            a.append(node[at[pairs[:, 0]]])
-            b.append(node[at[pairs[:, 1]]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+            if e - s > 1:
+                got = join_group([np.frombuffer(held[int(k)].as_py(), np.uint64) for k in at], label[at], None if i[at[0]] == j[at[0]] else mine[at])
+                a += [int(node[at[x]]) for x, _ in got]
+                b += [int(node[at[y]]) for _, y in got]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return verify(some.groupBy("bin").applyInArrow(run, "a long, b long").distinct(), sets)
+    return some.groupBy("bin").applyInArrow(run, "a long, b long").distinct()
 
 
-def classify(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of id and text), n, node, component (of nodes; null without shingles) of rows (doc_id, text)."""
+def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key, n, node) of rows (doc_id, text), and (node, best): of each class, the row (doc_id, key) that
+    stands for its component, the least. Texts without shingles have no node."""
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << max(6, min(16, round(np.log2(max(1, size / 15 / PER_BUCKET)))))
@@ -396,10 +428,12 @@ def classify(docs: DataFrame) -> DataFrame:
     shared = met.filter("node is not null").select("node", "shared", "need")
     shared = shared.unionByName(first.filter("node2 is not null").select(F.col("node2").alias("node"), "shared", F.col("need2").alias("need")))
     left = shared.groupBy("node").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select(F.col("node").alias("l"))
-    texts = first.filter("node is not null").select("node", "key")
-    # One text stands for its class.
-    stand = staged(texts.join(left, F.col("node") == F.col("l"), "left_semi").groupBy("node").agg(F.min("key").alias("stand")), "jaccard-stand")
-    sets = docs.join(_near(stand.select("stand"), stand.count()), F.col("key") == F.col("stand"), "left_semi")
+    rows = first.filter("key is not null").select("doc_id", "key", "n", "node")
+    # One row stands for its class.
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    classes = staged(rows.filter("node is not null").groupBy("node").agg(F.min(row).alias("best")), "jaccard-classes")
+    stand = staged(classes.join(left, F.col("node") == F.col("l"), "left_semi").select(F.col("best.key").alias("stand")), "jaccard-stand")
+    sets = docs.join(_near(stand, stand.count()), F.col("key") == F.col("stand"), "left_semi")
     sets = staged(whole_sets(sets), "jaccard-sets")
     often = met.filter("times > 0").orderBy(F.desc("times"), "token").limit(MOST_FREQUENT).select("token", "times").toArrow()
     token, times = (often.column(c).to_numpy() for c in ("token", "times"))
@@ -407,8 +441,10 @@ def classify(docs: DataFrame) -> DataFrame:
     links = staged(first_links(sets), "jaccard-links")
     more = staged(other_links(sets, components(links), token[order], times[order], buckets), "jaccard-more")
     parts = components(links.unionByName(more)).select(F.col("node").alias("p"), "component")
-    rows = first.filter("key is not null").select("doc_id", "key", "n", "node")
-    return rows.join(parts, F.col("node") == F.col("p"), "left").select("doc_id", "key", "n", "node", F.coalesce("component", "node").alias("component"))
+    grown = staged(classes.join(parts, F.col("node") == F.col("p")).select("node", "component", "best"), "jaccard-grown")
+    least = grown.groupBy(F.col("component").alias("c")).agg(F.min("best").alias("least"))
+    grown = grown.join(least, F.col("component") == F.col("c")).select(F.col("node").alias("p"), "least")
+    return rows, classes.join(grown, F.col("node") == F.col("p"), "left").select("node", F.coalesce("least", "best").alias("best"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -418,10 +454,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows are copies of each other; a null id is a document, but no component's least id unless it is alone. An empty
     table gives an empty result.
     """
-    rows = classify(pick(docs, doc_id=id_col, text=text_col))
-    least = rows.filter("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("doc_id").alias("least"))
-    rows = rows.join(least, F.col("component") == F.col("c"), "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    rows, best = classify(pick(docs, doc_id=id_col, text=text_col))
+    best = best.select(F.col("node").alias("v"), "best")
+    rows = rows.join(staged(best, "jaccard-best"), F.col("node") == F.col("v"), "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -432,9 +468,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     names = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
     ident, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
-    rows = staged(classify(flat.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"))).filter("component is not null"), "jaccard-rows")
-    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "key")).alias("best"))
-    marked = rows.join(best, "component").select("key", F.col("best.key").alias("stays"))
+    rows, best = classify(flat.select(F.col(ident).alias("doc_id"), F.col(text).alias("text")))
+    best = staged(best.select(F.col("node").alias("v"), F.col("best.key").alias("stays")), "jaccard-best")
+    marked = staged(rows.join(best, F.col("node") == F.col("v")).select("key", "stays"), "jaccard-marked")
     gone = staged(marked.filter("key <> stays").select(F.col("key").alias("gone")).distinct(), "jaccard-gone")
     twice = staged(marked.filter("key = stays").groupBy(F.col("key").alias("twice")).count().filter("count > 1").select("twice"), "jaccard-twice")
     keyed = flat.withColumn("key", F.xxhash64(ident, text))
