@@ -45,7 +45,7 @@ def silhouette(df: DataFrame, key: str, array: str, label: str) -> DataFrame:
     """
     labels = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_size"))
     sums = _blocks(df.select(F.col(key).alias("id"), F.col(array).cast("array<double>").alias("x"), F.col(label).cast("string").alias("g")), _label_sums, "id long, g string, other string, total double")
-    s = sums.groupBy("id", "g", "other").agg(F.sum("total").alias("total")).join(F.broadcast(labels.select(F.col("_l").cast("string").alias("other"), "_size")), "other")
+    s = sums.groupBy("id", "g", "other").agg(F.sum("total").alias("total")).join(labels.select(F.col("_l").cast("string").alias("other"), "_size"), "other")
     own = F.col("other") == F.col("g")
     mean = F.when(own, F.col("total") / F.nullif(F.col("_size") - 1, F.lit(0))).otherwise(F.col("total") / F.col("_size"))
     r = s.withColumn("mean", mean).groupBy("id", "g").agg(F.max(F.when(own, F.col("mean"))).alias("a"), F.min(F.when(~own, F.col("mean"))).alias("b"))

@@ -44,13 +44,13 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     """n / (classes * n of the class). Only the counts by class are joined back."""
     n = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
     n = n.crossJoin(F.broadcast(n.agg(F.sum("_n").alias("_t"), F.count("*").alias("_k"))))
-    return df.join(F.broadcast(n.select("_l", (F.col("_t") / (F.col("_k") * F.col("_n"))).alias(out))), F.col(label) == F.col("_l")).drop("_l")
+    return df.join(n.select("_l", (F.col("_t") / (F.col("_k") * F.col("_n"))).alias(out)), F.col(label) == F.col("_l")).drop("_l")
 
 
 def fuzzy_weights(df: DataFrame, columns: list[str], label: str, least: float = 1e-3, out: str = "weight") -> DataFrame:
     """1 - the distance to the class's centre, min-max scaled over all rows, clipped to ``least`` .. 1."""
     c = df.groupBy(F.col(label).alias("_l")).agg(*[F.avg(x).alias(f"_c_{x}") for x in columns])
-    d = df.join(F.broadcast(c), F.col(label) == F.col("_l")).withColumn("_d", F.sqrt(sum((F.pow(F.col(x) - F.col(f"_c_{x}"), F.lit(2.0)) for x in columns[1:]), F.pow(F.col(columns[0]) - F.col(f"_c_{columns[0]}"), F.lit(2.0)))))
+    d = df.join(c, F.col(label) == F.col("_l")).withColumn("_d", F.sqrt(sum((F.pow(F.col(x) - F.col(f"_c_{x}"), F.lit(2.0)) for x in columns[1:]), F.pow(F.col(columns[0]) - F.col(f"_c_{columns[0]}"), F.lit(2.0)))))
     d = d.crossJoin(F.broadcast(d.agg(F.min("_d").alias("_a"), F.max("_d").alias("_b"))))
     w = 1 - (F.col("_d") - F.col("_a")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0))
     return d.withColumn(out, F.greatest(F.lit(least), F.least(F.lit(1.0), w))).drop("_l", "_d", "_a", "_b", *[f"_c_{x}" for x in columns])
@@ -72,13 +72,14 @@ def folds(df: DataFrame, key: str, label: str, k: int, seed: int = 0) -> DataFra
 def smote(df: DataFrame, key: str, columns: list[str], minority, per_row: int = 1, k: int = 5, seed: int = 0) -> DataFrame:
     """New rows between each minority row and one of its k nearest minority rows; draws hash key and number.
 
-    Rows are compared within the minority only, which must be small enough for that (see close_pairs for more).
+    Neighbours are exact, found block by block (see cluster.nearest), so no task sees all pairs. Keys are numbers.
     """
-    m = df.filter(minority).select(F.col(key).alias("a"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
-    o = m.select(F.col("a").alias("b"), F.col("x").alias("y"))
-    d = F.aggregate(F.zip_with("x", "y", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
-    near = m.join(o, F.col("a") != F.col("b")).withColumn("d", d)
-    near = near.groupBy("a", "x").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "b", "y"))), 1, k).alias("near"))
+    from .cluster import nearest
+
+    m = df.filter(minority).select(F.col(key).cast("long").alias("a"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    ids = nearest(m, "a", "x", k).select("a", F.posexplode("nearest").alias("rank", "b"))
+    pairs = ids.join(m.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
+    near = pairs.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("rank", "b", "y"))).alias("near")).join(m, "a")
     drawn = near.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(per_row))))
     u = lambda s: F.pmod(F.xxhash64(F.lit(seed + s), "a", "i"), F.lit(1_000_003)) / 1_000_003.0
     one = F.element_at("near", (F.floor(u(1) * F.size("near")) + 1).cast("int"))

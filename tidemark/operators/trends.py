@@ -45,4 +45,4 @@ def relabel_by_size(df: DataFrame, label: str, out: str = "new_label") -> DataFr
     """Labels 0, 1, ... from the largest group to the smallest (ties by label)."""
     sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
     new = sizes.select("_l", (F.row_number().over(Window.orderBy(F.desc("_n"), "_l")) - 1).cast("long").alias(out))
-    return df.join(F.broadcast(new), F.col(label).eqNullSafe(F.col("_l"))).drop("_l")
+    return df.join(new, F.col(label).eqNullSafe(F.col("_l"))).drop("_l")

@@ -48,7 +48,7 @@ def read_entities(spark: SparkSession, catalogue: DataFrame, columns: list[str])
     files = {r.path: r.code for r in catalogue.select("code", "path").toLocalIterator()}
     df = read_whitespace(spark, sorted(files), columns, with_path=True)
     names = catalogue.select(F.element_at(F.split("path", "/"), -1).alias("_f"), "code")
-    return df.withColumn("_f", F.element_at(F.split("_path", "/"), -1)).join(F.broadcast(names), "_f").drop("_f", "_path")
+    return df.withColumn("_f", F.element_at(F.split("_path", "/"), -1)).join(names, "_f").drop("_f", "_path")
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
