@@ -28,7 +28,11 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>]|$)""", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v ]+")
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Words that make a name say something else (``with-sidebar``), and whose header is the article's own.
+BESIDE = {"has", "with", "without", "no", "show", "hide"}
+OWN = {"article", "post", "entry", "content", "story", "main"}
+HEADERS = {"header", "masthead"}
 UNKNOWN, NOT_MAIN, MAIN = 0, 1, 2
 
 
@@ -44,14 +48,23 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
+def _says_other(name: str, inside: int) -> bool:
+    """Whether one class or id names something else than main text."""
+    words = {w.lower() for w in _NAME.findall(name)}
+    found = NAMES & words
+    if inside == MAIN or OWN & words:
+        found -= HEADERS
+    return bool(found) and not BESIDE & words
+
+
 def _place(tag: str, attrs: str, inside: int) -> int:
     if tag in OTHER and not (tag == "header" and inside == MAIN):
         return NOT_MAIN
     if attrs:
         for m in _ATTR.finditer(attrs):
-            value = (m[2] or "").strip("\"'").lower()
-            name = m[1].lower()
-            if name in ("class", "id") and NAMES & set(_NAME.findall(value)) and tag not in ("body", "html", "article", "main"):
+            raw = (m[2] or "").strip("\"'")
+            value, name = raw.lower(), m[1].lower()
+            if name in ("class", "id") and tag not in ("body", "html", "article", "main") and any(_says_other(x, inside) for x in raw.split()):
                 return NOT_MAIN
             if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return NOT_MAIN
