@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from .linalg import hamming, hann
 
 
-def dft(df: DataFrame, series: str, place: str, value: str, n: int) -> DataFrame:
-    """series, k, re, im of the first n samples by the definition; for small n."""
-    rows = df.filter(F.col(place) < n).select(series, F.col(place).alias("i"), F.col(value).cast("double").alias("x"))
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    angle = 2 * F.pi() * (F.col("k") * F.col("i") % n) / n
+def dft(df: DataFrame, series: str, at: str, value: str) -> DataFrame:
+    """series, k, re, im of each whole series by the definition; for short series, as it takes n products a sample."""
+    w = Window.partitionBy(series)
+    rows = df.select(series, (F.row_number().over(w.orderBy(at)) - 1).alias("i"), F.count("*").over(w).alias("n"), F.col(value).cast("double").alias("x"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    angle = 2 * F.pi() * (F.col("k") * F.col("i") % F.col("n")) / F.col("n")
     return rows.groupBy(series, "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), (-F.sum(F.col("x") * F.sin(angle))).alias("im"))
 
 

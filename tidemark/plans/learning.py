@@ -56,11 +56,11 @@ def association_rules_full(t):
 
 
 _PUNCT = r"""([.,!?;:()\[\]{}"''])"""
-_TOKENS = f"""SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower(text), '[\\r\\n]+', ' ', 'g'), '{_PUNCT}', ' \\1 ', 'g')), '\\s+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en')"""
+_TOKENS = f"""SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower(text), '[\\r\\n]+', ' ', 'g'), '{_PUNCT}', ' \\1 ', 'g')), '\\s+'), lambda x: x <> '') AS w FROM documents)"""
 
 
 def _tokens(t):
-    return text.tokens(t.documents.filter("lang = 'en'"), "doc_id", "text")
+    return text.tokens(t.documents, "doc_id", "text")
 
 
 @query(f"SELECT doc_id, count(*) AS n, count(DISTINCT token) AS distinct_n FROM ({_TOKENS}) GROUP BY 1")

@@ -15,13 +15,11 @@ def _filled(t):
     return series.interpolate(g, "event_type", "tick", "v")
 
 
-@query("""WITH e AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS i, value AS x FROM events), k AS (SELECT unnest(range(16)) AS k)
-SELECT event_type, CAST(k AS INTEGER) AS k, round(sum(x * cos(2 * pi() * (k * i % 16) / 16)), 4) + 0.0 AS re, round(-sum(x * sin(2 * pi() * (k * i % 16) / 16)), 4) + 0.0 AS im FROM e, k WHERE i < 16 GROUP BY 1, 2""")
+@query("""WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, avg(value) AS x FROM events GROUP BY 1, 2), e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM d), k AS (SELECT *, unnest(range(n)) AS k FROM e)
+SELECT event_type, k, round(sum(x * cos(2 * pi() * (k * i % n) / n)), 4) + 0.0 AS re, round(-sum(x * sin(2 * pi() * (k * i % n) / n)), 4) + 0.0 AS im FROM k GROUP BY 1, 2""")
 def dft_small_sql(t):
-    from pyspark.sql import Window
-
-    e = t.events.withColumn("i", F.row_number().over(Window.partitionBy("event_type").orderBy("ts")) - 1)
-    d = signal.dft(e, "event_type", "i", "value", 16)
+    d = t.events.groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.avg("value").alias("x"))
+    d = signal.dft(d, "event_type", "day", "x")
     return d.select("event_type", "k", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
 
 
@@ -95,7 +93,7 @@ def determinants(t):
 
 
 def _vectors(t):
-    return cluster.with_vector(t.embeddings.select("vec_id", "label", F.slice("embedding", 1, 8).alias("x")), "x")
+    return cluster.with_vector(t.embeddings.select("vec_id", "label", F.col("embedding").alias("x")), "x")
 
 
 @query()
@@ -115,7 +113,7 @@ def relate_labels(df):
     return relabel_by_size(df, "cluster").select("vec_id", "new_label")
 
 
-_E = "SELECT vec_id, label, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS x FROM embeddings"
+_E = "SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings"
 
 
 @query(f"""WITH e AS ({_E}), d AS (SELECT a.vec_id, a.label AS g, b.label AS o, avg(list_distance(a.x, b.x)) AS m FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3), s AS (SELECT vec_id, g, max(m) FILTER (WHERE o = g) AS a, min(m) FILTER (WHERE o <> g) AS b FROM d GROUP BY 1, 2)
@@ -168,7 +166,8 @@ def pca_top_loadings(t):
 
 @query()
 def complete_linkage_small(t):
-    return cluster.linkage(t.supplier.select("s_suppkey", F.array("s_acctbal").alias("x")).filter("s_nationkey < 5"), "s_suppkey", "x", 3)
+    n = t.customer.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("b"), F.count("*").cast("double").alias("n"))
+    return cluster.linkage(n.select("c_nationkey", F.array("b", "n").alias("x")), "c_nationkey", "x", 3)
 
 
 @query("""WITH s AS (SELECT avg(l_quantity) a, avg(l_extendedprice) b, covar_samp(l_quantity, l_quantity) p, covar_samp(l_quantity, l_extendedprice) q, covar_samp(l_extendedprice, l_extendedprice) r FROM lineitem)
@@ -280,7 +279,7 @@ def kernel_margin(t):
 def word_vectors(t):
     from ..operators import text
 
-    return text.word_vectors(text.tokens(t.documents.filter("lang = 'en'"), "doc_id", "text"), "doc_id", 8)
+    return text.word_vectors(text.tokens(t.documents, "doc_id", "text"), "doc_id", 8)
 
 
 @query("""SELECT round(x, 6) AS x, round(y, 6) AS y FROM (SELECT i / 10.0::DOUBLE AS x FROM range(11) t(i)), (SELECT j / 10.0::DOUBLE AS y FROM range(11) u(j))""")
