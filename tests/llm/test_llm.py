@@ -135,6 +135,8 @@ def test_html(spark):
     got = [(r.page_id, r.text, r.n_chars) for r in html.extract_html(df).collect()]
     assert got.count((1, "A & B\n\nOne two three\n\nFour", 26)) == 2 and (2, "", 0) in got and len(got) == 5
     assert html.extract_html(df.filter("false")).count() == 0
+    plain = '<div class="content with-sidebar"><div class="post-header"><h2>Title of it</h2></div><p>%s</p><div id="siteSidebar"><p>%s</p></div><div class="commentList"><p>%s</p></div></div>'
+    assert html.main_text(plain % (("long text " * 30,) * 3)).split("\n\n") == ["Title of it", ("long text " * 30).strip()]
     for r in queries.op5_html_text(spark, DATA).join(spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "html"), "page_id").collect():
         art = r.html[r.html.index("<article>") : r.html.index("</article>")]
         parts = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " ")))).strip() for x in re.split("</?(?:p|h1|article)>", art)]
@@ -201,6 +203,7 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200) if i != 77] + [(5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
     assert got == {i: 0 if i <= 77 else 78 for i in range(201)}
+    assert {r.node: r.component for r in components.components(links, many_links=1).collect()} == got
     assert components.components(links.filter("false")).count() == 0
 
 

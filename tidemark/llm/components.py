@@ -11,13 +11,19 @@ from .common import staged
 MOST_ROUNDS = 60
 
 
-def _star(pairs: DataFrame) -> DataFrame:
+#: Links from which on each node's least neighbour is written before it is joined back, so that Spark can split the
+#: rows of a node with very many links among tasks.
+MANY_LINKS = 5_000_000
+
+
+def _star(pairs: DataFrame, many: bool) -> DataFrame:
     """Of rows (u, v): the rows with m, the least of u and its neighbours. Only one row a node is joined back."""
     least = pairs.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = staged(least, "least") if many else least
     return pairs.join(least, F.col("u") == F.col("w")).select("u", "v", "m")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, many_links: int = MANY_LINKS) -> DataFrame:
     """node, component (its least node) of every node of ``links`` (a, b); nodes without links don't appear.
 
     Alternates two steps until nothing changes: each node passes its least neighbour on to the larger ones (large
@@ -26,10 +32,11 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, before = staged(edges, "links"), None
+    many = edges.count() >= many_links
     for _ in range(MOST_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _star(large)
+        large = _star(both, many).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _star(large, many)
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
         edges = staged(small.filter("u <> v").distinct(), "links")
         state = tuple(edges.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1_000_000_007).cast("decimal(38,0)"))).first())

@@ -25,6 +25,8 @@ LEAST_PIVOTS, MOST_PIVOTS, SAMPLE = 32, 2048, 8192
 POSTED, DEPTH, SHARED = 5, 8, 2
 #: A longer list is cut into blocks of about so many, and each pair of blocks is a group of its own.
 BLOCK = 2048
+#: Lists up to which their sizes are broadcast (24 bytes each); beyond it the join shuffles.
+BROADCAST_ROWS = 250_000
 
 
 def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,18 +34,21 @@ def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     v = F.col("embedding")
     finite = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     ok = finite & F.col("label").isNotNull()
-    keyed = vectors.select("vec_id", "label", v.cast("array<double>").alias("v"), F.when(ok, F.xxhash64("label", "embedding")).alias("node"))
+    # Single precision travels as it is; everything is computed in double precision.
+    kept = v if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else v.cast("array<double>")
+    keyed = vectors.select("vec_id", F.xxhash64("label").alias("label"), kept.alias("v"), F.when(ok, F.xxhash64("label", "embedding")).alias("node"))
     classes = keyed.filter("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("m"), F.min("vec_id").alias("least"))
     return staged(keyed.select("vec_id", "node"), "vectors"), staged(classes, "vector-classes")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    x = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
-    return x / np.abs(x).max(1, keepdims=True)  # so that no square overflows
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)  # so that no square overflows
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -73,12 +78,13 @@ def post(classes: DataFrame, pivots: np.ndarray, posted: int = POSTED) -> DataFr
             sizes = b.column("v").value_lengths().to_numpy(zero_copy_only=False)
             for dim in np.unique(sizes):
                 rows = b.filter(pa.array(sizes == dim))
-                x = _unit(_matrix(rows.column("v")))
+                raw = _matrix(rows.column("v"))
+                x = _unit(raw)
                 # Vectors of another length have no reference points in common; they share one list.
                 perm = permutations(x, pivots) if dim == pivots.shape[1] else np.zeros((len(x), 1), np.int16)
                 for k in range(min(posted, perm.shape[1])):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(perm[:, k].astype(np.int32)), rows.column("node"), rows.column("label").cast(pa.int64()), pa.array(np.full(len(x), dim, np.int32)), pa.array([p.tobytes() for p in perm], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary()), rows.column("m")],
+                        [pa.array(perm[:, k].astype(np.int32)), rows.column("node"), rows.column("label"), pa.array(np.full(len(x), dim, np.int32)), pa.array([p.tobytes() for p in perm], pa.binary()), pa.array([r.tobytes() for r in raw], pa.binary()), rows.column("m")],
                         names=["list", "node", "label", "dim", "perm", "x", "m"],
                     )
 
@@ -127,21 +133,23 @@ def join_list(which: int, perm: np.ndarray, x: np.ndarray, left: np.ndarray, rig
 def link(postings: DataFrame, least: float, posted: int = POSTED, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
     """node, n (linked vectors found in a group), other (a link of the group's spanning forest, or null)."""
     counts = postings.groupBy("label", "dim", "list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    counts = counts.select(F.col("label").alias("c_label"), F.col("dim").alias("c_dim"), F.col("list").alias("c_list"), "blocks")
-    rows = postings.join(counts, (F.col("label") == F.col("c_label")) & (F.col("dim") == F.col("c_dim")) & (F.col("list") == F.col("c_list")))
+    counts = staged(counts.select(F.col("label").alias("c_label"), F.col("dim").alias("c_dim"), F.col("list").alias("c_list"), "blocks"), "vector-lists")
+    n = counts.count()
+    rows = postings.join(F.broadcast(counts) if n <= BROADCAST_ROWS else counts, (F.col("label") == F.col("c_label")) & (F.col("dim") == F.col("c_dim")) & (F.col("list") == F.col("c_list")))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("mine", mine)
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
     rows = rows.select("list", "label", "dim", "node", "perm", "x", "m", "mine", F.inline(pairs))
 
     def run(key, table):
-        which, _, dim, i, j = (k.as_py() for k in key)
+        _, which, _, dim, i, j = (k.as_py() for k in key)
         order = np.argsort(table.column("node").to_numpy(), kind="stable")
         node, m, mine = (table.column(c).to_numpy()[order] for c in ("node", "m", "mine"))
         perms = table.column("perm").to_pylist()
         xs = table.column("x").to_pylist()
         perm = np.stack([np.frombuffer(perms[k], np.int16) for k in order])
-        x = np.stack([np.frombuffer(xs[k], np.float64) for k in order])
+        kind = np.float64 if len(xs[0]) == 8 * dim else np.float32
+        x = _unit(np.stack([np.frombuffer(xs[k], kind) for k in order]))
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         a, b = join_list(which, perm, x, left, right, i == j, least, posted, shared)
         n = np.bincount(a, m[b], len(node)) + np.bincount(b, m[a], len(node))
@@ -153,7 +161,9 @@ def link(postings: DataFrame, least: float, posted: int = POSTED, shared: int =
             "other": pa.array(node[ends.astype(np.int64)] if len(ends) else np.zeros(0, np.int64), mask=ends < 0),
         })
 
-    return rows.groupBy("list", "label", "dim", "i", "j").applyInArrow(run, "node long, n long, other long")
+    # A key of their own, so that the pairs of blocks of one list are dealt out rather than left where the list was.
+    rows = rows.withColumn("group", F.xxhash64("list", "label", "dim", "i", "j"))
+    return rows.groupBy("group", "list", "label", "dim", "i", "j").applyInArrow(run, "node long, n long, other long")
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = LEAST_COSINE) -> DataFrame:
