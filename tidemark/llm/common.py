@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,24 @@ STEP_BYTES = 4 << 20
 _ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
 
 
+#: Rows of an Arrow batch where the session has Spark's default of 10,000: whole texts make batches large otherwise.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in smaller batches, unless the session says how many."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return this worker's freed memory to the system; idle workers stay alive and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pick(df: DataFrame, **names: str) -> DataFrame:
     """The named columns only, as ``new=old``; other columns may clash with anything, even by case alone."""
     at = {c: i for i, c in enumerate(df.columns)}
@@ -64,9 +85,14 @@ def steps(sizes: list[int], most: int = STEP_BYTES) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def text_bytes(column: pa.Array) -> list[bytes]:
-    """UTF-8 of each text; a null text counts as empty."""
-    return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+def text_steps(batch: pa.RecordBatch, most: int | None = None, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The batch in slices, each with the UTF-8 of its texts; a null text counts as empty."""
+    texts = batch.column(column)
+    sizes = [n or 0 for n in pc.binary_length(texts).to_pylist()]
+    for part in steps(sizes, most or STEP_BYTES):
+        n = part.stop - part.start
+        yield batch.slice(part.start, n), [x or b"" for x in texts.slice(part.start, n).cast(pa.large_binary()).to_pylist()]
+    give_back()
 
 
 def map_texts(df: DataFrame, work: Callable[[], Callable[[list[bytes]], dict]], schema: str) -> DataFrame:
@@ -74,6 +100,7 @@ def map_texts(df: DataFrame, work: Callable[[], Callable[[list[bytes]], dict]],
 
     ``work()`` runs once a task and returns the function from a list of texts to columns.
     """
+    small_batches(df.sparkSession)
     rest = [c for c in df.columns if c != "text"]
     kinds = {name: _ARROW[kind] for name, kind in (x.split() for x in schema.split(", "))}
     out = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest), schema])
@@ -81,11 +108,8 @@ def map_texts(df: DataFrame, work: Callable[[], Callable[[list[bytes]], dict]],
     def run(batches):
         fn = work()
         for batch in batches:
-            texts = text_bytes(batch.column("text"))
-            keep = batch.select(rest)
-            for part in steps([len(x) for x in texts]):
-                got = fn(texts[part])
-                head = keep.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays(head.columns + [pa.array(got[c], kind) for c, kind in kinds.items()], names=[*rest, *kinds])
+            for part, texts in text_steps(batch):
+                got = fn(texts)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in rest] + [pa.array(got[c], kind) for c, kind in kinds.items()], names=[*rest, *kinds])
 
     return df.mapInArrow(run, out)

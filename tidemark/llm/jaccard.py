@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, staged, steps, text_bytes
+from .common import give_back, pick, small_batches, staged, text_steps
 from .components import components
 
 #: Shingle length; two sets link when DEN * overlap >= NUM * (sum of sizes), which is J >= 0.8.
@@ -31,8 +31,8 @@ WORDS, NUM, DEN = 5, 4, 9
 PERMUTATIONS, LEAST_BITS, MOST_BITS, LEAF, FAN = 4, 1024, 16384, 32, 8
 #: The most frequent prefix shingles, which come last in order: so many at most, each in so many texts of a bucket.
 MOST_FREQUENT, FREQUENT = 1_000_000, 32
-#: Rows (16 bytes or so each) up to which a table of keys is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 250_000
+#: Rows (up to 32 bytes each) and single keys (8 bytes) up to which a table is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS, BROADCAST_KEYS = 250_000, 4_000_000
 #: Prefix shingles in a bucket, about; texts and shingles in a block of a large group; shingles that one task takes at
 #: a time, about.
 PER_BUCKET, BLOCK, BLOCK_SHINGLES, PER_TASK = 250_000, 2048, 1_000_000, 2_000_000
@@ -119,12 +119,11 @@ def first_pass(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         known = _Hashes()
         for batch in batches:
-            texts = text_bytes(batch.column("text"))
-            for part in steps([len(t) for t in texts], STEP_BYTES):
-                sets = shingle_sets(texts[part], known)
+            for part, texts in text_steps(batch, STEP_BYTES):
+                sets = shingle_sets(texts, known)
                 node = [class_of(s) if len(s) else None for s in sets]
-                ids = batch.column("doc_id").slice(part.start, part.stop - part.start)
-                yield table(ids, key=batch.column("key").slice(part.start, part.stop - part.start), n=[len(s) for s in sets], node=node)
+                ids = part.column("doc_id")
+                yield table(ids, key=part.column("key"), n=[len(s) for s in sets], node=node)
                 distinct = list({v: s for v, s in zip(node, sets, strict=True) if v is not None}.items())
                 for at in range(0, len(distinct), _NONE):
                     some = distinct[at : at + _NONE]
@@ -190,6 +189,7 @@ def meet(first: DataFrame) -> DataFrame:
         often = np.flatnonzero(times >= FREQUENT)
         starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
         bucket = key[0].as_py()
+        give_back()
         return pa.table({
             "node": pa.array(np.r_[v, np.zeros(len(often), np.int64)], mask=np.r_[np.zeros(len(v), bool), np.ones(len(often), bool)]), "shared": np.r_[n, np.zeros(len(often), np.int64)], "need": np.r_[need[hit][at], np.zeros(len(often), np.int64)],
             "token": np.r_[np.zeros(len(v), np.int64), (tok[starts[often]].astype(np.int64) << 16) | bucket], "times": np.r_[np.zeros(len(v), np.int64), times[often]],
@@ -210,9 +210,8 @@ def whole_sets(docs: DataFrame) -> DataFrame:
     def run(batches):
         known = _Hashes()
         for batch in batches:
-            texts = text_bytes(batch.column("text"))
-            for part in steps([len(t) for t in texts], STEP_BYTES):
-                sets = [s for s in shingle_sets(texts[part], known) if len(s)]
+            for _, texts in text_steps(batch, STEP_BYTES):
+                sets = [s for s in shingle_sets(texts, known) if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
                      pa.array([[int(_mix(s * m).min().astype(np.int64)) for m in mult] for s in sets], pa.list_(pa.int64()))],
@@ -236,7 +235,7 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _near(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= (BROADCAST_KEYS if len(df.columns) == 1 else BROADCAST_ROWS) else df
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -271,8 +270,8 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def first_links(sets: DataFrame) -> DataFrame:
     """Links of texts to the least text with the same minimum of a permutation."""
     minima = sets.select("node", F.posexplode("minima").alias("k", "minimum"))
-    least = minima.groupBy("k", "minimum").agg(F.min("node").alias("b"), F.count("*").alias("c")).filter("c > 1")
-    pairs = minima.join(least, ["k", "minimum"]).filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    least = staged(minima.groupBy("k", "minimum").agg(F.min("node").alias("b"), F.count("*").alias("c")).filter("c > 1"), "jaccard-least")
+    pairs = minima.join(_near(least, least.count()), ["k", "minimum"]).filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
     return verify(pairs, sets)
 
 
@@ -389,10 +388,10 @@ def other_links(sets: DataFrame, parts: DataFrame, frequent: np.ndarray, times:
     groups = rows.groupBy("tok").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     groups = staged(groups.select(F.col("tok").alias("g"), "low"), "jaccard-groups")
     some = rows.join(_near(groups, groups.count()), F.col("tok") == F.col("g")).select("low", "node", "label").distinct()
-    some = staged(some, "jaccard-members")
-    some = some.join(sets.select(F.col("node").alias("s"), "n"), F.col("node") == F.col("s"))
+    some = staged(some.join(sets.select(F.col("node").alias("s"), "n"), F.col("node") == F.col("s")).drop("s"), "jaccard-members")
     counts = some.groupBy(F.col("low").alias("of")).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    some = some.join(counts, F.col("low") == F.col("of")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    counts = staged(counts, "jaccard-blocks")
+    some = some.join(_near(counts, counts.count()), F.col("low") == F.col("of")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     ij = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
     some = staged(some.select("low", "node", "label", "n", "mine", F.inline(ij)), "jaccard-dealt")
     n, total = some.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -412,6 +411,7 @@ def other_links(sets: DataFrame, parts: DataFrame, frequent: np.ndarray, times:
                 got = join_group([np.frombuffer(held[int(k)].as_py(), np.uint64) for k in at], label[at], None if i[at[0]] == j[at[0]] else mine[at])
                 a += [int(node[at[x]]) for x, _ in got]
                 b += [int(node[at[y]]) for _, y in got]
+        give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return some.groupBy("bin").applyInArrow(run, "a long, b long").distinct()
@@ -420,6 +420,7 @@ def other_links(sets: DataFrame, parts: DataFrame, frequent: np.ndarray, times:
 def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, key, n, node) of rows (doc_id, text), and (node, best): of each class, the row (doc_id, key) that
     stands for its component, the least. Texts without shingles have no node."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << max(6, min(16, round(np.log2(max(1, size / 15 / PER_BUCKET)))))

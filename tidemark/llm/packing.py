@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, staged, steps, text_bytes
+from .common import pick, small_batches, staged, text_steps
 
 #: Fixed values of the public tokenizer: its pattern, its special token and the id that ends a document here.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -53,18 +53,19 @@ def encoder(path: str):
 def tokenise(docs: DataFrame, path: str, stop: int = STOP) -> DataFrame:
     """doc_id, part, part_start, doc_tokens, ids (little-endian uint32) of rows (doc_id, text)."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         encode, part, start = encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([stop], "<u4").tobytes()
         for batch in batches:
-            texts, names = text_bytes(batch.column("text")), batch.column("doc_id")
-            for piece in steps([len(t) for t in texts]):
-                ids = [encode(t.decode("utf-8", "replace")).astype("<u4").tobytes() + end for t in texts[piece]]
+            for piece, texts in text_steps(batch):
+                ids = [encode(t.decode("utf-8", "replace")).astype("<u4").tobytes() + end for t in texts]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 starts = start + np.cumsum(n) - n
                 start += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [names.slice(piece.start, piece.stop - piece.start), pa.array(np.full(len(n), part)), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())],
+                    [piece.column("doc_id"), pa.array(np.full(len(n), part)), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())],
                     names=["doc_id", "part", "part_start", "doc_tokens", "ids"],
                 )
 
