@@ -387,7 +387,7 @@ def other_links(sets: DataFrame, parts: DataFrame, frequent: np.ndarray, times:
     rows = staged(rows.select("tok", "node", F.coalesce("component", "node").alias("label")), "jaccard-prefixes")
     groups = rows.groupBy("tok").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     groups = staged(groups.select(F.col("tok").alias("g"), "low"), "jaccard-groups")
-    some = rows.join(_near(groups, groups.count()), F.col("tok") == F.col("g")).select("low", "node", "label").distinct()
+    some = rows.join(groups, F.col("tok") == F.col("g")).select("low", "node", "label").distinct()
     some = staged(some.join(sets.select(F.col("node").alias("s"), "n"), F.col("node") == F.col("s")).drop("s"), "jaccard-members")
     counts = some.groupBy(F.col("low").alias("of")).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     counts = staged(counts, "jaccard-blocks")
