@@ -65,7 +65,7 @@ def repeat_lengths(ids: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> n
     rank = _dense(np.stack([ends[at], *words], 1))
     pos = np.full(n, -1, np.int64)  # of a word among the candidates
     pos[at] = np.arange(len(at))
-    levels, width = [(window, rank)], window
+    levels, width = [(window, rank.astype(np.int32))], window
     while True:
         counts = np.bincount(rank)
         if counts.max() < 2:
@@ -74,7 +74,7 @@ def repeat_lengths(ids: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> n
         second = np.where((at + width < ends[at]) & (pos[nxt] >= 0), rank[np.maximum(pos[nxt], 0)], -1)
         rank = _dense(np.stack([rank, second], 1))
         width *= 2
-        levels.append((width, rank))
+        levels.append((width, rank.astype(np.int32)))
     sa = np.argsort(rank)
     a, b = at[sa[:-1]], at[sa[1:]]
     lcp = np.zeros(len(a), np.int64)
@@ -107,6 +107,14 @@ def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
+def byte_counts(text: bytes) -> np.ndarray:
+    """How often each byte occurs, a piece of the text at a time."""
+    out = np.zeros(256, np.int64)
+    for s in range(0, len(text), 1 << 20):
+        out += np.bincount(np.frombuffer(text, np.uint8, min(1 << 20, len(text) - s), s), minlength=256)
+    return out
+
+
 def measure(texts: list[bytes], min_repeat: int, max_covered: float, max_longest: int) -> dict:
     m = len(texts)
     words = [t.split() for t in texts]
@@ -124,14 +132,7 @@ def measure(texts: list[bytes], min_repeat: int, max_covered: float, max_longest
     longest = np.zeros(m, np.int64)
     if len(at):
         np.maximum.at(longest, doc[at], lengths[at])
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    size = np.array([len(t) for t in texts], np.int64)
-    edges = np.r_[0, np.cumsum(size)]
-
-    def total(table):
-        got = np.r_[0, np.cumsum(table[raw])]
-        return got[edges[1:]] - got[edges[:-1]]
-
+    counts = np.stack([byte_counts(t) for t in texts]) if m else np.zeros((0, 256), np.int64)
     dup = np.zeros(m, np.int64)
     for i, t in enumerate(texts):
         if b"\n" in t:
@@ -140,7 +141,7 @@ def measure(texts: list[bytes], min_repeat: int, max_covered: float, max_longest
     failed = (n_words < MIN_WORDS) | (100 * repeat_words > MAX_REPEAT_PERCENT * n_words)
     fraction = spans / np.maximum(n_words, 1)
     return {
-        "n_words": n_words, "word_chars": total(_STARTS), "n_symbols": total(_IS_SYMBOL), "n_dup_lines": dup, "n_repeat_words": repeat_words,
+        "n_words": n_words, "word_chars": counts @ _STARTS, "n_symbols": counts @ _IS_SYMBOL, "n_dup_lines": dup, "n_repeat_words": repeat_words,
         "base_failed": failed, "kept": ~failed & (fraction <= max_covered) & (longest <= max_longest), "covered_fraction": fraction, "longest_repeat": longest,
     }
 
