@@ -35,12 +35,11 @@ MOST_FREQUENT, FREQUENT = 1_000_000, 32
 BROADCAST_ROWS, BROADCAST_KEYS = 250_000, 4_000_000
 #: Prefix shingles in a bucket, about; texts and shingles in a block of a large group; shingles that one task takes at
 #: a time, about.
-PER_BUCKET, BLOCK, BLOCK_SHINGLES, PER_TASK = 250_000, 2048, 1_000_000, 2_000_000
+PER_BUCKET, BLOCK, BLOCK_SHINGLES, PER_TASK = 1_000_000, 2048, 1_000_000, 2_000_000
 #: Text bytes that are hashed at a time.
 STEP_BYTES = 2 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _C = np.uint64(0x9E3779B97F4A7C15)
-_NONE = 0xFFFF
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -100,18 +99,33 @@ def prefix_length(n: int, show: int = 1) -> int:
     return min(n, n - least_overlap(n) + show)
 
 
-_FIRST = "doc_id {}, key long, n long, node long, bucket int, tok binary, owner binary, nodes binary, need binary, node2 long, shared long, need2 long"
+_FIRST = "doc_id {}, key long, n long, node long, bucket int, tok binary, owner binary, short long, shared long"
+#: Classes are told apart by so many bits in the buckets; a class that shares them with its only partner would be lost
+#: once in 2 ** 40 pairs. The last number stands for several classes of a batch.
+SHORT_BITS = 40
+SEVERAL = (1 << SHORT_BITS) - 1
+
+
+def _pack(owner: np.ndarray) -> bytes:
+    return owner.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    return out.view("<i8").ravel()
 
 
 def first_pass(docs: DataFrame, buckets: int) -> DataFrame:
-    """Three kinds of rows: of each text (key, n, node); of each bucket of a batch (tok ..); of texts with shared shingles (node2 ..)."""
+    """Three kinds of rows: of each text (key, n, node); of each bucket of a batch (tok, owner); of classes with
+    shingles that several classes of the batch have (short, shared)."""
     names = [c.split()[0] for c in _FIRST.split(", ")]
     kind = docs.schema["doc_id"].dataType.simpleString()
     mask = np.uint64(buckets - 1)
 
     def table(ids, **cols):
         n = len(next(iter(cols.values())))
-        types = {"doc_id": ids.type, "bucket": pa.int32(), **dict.fromkeys(("tok", "owner", "nodes", "need"), pa.binary())}
+        types = {"bucket": pa.int32(), "tok": pa.binary(), "owner": pa.binary()}
         made = {"doc_id": ids if "key" in cols else pa.nulls(n, ids.type)}
         made |= {c: pa.array(cols[c], types.get(c, pa.int64())) if c in cols else pa.nulls(n, types.get(c, pa.int64())) for c in names[1:]}
         return pa.RecordBatch.from_arrays([made[c] for c in names], names=names)
@@ -125,77 +139,54 @@ def first_pass(docs: DataFrame, buckets: int) -> DataFrame:
                 ids = part.column("doc_id")
                 yield table(ids, key=part.column("key"), n=[len(s) for s in sets], node=node)
                 distinct = list({v: s for v, s in zip(node, sets, strict=True) if v is not None}.items())
-                for at in range(0, len(distinct), _NONE):
-                    some = distinct[at : at + _NONE]
-                    nodes = np.array([v for v, _ in some], np.int64)
-                    sizes = [len(s) for _, s in some]
-                    need = np.array([extra(least_overlap(n)) for n in sizes], np.int64)
-                    cut = [prefix_length(n, extra(n)) for n in sizes]
-                    tok = np.concatenate([s[:k] for (_, s), k in zip(some, cut, strict=True)])
-                    owner = np.repeat(np.arange(len(some)), cut)
-                    order = np.argsort(tok, kind="stable")
-                    tok, owner = tok[order], owner[order]
-                    new = np.r_[True, tok[1:] != tok[:-1]]
-                    group = np.cumsum(new) - 1
-                    twice = np.bincount(group)[group] > 1
-                    shared = np.bincount(owner[twice], minlength=len(some))
-                    hit = np.flatnonzero(shared)
-                    yield table(ids, node2=nodes[hit], shared=shared[hit], need2=need[hit])
-                    owner = np.where(twice, _NONE, owner)[new]
-                    tok = tok[new]
-                    b = (tok & mask).astype(np.int64)
-                    order = np.argsort(b, kind="stable")
-                    tok, owner, b = tok[order], owner[order], b[order]
-                    edges = np.searchsorted(b, np.arange(buckets + 1))
-                    rows = {c: [] for c in ("bucket", "tok", "owner", "nodes", "need")}
-                    for k in np.flatnonzero(np.diff(edges)).tolist():
-                        o = owner[edges[k] : edges[k + 1]]
-                        mine, place = np.unique(o, return_inverse=True)
-                        real = mine[mine != _NONE]
-                        rows["bucket"].append(k)
-                        rows["tok"].append((tok[edges[k] : edges[k + 1]] >> np.uint64(20)).astype(np.uint32).tobytes())
-                        rows["owner"].append(np.where(o == _NONE, _NONE, place).astype(np.uint16).tobytes())
-                        rows["nodes"].append(nodes[real].tobytes())
-                        rows["need"].append(need[real].astype(np.uint32).tobytes())
-                    yield table(ids, **rows)
+                if not distinct:
+                    continue
+                short = np.array([v & SEVERAL for v, _ in distinct], np.int64)
+                cut = [prefix_length(len(s), extra(len(s))) for _, s in distinct]
+                tok = np.concatenate([s[:k] for (_, s), k in zip(distinct, cut, strict=True)])
+                owner = np.repeat(np.arange(len(distinct)), cut)
+                order = np.argsort(tok, kind="stable")
+                tok, owner = tok[order], owner[order]
+                new = np.r_[True, tok[1:] != tok[:-1]]
+                group = np.cumsum(new) - 1
+                twice = np.bincount(group)[group] > 1
+                shared = np.bincount(owner[twice], minlength=len(distinct))
+                hit = np.flatnonzero(shared)
+                yield table(ids, short=short[hit], shared=shared[hit])
+                owner, tok = np.where(twice, SEVERAL, short[owner])[new], tok[new]
+                b = (tok & mask).astype(np.int64)
+                order = np.argsort(b, kind="stable")
+                tok, owner, b = (tok[order] >> np.uint64(20)).astype(np.uint32), owner[order], b[order]
+                edges = np.searchsorted(b, np.arange(buckets + 1))
+                full = np.flatnonzero(np.diff(edges)).tolist()
+                yield table(ids, bucket=full, tok=[tok[edges[k] : edges[k + 1]].tobytes() for k in full], owner=[_pack(owner[edges[k] : edges[k + 1]]) for k in full])
 
     return docs.mapInArrow(run, _FIRST.format(kind))
 
 
 def meet(first: DataFrame) -> DataFrame:
-    """In each bucket, how many prefix shingles of a text another text has: node, shared, need; or token, times of frequent ones."""
+    """In each bucket, how many prefix shingles of a class another one has: short, shared; or token, times of frequent ones."""
 
     def run(key, table):
-        cols = {c: table.column(c).to_pylist() for c in ("tok", "owner", "nodes", "need")}
-        tok = np.concatenate([np.frombuffer(x, np.uint32) for x in cols["tok"]])
-        node, need = [], []
-        for o, v, d in zip(cols["owner"], cols["nodes"], cols["need"], strict=True):
-            o = np.frombuffer(o, np.uint16)
-            real = o != _NONE
-            v, d = np.frombuffer(v, np.int64), np.frombuffer(d, np.uint32)
-            a, b = np.zeros(len(o), np.int64), np.zeros(len(o), np.int64)
-            a[real], b[real], b[~real] = v[o[real]], d[o[real]], -1
-            node.append(a)
-            need.append(b)
-        node, need = np.concatenate(node), np.concatenate(need)
-        order = np.lexsort((node, need < 0, tok))
-        tok, node, need = tok[order], node[order], need[order]
-        keep = np.r_[True, (tok[1:] != tok[:-1]) | (node[1:] != node[:-1]) | (need[1:] < 0) | (need[:-1] < 0)]  # copies in other batches
-        tok, node, need = tok[keep], node[keep], need[keep]
-        group = np.cumsum(np.r_[True, tok[1:] != tok[:-1]]) - 1
-        times = np.bincount(group, np.where(need < 0, 2, 1)).astype(np.int64)
-        hit = (times[group] > 1) & (need >= 0)
-        v, at, n = np.unique(node[hit], return_index=True, return_counts=True)
+        tok = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("tok").to_pylist()])
+        short = np.concatenate([_unpack(x) for x in table.column("owner").to_pylist()])
+        order = np.lexsort((short, tok))
+        tok, short = tok[order], short[order]
+        keep = np.r_[True, (tok[1:] != tok[:-1]) | (short[1:] != short[:-1]) | (short[1:] == SEVERAL)]  # copies in other batches
+        tok, short = tok[keep], short[keep]
+        new = np.r_[True, tok[1:] != tok[:-1]]
+        group = np.cumsum(new) - 1
+        times = np.bincount(group, np.where(short == SEVERAL, 2, 1)).astype(np.int64)
+        v, n = np.unique(short[(times[group] > 1) & (short != SEVERAL)], return_counts=True)
         often = np.flatnonzero(times >= FREQUENT)
-        starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
-        bucket = key[0].as_py()
+        bucket, none = key[0].as_py(), np.zeros(len(often), np.int64)
         give_back()
         return pa.table({
-            "node": pa.array(np.r_[v, np.zeros(len(often), np.int64)], mask=np.r_[np.zeros(len(v), bool), np.ones(len(often), bool)]), "shared": np.r_[n, np.zeros(len(often), np.int64)], "need": np.r_[need[hit][at], np.zeros(len(often), np.int64)],
-            "token": np.r_[np.zeros(len(v), np.int64), (tok[starts[often]].astype(np.int64) << 16) | bucket], "times": np.r_[np.zeros(len(v), np.int64), times[often]],
+            "short": pa.array(np.r_[v, none], mask=np.r_[np.zeros(len(v), bool), np.ones(len(often), bool)]), "shared": np.r_[n, none],
+            "token": np.r_[np.zeros(len(v), np.int64), (tok[new][often].astype(np.int64) << 16) | bucket], "times": np.r_[np.zeros(len(v), np.int64), times[often]],
         })
 
-    return first.filter("bucket is not null").select("bucket", "tok", "owner", "nodes", "need").groupBy("bucket").applyInArrow(run, "node long, shared long, need long, token long, times long")
+    return first.filter("bucket is not null").select("bucket", "tok", "owner").groupBy("bucket").applyInArrow(run, "short long, shared long, token long, times long")
 
 
 def _tokens(s: np.ndarray, buckets: int) -> np.ndarray:
@@ -426,14 +417,16 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = 1 << max(6, min(16, round(np.log2(max(1, size / 15 / PER_BUCKET)))))
     first = staged(first_pass(docs, buckets), "jaccard-first")
     met = staged(meet(first), "jaccard-met")
-    shared = met.filter("node is not null").select("node", "shared", "need")
-    shared = shared.unionByName(first.filter("node2 is not null").select(F.col("node2").alias("node"), "shared", F.col("need2").alias("need")))
-    left = shared.groupBy("node").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select(F.col("node").alias("l"))
+    shared = met.filter("short is not null").select("short", "shared").unionByName(first.filter("short is not null").select("short", "shared"))
+    shared = shared.groupBy(F.col("short").alias("s")).agg(F.sum("shared").alias("shared"))
     rows = first.filter("key is not null").select("doc_id", "key", "n", "node")
     # One row stands for its class.
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
-    classes = staged(rows.filter("node is not null").groupBy("node").agg(F.min(row).alias("best")), "jaccard-classes")
-    stand = staged(classes.join(left, F.col("node") == F.col("l"), "left_semi").select(F.col("best.key").alias("stand")), "jaccard-stand")
+    classes = staged(rows.filter("node is not null").groupBy("node").agg(F.min(row).alias("best"), F.max("n").alias("n")), "jaccard-classes")
+    least = F.floor((4 * F.col("n") + 4) / 5)  # least_overlap(n)
+    need = F.greatest(F.lit(1), F.floor(least / 5))  # extra(least_overlap(n))
+    enough = classes.join(shared, F.col("node").bitwiseAND(F.lit(SEVERAL)) == F.col("s")).filter(F.col("shared") >= need)
+    stand = staged(enough.select(F.col("best.key").alias("stand")), "jaccard-stand")
     sets = docs.join(_near(stand, stand.count()), F.col("key") == F.col("stand"), "left_semi")
     sets = staged(whole_sets(sets), "jaccard-sets")
     often = met.filter("times > 0").orderBy(F.desc("times"), "token").limit(MOST_FREQUENT).select("token", "times").toArrow()
