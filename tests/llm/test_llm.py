@@ -177,6 +177,19 @@ def test_tree_join_loses_no_link():
     assert want and want <= got and len(got) < 3 * len(want) + 200
 
 
+@pytest.mark.parametrize("n", [256, 257, 258, 288, 289, 513, 544, 2049, 2304])
+def test_tree_join_looks_into_an_only_child(n):
+    # Pairs of equal sets, all sizes alike, at the end of the order too: the last node of a level may be an only child.
+    rng = np.random.default_rng(3)
+    pool = np.unique(rng.integers(0, 1 << 63, 20 * n + 1000, np.uint64))
+    rng.shuffle(pool)
+    sets = [np.sort(pool[k // 2 * 20 : k // 2 * 20 + 20]) for k in range(n)]
+    label = np.arange(n)
+    got = {tuple(sorted(p)) for some in jaccard.tree_join(np.full(n, 20), jaccard.bitmaps(sets), label) for p in some.tolist()}
+    assert {(k, k + 1) for k in range(0, n - 1, 2)} <= got
+    assert len(jaccard.join_group(sets, label)) == n // 2
+
+
 def test_embeddings_recall_and_links(spark):
     rng = np.random.default_rng(1)
     b = rng.normal(size=(500, 64))

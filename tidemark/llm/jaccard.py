@@ -272,11 +272,12 @@ class Tree:
     def __init__(self, sizes: np.ndarray, bits: np.ndarray, label: np.ndarray):
         pop = np.bitwise_count(bits).sum(1, dtype=np.int64)
         self.levels = []
-        low, high, slack, one = sizes, sizes, sizes - pop, label
+        low, high, slack, one, same = sizes, sizes, sizes - pop, label, np.ones(len(label), bool)
         width = LEAF
         while True:
             at = np.arange(0, len(low), width)
-            same = np.minimum.reduceat(one, at) == np.maximum.reduceat(one, at)
+            # A parent is one component if its children are and agree; a mixed only child gives it no component.
+            same = np.logical_and.reduceat(same, at) & (np.minimum.reduceat(one, at) == np.maximum.reduceat(one, at))
             bits = np.bitwise_or.reduceat(bits, at, axis=0)
             low, high, slack, one = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(slack, at), np.where(same, one[at], np.arange(len(at)) - (1 << 62))
             self.levels.append((bits, low, high, slack, one, same))
