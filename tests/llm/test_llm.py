@@ -143,6 +143,23 @@ def test_html(spark):
         assert r.text == "\n\n".join(p for p in parts if p)
 
 
+@pytest.mark.parametrize("n", [31, 33, 100, 3000])
+def test_html_finds_the_end_of_what_is_open_however_deep(n):
+    art = "<article><h1>Title of it</h1><p>Main text</p></article>"
+    for inner in ("<table>" + "<tr><td>one<td>two" * n + "</table>", "<table><tbody>" + "<tr><th>a<td><div>two" * n + "</table>", "<dl>" + "<dt>name<dd>said" * n + "</dl>", "<ul>" + "<li><div>one" * n + "</ul>", "<div>one" * n):
+        for tag, attrs in (("nav", ""), ("aside", ""), ("div", ' class="sidebar"')):
+            end = "</div>" * n if tag == "div" and inner.startswith("<div") else ""
+            assert html.main_text(f"<body><{tag}{attrs}>{inner}{end}</{tag}>{art}</body>") == "Title of it\n\nMain text"
+
+
+def test_html_elements_close_their_siblings_only():
+    places = lambda page: [(b.text, b.place) for b in html.blocks(page)]
+    no, unknown = html.NOT_MAIN, html.UNKNOWN
+    assert places("<table><tr><td class=ad>a<tr><td>b<table><tr class=ad><td>c</table>d</table>") == [("a", no), ("b", unknown), ("c", no), ("d", unknown)]
+    assert places("<dl><dt class=ad>a<dd>b<dl><dt>c</dl><dt>d</dl>") == [("a", no), ("b", unknown), ("c", unknown), ("d", unknown)]
+    assert places("<ul><li class=ad>a<ul><li>b</ul>c<li>d</ul>") == [("a", no), ("b", no), ("c", no), ("d", unknown)]
+
+
 def test_jaccard_equals_brute_force(spark, docs):
     rng = random.Random(5)
     vocab, rows = [f"w{i}" for i in range(2000)], []

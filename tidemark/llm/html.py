@@ -8,6 +8,7 @@ trained here on a labelled table of such rows, says which blocks are main text.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import cache
 from html import unescape
@@ -23,6 +24,11 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "cente
 OTHER = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "label"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "alertdialog", "form"}
 NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disqus", "footer", "form", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "paywall", "popup", "promo", "promoted", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget"}
+#: Elements of tables whose start ends those named first, out to the nearest of those named last (or the page).
+CELLS, ROWS, PARTS = ("td", "th"), ("tr", "td", "th"), ("tbody", "thead", "tfoot")
+ENDS = {t: (CELLS, ("tr", *PARTS, "table")) for t in CELLS} | {"tr": (ROWS, (*PARTS, "table"))} | {t: ((*PARTS, *ROWS), ("table",)) for t in PARTS}
+#: Elements of lists that end a sibling across open elements of the last kind, but no others.
+ITEMS, THROUGH = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}, {"address", "div", "p"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)""", re.S)
@@ -76,7 +82,8 @@ def _place(tag: str, attrs: str, inside: int) -> int:
 def blocks(html: str) -> list[Block]:
     """Text blocks in page order. Unclosed and stray tags are taken as they come."""
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []  # open elements that change the place or are blocks, with the place outside
+    stack: list[tuple[str, int, int]] = []  # open elements that change the place or are blocks, the place outside, the nearest block (itself included) that isn't in THROUGH
+    where: dict[str, list[int]] = defaultdict(lambda: [-1])  # where in the stack the open elements of a tag are
     place, link = UNKNOWN, 0
     text: list[str] = []
     linked: list[str] = []
@@ -89,6 +96,19 @@ def blocks(html: str) -> list[Block]:
             text.clear()
             linked.clear()
 
+    def push(tag: str) -> None:
+        wall = len(stack) if tag in BLOCKS and tag not in THROUGH else stack[-1][2] if stack else -1
+        where[tag].append(len(stack))
+        stack.append((tag, place, wall))
+
+    def leave(depth: int) -> int:
+        """Close all from this depth on; the place outside."""
+        outside = stack[depth][1]
+        for t, _, _ in stack[depth:]:
+            where[t].pop()
+        del stack[depth:]
+        return outside
+
     at = 0
     for m in _TOKEN.finditer(html):
         if m.start() < at:
@@ -105,7 +125,7 @@ def blocks(html: str) -> list[Block]:
             attrs = m[3]
             if tag == "head":
                 close()
-                stack.append((tag, place))
+                push(tag)
                 place = NOT_MAIN
                 continue
             if tag in SILENT:
@@ -116,30 +136,35 @@ def blocks(html: str) -> list[Block]:
             if tag in BLOCKS:
                 close()
                 if stack and stack[-1][0] == "head" and tag == "body":
-                    place = stack.pop()[1]
+                    place = leave(len(stack) - 1)
             elif tag == "br":
                 text.append(" ")
             if tag == "a":
                 link = 1
             inside = _place(tag, attrs, place)
             if tag not in VOID and not attrs.endswith("/") and (tag in BLOCKS or inside != place):
-                if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-                    place = stack.pop()[1]
+                before = len(stack)
+                if tag in ENDS:
+                    ended, wall = ENDS[tag][0], max(where[t][-1] for t in ENDS[tag][1])
+                    while (depth := max(where[t][-1] for t in ended)) > wall:
+                        place = leave(depth)
+                elif tag in ITEMS:
+                    if stack and (depth := stack[-1][2]) >= 0 and stack[depth][0] in ITEMS[tag]:
+                        place = leave(depth)
+                elif tag in ("p", "option") and stack and stack[-1][0] == tag:
+                    place = leave(before - 1)
+                if len(stack) < before:
                     inside = _place(tag, attrs, place)
-                stack.append((tag, place))
+                push(tag)
                 if inside != place and tag not in BLOCKS:
                     close()
                 place = inside
         else:
             if tag == "a":
                 link = 0
-            if any(t == tag for t, _ in stack[-64:]):
+            if (depth := where[tag][-1]) >= 0:
                 close()
-                while stack:
-                    t, outside = stack.pop()
-                    place = outside
-                    if t == tag:
-                        break
+                place = leave(depth)
             elif tag in BLOCKS:
                 close()
     if at < len(html):
