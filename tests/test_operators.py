@@ -1,4 +1,5 @@
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -208,6 +209,48 @@ def test_linear_leaves_fit_a_kinked_line(spark):
     assert evaluate.regression_report(out, "y", "prediction").first().r2 > 0.99
 
 
+def leaf_tree(x, y, depth=4):
+    """A plain tree with linear leaves; its predictions."""
+    line = lambda a, b: np.linalg.lstsq(np.c_[a, np.ones(len(a))], b, rcond=None)[0]
+    rss = lambda a, b: float(((np.c_[a, np.ones(len(a))] @ line(a, b) - b) ** 2).sum())
+    best = (np.inf,)
+    for f in range(x.shape[1] if depth else 0):
+        for t in np.linspace(x[:, f].min(), x[:, f].max(), 102)[1:-1]:
+            left = x[:, f] <= t
+            if 10 <= left.sum() <= len(x) - 10:
+                best = min(best, (rss(x[left], y[left]) + rss(x[~left], y[~left]), f, t))
+    if best[0] >= 0.9 * rss(x, y):
+        w = line(x, y)
+        return lambda v: np.c_[v, np.ones(len(v))] @ w
+    _, f, t = best
+    a, b = (leaf_tree(x[m], y[m], depth - 1) for m in (x[:, f] <= t, x[:, f] > t))
+    return lambda v: np.where(v[:, f] <= t, a(v), b(v))
+
+
+def test_linear_leaf_forest_equals_plain_trees_on_all_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.uniform(0, 10, (600, 2))
+    y = np.where(x[:, 0] < 4, 3 * x[:, 1], 50 - 2 * x[:, 0]) + np.where(x[:, 1] > 7, 9.0, 0.0) + rng.normal(size=600)
+    df = table(spark, [(i, *map(float, v), float(z)) for i, (v, z) in enumerate(zip(x, y))], "k long, a double, b double, y double").repartition(5)
+    steps = np.cumsum([np.exp(-1) / math.factorial(i) for i in range(9)])
+    want = 0
+    for t in range(2):
+        u = np.array([r.h for r in df.select("k", F.pmod(F.xxhash64(F.lit(1000 + t), "k"), F.lit(1_000_003)).alias("h")).orderBy("k").collect()])
+        at = np.repeat(np.arange(600), np.searchsorted(steps, (u + 0.5) / 1_000_003))
+        want = want + leaf_tree(x[at], y[at])(x) / 2
+    got = models.linear_leaf_forest(df, "k", ["a", "b"], "y", 2).orderBy("k").toPandas().prediction
+    assert np.allclose(got, want)
+
+
+def test_linear_leaves_learn_from_large_keys(spark):
+    df = table(spark, [(i, i % 50 / 10.0, 1.0 if i < 3000 else 9.0) for i in range(6000)], "k long, x double, y double")
+    for got in (models.linear_leaf_forest(df, "k", ["x"], "y", 2), models.linear_leaf_forest(df, "k", ["x"], "y", 2, 300)):
+        assert got.agg(F.avg("prediction")).first()[0] == pytest.approx(5, abs=0.5)
+    odd = table(spark, [(1, 2.0, 3.0), (2, None, 1.0), (3, 1.0, None)], "k long, x double, y double")
+    assert models.linear_leaf_forest(odd, "k", ["x"], "y").count() == 3
+    assert models.linear_leaf_forest(odd.filter("false"), "k", ["x"], "y").count() == 0
+
+
 def test_files(spark, tmp_path):
     files.write_csv(table(spark, [("a", "1.5"), ("b", "?")], "k string, v string"), f"{tmp_path}/c", 1)
     assert rows(files.read_dirty_csv(spark, f"{tmp_path}/c", ["v"])) == [("a", 1.5), ("b", None)]

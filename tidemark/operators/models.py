@@ -7,6 +7,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
@@ -112,66 +113,144 @@ def compare(df: DataFrame, features: str, label: str, seed: int = 1) -> DataFram
     return df.sparkSession.createDataFrame(rows, "model string, accuracy double, fit_seconds double, score_seconds double")
 
 
-def linear_leaf_tree(x: np.ndarray, y: np.ndarray, depth: int = 4, points: int = 100, least: int = 10, ratio: float = 0.9):
-    """A regression tree whose leaves are least-squares lines; splits while they cut the residual below ``ratio``."""
-
-    def line(a, b):
-        m = np.c_[a, np.ones(len(a))]
-        w = np.linalg.lstsq(m, b, rcond=None)[0]
-        return w, float(((m @ w - b) ** 2).sum())
-
-    w, rss = line(x, y)
-    best = None
-    if depth and len(x) >= 2 * least:
-        for f in range(x.shape[1]):
-            for t in np.linspace(x[:, f].min(), x[:, f].max(), points + 2)[1:-1]:
-                left = x[:, f] <= t
-                if least <= left.sum() <= len(x) - least:
-                    cost = line(x[left], y[left])[1] + line(x[~left], y[~left])[1]
-                    if best is None or cost < best[0]:
-                        best = cost, f, t, left
-    if best is None or best[0] >= ratio * rss:
-        return w
-    _, f, t, left = best
-    return f, t, linear_leaf_tree(x[left], y[left], depth - 1, points, least, ratio), linear_leaf_tree(x[~left], y[~left], depth - 1, points, least, ratio)
-
-
-def linear_leaf_forest(df: DataFrame, key: str, columns: list[str], label: str, trees: int = 8, sample: int = 2000, seed: int = 1) -> DataFrame:
-    """key, label, prediction: the mean of trees with linear leaves, each fitted to a bounded sample in a task of its own."""
-    rank = F.xxhash64(F.lit(seed), "_t", F.col(key))
-    rows = df.select(key, F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
-    total = max(1, rows.count())
-    share = min(1.0, 2.0 * sample / total)
-    drawn = rows.withColumn("_t", F.explode(F.sequence(F.lit(1), F.lit(trees)))).filter(F.pmod(rank, F.lit(1_000_003)) < int(share * 1_000_003))
-    xs = [f"_x{i}" for i in range(len(columns))]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        import pickle
-
-        pdf = pdf.sort_values(key).head(sample)
-        return pd.DataFrame({"_t": [int(pdf._t.iloc[0])], "m": [pickle.dumps(linear_leaf_tree(pdf[xs].to_numpy(), pdf._y.to_numpy()))]})
-
-    blobs = [bytes(r.m) for r in drawn.groupBy("_t").applyInPandas(fit, "_t long, m binary").collect()]  # a row a tree
+def _linear_rss(n: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (the constant last) and residual of least-squares lines from sums of 1, z and z z', y being the
+    last of z. Residuals within rounding of the sums count as 0."""
+    c = two - one[..., :, None] * one[..., None, :] / n[..., None, None]
+    w = np.einsum("...ij,...j->...i", np.linalg.pinv(c[..., :-1, :-1], rcond=1e-10, hermitian=True), c[..., :-1, -1])
+    rss = c[..., -1, -1] - (w * c[..., :-1, -1]).sum(-1)
+    mean = one / n[..., None]
+    return np.concatenate([w, mean[..., -1:] - (w * mean[..., :-1]).sum(-1, keepdims=True)], -1), np.where(rss > 1e-12 * two[..., -1, -1], rss, 0.0)
+
+
+def _leaf_sums(rows: DataFrame, d: int, splits: list[dict], grids: dict, points: int, shift: np.ndarray, scale: np.ndarray) -> pd.DataFrame:
+    """For each open node of a tree, feature and interval between its ``points`` thresholds: weighted sums of 1, z and
+    z z' (z: the shifted and scaled x and y) and the least and largest x. A row a node, feature and interval."""
+    upper = np.triu_indices(d + 1)
+    sums = [f"s{i}" for i in range(1 + d + 1 + len(upper[0]))]
+    ends = [f"{e}{i}" for e in ("lo", "hi") for i in range(d)]
+
+    def run(batches):
+        held = {at: (np.zeros((d, points + 1, len(sums))), np.full((d, points + 1, d), np.inf), np.full((d, points + 1, d), -np.inf)) for at in grids}
+        for batch in batches:
+            v = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1).astype(float)
+            for t, split in enumerate(splits):
+                if not any(tree == t for tree, _ in grids):
+                    continue
+                mine = v[v[:, d + 1 + t] > 0]
+                node = np.ones(len(mine), np.int64)
+                for k, (f, cut) in split.items():  # parents come before their children
+                    here = node == k
+                    node[here] = 2 * k + (mine[here, f] > cut)
+                for (tree, k), grid in grids.items():
+                    here = mine[node == k] if tree == t else mine[:0]
+                    if len(here):
+                        x, w, z = here[:, :d], here[:, d + 1 + t], (here[:, : d + 1] - shift) / scale
+                        terms = np.c_[np.ones(len(z)), z, z[:, upper[0]] * z[:, upper[1]]] * w[:, None]
+                        total, low, high = held[tree, k]
+                        for f in range(d):
+                            b = np.searchsorted(grid[f], x[:, f], "left")
+                            total[f] += np.stack([np.bincount(b, col, points + 1) for col in terms.T], 1)
+                            np.minimum.at(low[f], b, x)
+                            np.maximum.at(high[f], b, x)
+        out = []
+        for (t, k), (total, low, high) in held.items():
+            f, b = np.nonzero(total[:, :, 0])
+            out.append(np.c_[np.full(len(f), t), np.full(len(f), k), f, b, total[f, b], low[f, b], high[f, b]])
+        table = np.concatenate(out)
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64) if i < 4 else c) for i, c in enumerate(table.T)], names=["t", "k", "f", "b", *sums, *ends])
+
+    kinds = ", ".join(["t long, k long, f long, b long", *[f"{c} double" for c in (*sums, *ends)]])
+    how = [F.sum(c).alias(c) for c in sums] + [(F.min if c[0] == "l" else F.max)(c).alias(c) for c in ends]
+    return rows.mapInArrow(run, kinds).groupBy("t", "k", "f", "b").agg(*how).toPandas()
+
+
+def linear_leaf_forest(df: DataFrame, key: str, columns: list[str], label: str, trees: int = 8, sample: int | None = None, seed: int = 1, depth: int = 4, points: int = 100, least: int = 10, ratio: float = 0.9) -> DataFrame:
+    """key, label, prediction: the mean of regression trees whose leaves are least-squares lines, fitted to all rows.
+
+    A row's weight in a tree is a Poisson(1) draw by a hash of key and tree; with ``sample``, a tree takes so many rows
+    of the least hashes instead. A node splits at one of ``points`` thresholds a feature, evenly between the ends of
+    its rows, while that cuts the residual below ``ratio`` and leaves ``least`` rows. Each level takes one pass over
+    the table; what is collected are sums, a row for each node, feature and interval between thresholds.
+    """
+    d, xs = len(columns), [f"_x{i}" for i in range(len(columns))]
+    rows = df.select(key, F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(x) for c, x in zip(columns, xs, strict=True)])
+    known = rows.filter(" and ".join(f"abs({c}) < double('infinity')" for c in (*xs, "_y")))
+    weights = []
+    for t in range(trees):
+        rank = F.xxhash64(F.lit(seed * 1000 + t), F.col(key))
+        if sample is None:
+            u = (F.pmod(rank, F.lit(1_000_003)) + 0.5) / 1_000_003.0
+            steps = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(9)])
+            weights.append(sum((F.when(u > float(s), 1.0).otherwise(0.0) for s in steps[1:]), F.when(u > float(steps[0]), 1.0).otherwise(0.0)))
+        else:
+            last = known.select(rank.alias("r")).orderBy("r").limit(sample).agg(F.max("r")).first()[0]
+            weights.append((rank <= F.lit(last)).cast("double"))
+    wide = known.select(*xs, "_y", *[w.alias(f"_w{t}") for t, w in enumerate(weights)])
+    ends = [e(F.when(F.col(f"_w{t}") > 0, F.col(x))) for t in range(trees) for e in (F.min, F.max) for x in xs]
+    got = list(wide.agg(*[F.avg(c) for c in (*xs, "_y")], *[F.stddev_pop(c) for c in (*xs, "_y")], *ends).first())
+    # A tree without rows has no ends; only tables of a few rows have such.
+    bounds = {(t, 1): np.array(got[2 * d + 2 + 2 * d * t :][: 2 * d], float).reshape(2, d) for t in range(trees) if got[2 * d + 2 + 2 * d * t] is not None}
+    shift, scale = (np.array(got[i : i + d + 1], float) for i in (0, d + 1))
+    scale = np.where(scale > 0, scale, 1.0)
+    upper, splits, lines, open_nodes = np.triu_indices(d + 1), [{} for _ in range(trees)], {}, bounds
+
+    def fit(s):
+        two = np.zeros((*s.shape[:-1], d + 1, d + 1))
+        two[..., upper[0], upper[1]] = two[..., upper[1], upper[0]] = s[..., d + 2 :]
+        return _linear_rss(s[..., 0], s[..., 1 : d + 2], two)
+
+    for _ in range(depth):
+        if not open_nodes:
+            break
+        grids = {at: np.linspace(*ends, points + 2)[1:-1].T for at, ends in open_nodes.items()}
+        sums = _leaf_sums(wide, d, splits, grids, points, shift, scale).to_numpy(float)
+        kids = {}
+        for (t, k), grid in grids.items():
+            here = sums[(sums[:, 0] == t) & (sums[:, 1] == k)]
+            f, b = here[:, 2].astype(int), here[:, 3].astype(int)
+            n_sums = sums.shape[1] - 4 - 2 * d
+            part = np.zeros((d, points + 1, n_sums))
+            part[f, b] = here[:, 4 : 4 + n_sums]
+            low, high = np.full((d, points + 1, d), np.inf), np.full((d, points + 1, d), -np.inf)
+            low[f, b], high[f, b] = here[:, 4 + n_sums : 4 + n_sums + d], here[:, 4 + n_sums + d :]
+            lines[t, k], rss = fit(part[0].sum(0))
+            left, right = part.cumsum(1)[:, :-1], part[:, ::-1].cumsum(1)[:, ::-1][:, 1:]
+            enough = np.argwhere((left[..., 0] >= least) & (right[..., 0] >= least))  # by feature and threshold
+            if not len(enough):
+                continue
+            i, j = enough.T
+            one, two = fit(left[i, j]), fit(right[i, j])
+            cost = one[1] + two[1]
+            best = int(np.flatnonzero(cost <= cost.min() + 1e-9 * rss)[0])
+            if cost[best] >= ratio * rss:
+                continue
+            f, b = int(i[best]), int(j[best])
+            splits[t][k] = f, float(grid[f][b])
+            lines[t, 2 * k], lines[t, 2 * k + 1] = one[0][best], two[0][best]
+            kids[t, 2 * k] = np.stack([low[f, : b + 1].min(0), high[f, : b + 1].max(0)])
+            kids[t, 2 * k + 1] = np.stack([low[f, b + 1 :].min(0), high[f, b + 1 :].max(0)])
+        open_nodes = kids
+
+    forest = []
+    for t in sorted({t for t, _ in lines}):
+        slope = {k: w[:-1] * scale[-1] / scale[:-1] for (tree, k), w in lines.items() if tree == t}
+        forest.append((splits[t], {k: np.r_[a, shift[-1] + scale[-1] * lines[t, k][-1] - a @ shift[:-1]] for k, a in slope.items()}))
 
     @F.pandas_udf("double")
     def predict(*cols: pd.Series) -> pd.Series:
-        import pickle
-
         x = np.stack([c.to_numpy(float) for c in cols], 1)
         total = np.zeros(len(x))
-
-        def run(node, at):
-            if isinstance(node, tuple):
-                f, t, a, b = node
-                left = x[at, f] <= t
-                run(a, at[left])
-                run(b, at[~left])
-            elif len(at):
-                total[at] += np.c_[x[at], np.ones(len(at))] @ node
-
-        for blob in blobs:
-            run(pickle.loads(blob), np.arange(len(x)))
-        return pd.Series(total / len(blobs))
+        for split, line in forest:
+            node = np.ones(len(x), np.int64)
+            for k, (f, cut) in split.items():
+                here = node == k
+                node[here] = 2 * k + ~(x[here, f] <= cut)
+            for k, w in line.items():
+                if k not in split:
+                    at = np.flatnonzero(node == k)
+                    total[at] += np.c_[x[at], np.ones(len(at))] @ w
+        return pd.Series(total / len(forest) if forest else np.full(len(x), shift[-1]))
 
     return rows.withColumn("prediction", predict(*xs)).select(key, F.col("_y").alias(label), "prediction")
 

@@ -247,7 +247,7 @@ def model_comparison(t):
 @query()
 def linear_leaf_forest(t):
     p = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_quantity", "l_discount", "l_extendedprice")
-    return models.linear_leaf_forest(p, "k", ["l_quantity", "l_discount"], "l_extendedprice", 2, 300)
+    return models.linear_leaf_forest(p, "k", ["l_quantity", "l_discount"], "l_extendedprice", 2)
 
 
 @query()
