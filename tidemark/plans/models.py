@@ -51,7 +51,7 @@ def _windows(t, stride=12, drop_last=False):
 
 @query()
 def stft_power(t):
-    return signal.stft_power(_windows(t)).select("event_type", "window_start", "power")
+    return signal.stft_power(_windows(t, 1)).select("event_type", "window_start", "power")
 
 
 @query()
@@ -68,7 +68,7 @@ def stft_state_labels(t):
 
 @query()
 def stft_anomalies(t):
-    p = signal.band_columns(signal.stft_power(_windows(t, 4)), "power", 4, 12).withColumn("key", F.xxhash64("event_type", "window_start"))
+    p = signal.band_columns(signal.stft_power(_windows(t, 1)), "power", 4, 12).withColumn("key", F.xxhash64("event_type", "window_start"))
     f = anomaly.IsolationForest(50).fit(p, "key", ["f_4", "f_8", "f_12"])
     flagged = anomaly.flag_share(f.score(p), "score", 0.05)
     return flagged.filter("is_outlier").select("event_type", (F.col("window_start") + 12).alias("centre"), "score")
