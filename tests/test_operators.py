@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidemark import catalog
 from tidemark.functions import scalar
 from tidemark.operators import anomaly, binning, cluster, evaluate, itemsets, linalg, models, profile, recode, relate, series, signal, splits, summary, text, trends
 from tidemark.sources import files, generators
@@ -117,6 +118,21 @@ def test_miners_agree_and_support_falls_with_size(spark):
     assert len(r) == 12 and all(0 <= x.confidence <= 1 for x in r)
 
 
+def test_itemsets_of_all_sizes(spark, tmp_path):
+    b = table(spark, [(i, list("abcdefg")) for i in range(3)] + [(9, ["a", "z"])], "basket int, items array<string>")
+    want = {c: 4 if c == ("a",) else 3 for k in range(1, 8) for c in itertools.combinations("abcdefg", k)}
+    assert {tuple(r["items"]): r.n for r in itemsets.apriori(b, 3).collect()} == want
+    assert {tuple(r["items"]): r.n for r in itemsets.fp_growth(b, 3, 4).collect()} == want
+    assert max(len(r["items"]) for r in itemsets.apriori(b, 3, 4).collect()) == 4
+    table(spark, [(p, f"type {p}") for p in range(5)], "p_partkey long, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(2000).selectExpr("id div 5 as l_orderkey", "id % 5 as l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sizes = [1, 2, 3, 4, 5]
+    for name in ("apriori_all_sizes", "fpgrowth_all_sizes"):
+        got = catalog.QUERIES[name](spark, str(tmp_path)).collect()
+        assert [sum(r["items"].count("|") + 1 == k for r in got) for k in sizes] == [math.comb(5, k) for k in sizes] and {r.n for r in got} == {400}
+    assert catalog.QUERIES["association_rules_all_sizes"](spark, str(tmp_path)).count() == sum(math.comb(5, k) * (2**k - 2) for k in sizes)
+
+
 def test_tokens_and_contexts(spark):
     t = text.tokens(table(spark, [(1, "The cat, the\nhat.")], "k int, t string"), "k", "t")
     assert [r.token for r in t.orderBy("pos").collect()] == ["the", "cat", ",", "the", "hat", "."]

@@ -21,8 +21,9 @@ def order_by_frequency(b: DataFrame) -> DataFrame:
     return pairs.select("basket", F.transform("s", lambda x: x["item"]).alias("items"))
 
 
-def apriori(b: DataFrame, least: int, longest: int = 5) -> DataFrame:
-    """items, n: every itemset in at least ``least`` baskets, level by level.
+def apriori(b: DataFrame, least: int, longest: int | None = None) -> DataFrame:
+    """items, n: every itemset in at least ``least`` baskets, level by level until one has fewer than two, or to
+    ``longest`` items.
 
     Candidates of a level come from pairs with the same prefix, and only those all of whose subsets are frequent
     are counted. Baskets shrink to the frequent items first; a level is counted with one join on a single item.
@@ -32,7 +33,7 @@ def apriori(b: DataFrame, least: int, longest: int = 5) -> DataFrame:
     frequent = level.select(F.col("items")[0].alias("item"))
     slim = cut(rows.join(frequent, "item", "left_semi").groupBy("basket").agg(F.array_sort(F.collect_set("item")).alias("items")))
     out, k = level, 1
-    while k < longest and level.count() > 1:
+    while (longest is None or k < longest) and level.count() > 1:
         prefix = lambda c: F.slice(c, 1, k - 1) if k > 1 else F.array()  # noqa: B023, E731
         a = level.select(F.col("items").alias("a"), prefix(F.col("items")).cast("array<string>").alias("p"))
         z = level.select(F.element_at("items", -1).alias("last"), prefix(F.col("items")).cast("array<string>").alias("p"))

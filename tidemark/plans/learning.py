@@ -55,6 +55,25 @@ def association_rules_full(t):
     return r.select(_text("antecedent"), _text("consequent"), *[F.round(c, 9).alias(c) for c in r.columns[2:]])
 
 
+# The three queries above end at three items, as their SQL does; these go on until a level has fewer than two sets.
+@query()
+def apriori_all_sizes(t):
+    return itemsets.apriori(_baskets(t), _LEAST).select(_text("items"), "n")
+
+
+@query()
+def fpgrowth_all_sizes(t):
+    b = _baskets(t)
+    return itemsets.fp_growth(b, _LEAST, b.count()).select(_text("items"), "n")
+
+
+@query()
+def association_rules_all_sizes(t):
+    b = _baskets(t)
+    r = itemsets.rules(itemsets.apriori(b, _LEAST), b.count())
+    return r.select(_text("antecedent"), _text("consequent"), *[F.round(c, 9).alias(c) for c in r.columns[2:]])
+
+
 _PUNCT = r"""([.,!?;:()\[\]{}"''])"""
 _TOKENS = f"""SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower(text), '[\\r\\n]+', ' ', 'g'), '{_PUNCT}', ' \\1 ', 'g')), '\\s+'), lambda x: x <> '') AS w FROM documents)"""
 
