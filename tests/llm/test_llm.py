@@ -109,6 +109,23 @@ def test_automaton_gives_matching_statistics():
         assert [(e, n) for e, _, n in a.matches(q, 2)] == [(i, size[i]) for i in range(1, len(q) + 1) if size[i] >= 2 and size[i + 1] != size[i] + 1]
 
 
+def test_chains_reach_over_all_anchors_within_the_gap():
+    # 25 short anchors of another place of the template lie between two that go together.
+    anchors = [(0, 100, 10)] + [(11 + i, 5, 3) for i in range(25)] + [(39, 110, 10)]
+    assert licenses.chains(anchors, 30)[-1] == (0, 49, 20) and licenses.chains(anchors, 28)[-1] == (35, 49, 13)
+
+
+def test_automaton_keeps_every_place():
+    rng = random.Random(3)
+    for _ in range(30):
+        texts = [[rng.randint(0, 2) for _ in range(rng.randint(1, 12))] for _ in range(3)]
+        a = licenses.Automaton(texts)
+        q = [rng.randint(0, 2) for _ in range(30)]
+        for end, state, n in a.matches(q, 1):
+            want = {t: {e for e in range(n, len(x) + 1) if x[e - n : e] == q[end - n : end]} for t, x in enumerate(texts)}
+            assert a.ends[state] == {t: e for t, e in want.items() if e}
+
+
 def test_chats_read_back(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     texts = [said, "\\", "<\\|", "\\<|", "a\\\\<|turn|>b", "", None, "é\U0001f600", "<|turn|>"]

@@ -43,20 +43,20 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton over word ids; ``ends[state]``: a place after it in each template that has it."""
+    """Generalised suffix automaton over word ids; ``ends[state]``: the places after it in each template that has it."""
 
     def __init__(self, texts: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, set[int]]] = [{}]
         for t, words in enumerate(texts):
             last = 0
             for i, w in enumerate(words):
                 last = self._extend(last, w)
-                self.ends[last].setdefault(t, i + 1)
+                self.ends[last].setdefault(t, set()).add(i + 1)
         for s in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
             for t, e in self.ends[s].items():  # what ends here also ends with each suffix
-                self.ends[self.link[s]].setdefault(t, e)
+                self.ends[self.link[s]].setdefault(t, set()).update(e)
 
     def _new(self, length: int) -> int:
         self.next.append({})
@@ -113,14 +113,17 @@ class Automaton:
 
 
 def chains(anchors: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
-    """(start, end, template words) of chains of (start in text, start in template, length), in text order."""
+    """(start, end, template words) of chains of (start in text, start in template, length), which come in
+    the order of their ends in the text."""
     best: list[tuple[int, int, int]] = []  # covered, first start, previous end in the text
     for j, (x, y, n) in enumerate(anchors):
         got = (n, x)
-        for i in range(max(0, j - 16), j):
+        for i in range(j - 1, -1, -1):
             px, py, pn = anchors[i]
+            if px + pn < x - gap:
+                break  # so do all before it
             lap = max(0, px + pn - x, py + pn - y)
-            if px < x and py < y and lap < n and x - px - pn <= gap:
+            if px < x and py < y and lap < n:
                 got = max(got, (best[i][0] + n - lap, best[i][1]))
         best.append((got[0], got[1], x + n))
     return [(start, end, cover) for cover, start, end in best]
@@ -152,8 +155,8 @@ def scanner(templates=TEMPLATES, phrases=PHRASES, min_anchor=MIN_ANCHOR, min_sha
                             found.add(label)
             anchors = defaultdict(list)
             for end, state, length in automaton.matches(ids, min_anchor):
-                for t, e in automaton.ends[state].items():
-                    anchors[t].append((end - length, e - length, length))
+                for t, places in automaton.ends[state].items():
+                    anchors[t] += [(end - length, e - length, length) for e in sorted(places)]
             score, also, spans = 0.0, set(found), []
             for t, each in anchors.items():
                 for start, end, cover in chains(each, max_gap):
