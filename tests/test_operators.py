@@ -171,6 +171,12 @@ def test_periodogram_finds_a_line_and_keeps_the_variance(spark):
     assert signal.spectral_peaks(p, "s").filter("rank = 1").first().period_hours == pytest.approx(12)
 
 
+def test_spectral_peaks_beyond_many_strong_lines_of_one_period(spark):
+    psd = [("s", k, 1000.0 + k / 100, 1000.0 + k if k % 4 == 0 else 1.0) for k in range(1, 4001)] + [("s", 5000 + k, 10.0 + k, 500.0 if k == 50 else 1.0) for k in range(100)]
+    got = signal.spectral_peaks(table(spark, psd, "s string, k long, period_hours double, psd double"), "s")
+    assert [(r.rank, r.period_hours) for r in got.orderBy("rank").collect()] == [(1, 1040.0), (2, 60.0)]
+
+
 def test_weibull(spark):
     x = 3.0 * np.random.default_rng(3).weibull(1.7, 4000)
     fit = signal.weibull_fit(table(spark, [("s", float(v)) for v in x], "s string, v double"), "s", "v").first()

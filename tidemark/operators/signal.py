@@ -44,11 +44,12 @@ def periodogram(df: DataFrame, series: str, at: str, value: str, step_hours: flo
 def spectral_peaks(psd: DataFrame, series: str, reach: int = 20, prominence: float = 10.0, apart: float = 0.1, most: int = 10) -> DataFrame:
     """series, rank, period_hours, psd: lines over ``prominence`` times the local median, the strongest first.
 
-    A line closer than ``apart`` of its period to a stronger one is left out. The few candidates are folded in order.
+    A line closer than ``apart`` of its period to a stronger one is left out. All candidates of a
+    series are folded in order, ``most`` comparisons each.
     """
     med = F.percentile("psd", F.lit(0.5)).over(Window.partitionBy(series).orderBy("k").rowsBetween(-reach, reach))
     top = psd.withColumn("m", med).filter((F.col("m") > 0) & (F.col("psd") / F.col("m") > prominence))
-    cands = top.groupBy(series).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("psd")).alias("s"), F.col("period_hours").alias("p")))), 1, 500).alias("c"))
+    cands = top.groupBy(series).agg(F.array_sort(F.collect_list(F.struct((-F.col("psd")).alias("s"), F.col("period_hours").alias("p")))).alias("c"))
     kind = "array<struct<s:double,p:double>>"
 
     def step(acc: Column, x: Column) -> Column:
