@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,9 @@ from .common import pick, small_batches, staged, text_steps
 #: Fixed values of the public tokenizer: its pattern, its special token and the id that ends a document here.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL = {"<|endoftext|>": 50256}
+#: White space as the pattern's ``\s`` has it; runs so long are encoded apart where the pattern can't take them.
+SPACES = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_RUN = 1000
 STOP = 0
 LENGTH = 1024
 #: Input partitions up to which their totals are broadcast (16 bytes each).
@@ -35,19 +39,45 @@ def default_tokenizer() -> str:
 
 
 def encoder(path: str):
-    """Text -> uint32 ids. The rank file beside a .json tokenizer holds the same vocabulary and gives the same ids faster."""
-    ranks = os.path.splitext(path)[0] + ".tiktoken"
-    if os.path.exists(ranks):
-        import tiktoken
-
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        own = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens=SPECIAL)
-        return lambda text: own.encode_to_numpy(text, allowed_special="all")
-    from tokenizers import Tokenizer
+    """Text -> uint32 ids. The rank file beside a .json tokenizer holds the same vocabulary and gives the same ids faster.
 
-    tok = Tokenizer.from_file(path)
-    return lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32)
+    Its engine keeps a place for each character of a run of white space and gives up on runs of about a million.
+    Such a text is cut as the pattern would cut it: a run, but for its last character if words follow, is one piece.
+    """
+    ranks = os.path.splitext(path)[0] + ".tiktoken"
+    if not os.path.exists(ranks):
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        return lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32)
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens=SPECIAL)
+    special, runs = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")"), re.compile(f"{SPACES}{{{LONG_RUN},}}")
+
+    def whole(text: str) -> np.ndarray:
+        return own.encode_to_numpy(text, allowed_special="all")
+
+    def cut(text: str) -> np.ndarray:
+        out = []
+        for part in special.split(text):
+            at = 0
+            for m in () if part in SPECIAL else runs.finditer(part):
+                end = m.end() - (m.end() < len(part))
+                out += [whole(part[at : m.start()]), np.array(own._encode_single_piece(part[m.start() : end]), np.uint32)]
+                at = end
+            out.append(whole(part[at:]))
+        return np.concatenate(out)
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return whole(text)
+        except ValueError:
+            return cut(text)
+
+    return encode
 
 
 def tokenise(docs: DataFrame, path: str, stop: int = STOP) -> DataFrame:
