@@ -1,8 +1,8 @@
 """HTML extraction: flat text blocks, classified by a decision tree.
 
-A page becomes a flat list of text blocks. Each has its word count and link density, those of its neighbours, and
-whether it stands in an article or in a container that names itself as something else. A small decision tree,
-trained here on a labelled table of such rows, says which blocks are main text.
+A page becomes a flat list of text blocks. Each has its word count and link density, those of its neighbours, where
+it stands (an article, a container that is or names itself as something else, neither), and how much of the page's
+open text stands in articles. A small decision tree, trained here on labelled pages, says which blocks are main text.
 """
 
 from __future__ import annotations
@@ -18,28 +18,46 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts, pick
 
-#: Elements that hold no text of the page, that start a block, and that never are main text.
-SILENT = {"script", "style", "noscript", "template", "title", "svg", "math", "iframe", "object", "textarea", "select", "canvas", "audio", "video", "datalist"}
+#: Elements whose content is no markup, elements that hold no text of the page, elements that start a
+#: block, and elements that never are main text.
+RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes"}
+SILENT = {"noscript", "template", "svg", "math", "object", "select", "canvas", "audio", "video", "datalist"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-OTHER = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "label"}
+OTHER = {"nav", "header", "footer", "aside", "menu", "dialog", "button", "label"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "alertdialog", "form"}
 NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disqus", "footer", "form", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "paywall", "popup", "promo", "promoted", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget"}
+#: Names of an article that is a reader's or something beside the page's own.
+NOT_ARTICLE = {"comment", "comment-body", "reply", "related", "promo", "advert", "advertisement", "ad", "sponsored", "teaser"}
+#: What may stand in a head; elements of the foreign kind, which alone can end in their start tag.
+IN_HEAD = {"base", "basefont", "bgsound", "head", "link", "meta", "title", "style", "script", "noscript", "template", "noframes"}
+FOREIGN = {"svg", "math"}
 #: Elements of tables whose start ends those named first, out to the nearest of those named last (or the page).
 CELLS, ROWS, PARTS = ("td", "th"), ("tr", "td", "th"), ("tbody", "thead", "tfoot")
 ENDS = {t: (CELLS, ("tr", *PARTS, "table")) for t in CELLS} | {"tr": (ROWS, (*PARTS, "table"))} | {t: ((*PARTS, *ROWS), ("table",)) for t in PARTS}
+#: Elements that an end tag of another kind doesn't reach out of, and the end tags that do.
+WALLS, TABLE = ("td", "th", "caption", "table", "object", "template"), {"table", "caption", "tr", *CELLS, *PARTS, "body", "html"}
+#: Headings end each other; a paragraph ends where a block starts, but for these.
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+IN_PARAGRAPH = {"option", "optgroup", "body", "html", "legend", "tr", "caption", *CELLS, *PARTS}
 #: Elements of lists that end a sibling across open elements of the last kind, but no others.
 ITEMS, THROUGH = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}, {"address", "div", "p"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>]|$)""", re.I)
-_SPACE = re.compile(r"[ \t\n\r\f\v ]+")
+#: A comment, a declaration, or a tag (slash, name, attributes). A quote counts right after ``=`` only, if it is closed.
+_S = r"[ \t\n\f\r]"
+_KEY = r"(?:=[^ \t\n\f\r/>=]*+|[^ \t\n\f\r/>=]++)"
+_VALUE = rf"""{_S}*+={_S}*+(?:"[^"]*+"|'[^']*+'|[^ \t\n\f\r>]*+)"""
+_TOKEN = re.compile(rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)((?:(?:{_S}|/)++|{_KEY}(?:{_VALUE})?+)*+)(?:>|\Z)""", re.S)
+_ATTR = re.compile(rf"""({_KEY})(?:{_S}*={_S}*("[^"]*"|'[^']*'|[^ \t\n\f\r>]*))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Words that make a name say something else (``with-sidebar``), and whose header is the article's own.
-BESIDE = {"has", "with", "without", "no", "show", "hide"}
+BESIDE = {"has", "with", "without", "no", "show", "hide", "open", "closed", "off"}
 OWN = {"article", "post", "entry", "content", "story", "main"}
 HEADERS = {"header", "masthead"}
-UNKNOWN, NOT_MAIN, MAIN = 0, 1, 2
+#: Where a block stands: nowhere known, in what names itself something else than main text, in an article, in an element
+#: (or role) that never holds main text, in a form.
+UNKNOWN, NOT_MAIN, MAIN, CHROME, FORM = range(5)
 
 
 @dataclass
@@ -51,7 +69,7 @@ class Block:
 
     @property
     def density(self) -> float:
-        return self.linked / self.words if self.words else 0.0
+        return min(1.0, self.linked / self.words) if self.words else 0.0
 
 
 def _says_other(name: str, inside: int) -> bool:
@@ -63,130 +81,186 @@ def _says_other(name: str, inside: int) -> bool:
     return bool(found) and not BESIDE & words
 
 
+def _attributes(attrs: str) -> dict[str, str]:
+    """Names in lower case and values; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        value = m[2] or ""
+        if len(value) > 1 and value[0] in "\"'" and value[-1] == value[0]:
+            value = value[1:-1]
+        out.setdefault(m[1].lower(), unescape(value) if "&" in value else value)
+    return out
+
+
+def _ends_itself(attrs: str) -> bool:
+    """Whether the last slash stands alone, not in a value."""
+    return attrs.endswith("/") and max((m.end() for m in _ATTR.finditer(attrs)), default=0) < len(attrs)
+
+
 def _place(tag: str, attrs: str, inside: int) -> int:
+    """Where the content of an element stands that itself stands ``inside``."""
     if tag in OTHER and not (tag == "header" and inside == MAIN):
+        return CHROME
+    has = _attributes(attrs) if attrs else {}
+    role = has.get("role", "").strip().lower()
+    if "hidden" in has or role in ROLES or has.get("aria-hidden", "").strip().lower() == "true" or _UNSEEN.search(has.get("style", "")):
+        return CHROME
+    names = [x for k in ("class", "id") for x in has.get(k, "").split()]
+    if inside == CHROME or tag in ("body", "html"):
+        return inside
+    if tag == "main" or role == "main":
+        return MAIN
+    if tag == "article" or role == "article":
+        return NOT_MAIN if any(x.lower() in NOT_ARTICLE for x in names) else inside if inside == NOT_MAIN else MAIN
+    if any(_says_other(x, inside) for x in names):
         return NOT_MAIN
-    if attrs:
-        for m in _ATTR.finditer(attrs):
-            raw = (m[2] or "").strip("\"'")
-            value, name = raw.lower(), m[1].lower()
-            if name in ("class", "id") and tag not in ("body", "html", "article", "main") and any(_says_other(x, inside) for x in raw.split()):
-                return NOT_MAIN
-            if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-                return NOT_MAIN
-            if name == "role" and value in ("main", "article") and inside != NOT_MAIN:
-                return MAIN
-    return MAIN if tag in ("article", "main") and inside != NOT_MAIN else inside
+    return FORM if tag == "form" and inside != NOT_MAIN else inside
 
 
 def blocks(html: str) -> list[Block]:
-    """Text blocks in page order. Unclosed and stray tags are taken as they come."""
+    """Text blocks in page order. Unclosed and stray tags are taken as they come, and no nesting is too deep.
+
+    Inline elements that aren't main text leave their paragraph whole: their text is dropped.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # open elements that change the place or are blocks, the place outside, the nearest block (itself included) that isn't in THROUGH
+    # Open elements that change the place or are blocks: tag; the place, link and mute outside; the nearest block (itself
+    # included) that isn't in THROUGH.
+    stack: list[tuple[str, int, bool, bool, int]] = []
     where: dict[str, list[int]] = defaultdict(lambda: [-1])  # where in the stack the open elements of a tag are
-    place, link = UNKNOWN, 0
+    place, link, mute = UNKNOWN, False, False
     text: list[str] = []
     linked: list[str] = []
 
     def close() -> None:
-        if text:
-            whole = _SPACE.sub(" ", unescape("".join(text))).strip(" ")
+        if text and not mute:
+            whole = " ".join(unescape("".join(text)).split())
             if whole:
-                out.append(Block(whole, len(whole.split()), len(unescape(" ".join(linked)).split()), place))
+                out.append(Block(whole, whole.count(" ") + 1, len(unescape(" ".join(linked)).split()), place))
             text.clear()
             linked.clear()
 
     def push(tag: str) -> None:
-        wall = len(stack) if tag in BLOCKS and tag not in THROUGH else stack[-1][2] if stack else -1
+        wall = len(stack) if tag in BLOCKS and tag not in THROUGH else stack[-1][4] if stack else -1
         where[tag].append(len(stack))
-        stack.append((tag, place, wall))
+        stack.append((tag, place, link, mute, wall))
 
-    def leave(depth: int) -> int:
-        """Close all from this depth on; the place outside."""
-        outside = stack[depth][1]
-        for t, _, _ in stack[depth:]:
+    def leave(depth: int) -> tuple[int, bool, bool]:
+        """Close all from this depth on; place, link and mute outside."""
+        outside = stack[depth][1:4]
+        for t, *_ in stack[depth:]:
             where[t].pop()
         del stack[depth:]
         return outside
 
-    at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            text.append(html[at : m.start()])
+    at, size = 0, len(html)
+    while at < size:
+        m = _TOKEN.search(html, at)
+        start = m.start() if m else size
+        if start > at and not mute:
+            piece = html[at:start]
+            if stack and stack[-1][0] == "head" and not piece.isspace():
+                place, link, mute = leave(len(stack) - 1)
+            text.append(piece)
             if link:
-                linked.append(html[at : m.start()])
+                linked.append(piece)
+        if not m:
+            break
         at = m.end()
-        tag = (m[1] or m[2] or "").lower()
-        if not tag:
+        if not m[2]:
             continue
-        if m[2]:
-            attrs = m[3]
-            if tag == "head":
-                close()
-                push(tag)
-                place = NOT_MAIN
-                continue
-            if tag in SILENT:
-                if not attrs.endswith("/"):  # what it holds isn't markup: go to its end tag
-                    end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                    at = end.end() if end else len(html)
-                continue
-            if tag in BLOCKS:
-                close()
-                if stack and stack[-1][0] == "head" and tag == "body":
-                    place = leave(len(stack) - 1)
-            elif tag == "br":
+        tag, attrs = m[2].lower(), m[3]
+        if m[1]:
+            if tag == "br" and not mute:
                 text.append(" ")
+            depth = max(where[t][-1] for t in HEADINGS) if tag in HEADINGS else where[tag][-1]
             if tag == "a":
-                link = 1
-            inside = _place(tag, attrs, place)
-            if tag not in VOID and not attrs.endswith("/") and (tag in BLOCKS or inside != place):
-                before = len(stack)
-                if tag in ENDS:
-                    ended, wall = ENDS[tag][0], max(where[t][-1] for t in ENDS[tag][1])
-                    while (depth := max(where[t][-1] for t in ended)) > wall:
-                        place = leave(depth)
-                elif tag in ITEMS:
-                    if stack and (depth := stack[-1][2]) >= 0 and stack[depth][0] in ITEMS[tag]:
-                        place = leave(depth)
-                elif tag in ("p", "option") and stack and stack[-1][0] == tag:
-                    place = leave(before - 1)
-                if len(stack) < before:
-                    inside = _place(tag, attrs, place)
-                push(tag)
-                if inside != place and tag not in BLOCKS:
-                    close()
-                place = inside
-        else:
-            if tag == "a":
-                link = 0
-            if (depth := where[tag][-1]) >= 0:
+                link = False
+            if depth >= 0 and (tag in TABLE or depth >= max(where[t][-1] for t in WALLS)):
+                close()
+                place, link, mute = leave(depth)
+            elif tag == "p":
+                close()
+            continue
+        if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+            close()
+            place, link, mute = leave(len(stack) - 1)
+        if tag == "head":
+            if not stack or stack[-1][0] == "html":
                 close()
-                place = leave(depth)
-            elif tag in BLOCKS:
+                push(tag)
+                place = CHROME
+            continue
+        if tag in RAW:  # what it holds isn't markup: go to its end tag
+            end = re.compile(rf"</{tag}(?=[ \t\n\f\r/>])[^>]*(?:>|\Z)", re.I).search(html, at)
+            at = end.end() if end else size
+            continue
+        if tag in SILENT:
+            if tag not in FOREIGN or not _ends_itself(attrs):
+                push(tag)
+                mute = True
+            continue
+        if tag in BLOCKS:
+            close()
+        elif tag == "br" and not mute:
+            text.append(" ")
+        if tag == "a":
+            link = True
+        if tag in VOID:
+            continue
+        inside = _place(tag, attrs, place)
+        if tag in BLOCKS:
+            before = len(stack)
+            if tag in ENDS:
+                ended, wall = ENDS[tag][0], max(where[t][-1] for t in ENDS[tag][1])
+                while (depth := max(where[t][-1] for t in ended)) > wall:
+                    place, link, mute = leave(depth)
+            elif tag in ITEMS:
+                if stack and (depth := stack[-1][4]) >= 0 and stack[depth][0] in ITEMS[tag]:
+                    place, link, mute = leave(depth)
+            elif tag == "option" and stack and stack[-1][0] == tag:
+                place, link, mute = leave(before - 1)
+            if tag not in IN_PARAGRAPH and (depth := where["p"][-1]) > max(where[t][-1] for t in (*WALLS, "button")):
+                place, link, mute = leave(depth)
+            if len(stack) < before:
+                inside = _place(tag, attrs, place)
+            push(tag)
+            place = inside
+        elif inside != place:
+            if inside == MAIN:
                 close()
-    if at < len(html):
-        text.append(html[at:])
+            push(tag)
+            mute = mute or inside != MAIN
+            place = inside
+    mute = False
     close()
     return out
 
 
-FEATURES = ("place", "words", "density", "prev_words", "prev_density", "next_words", "next_density")
-#: The labelled table: a row per block with its features and 1 for main text.
-LABELLED = (
-    # place, words, density, prev words, prev density, next words, next density, main
-    (NOT_MAIN, 1, 1.0, 0, 0.0, 1, 1.0, 0), (NOT_MAIN, 1, 1.0, 1, 1.0, 1, 1.0, 0), (NOT_MAIN, 2, 1.0, 1, 1.0, 8, 0.0, 0), (NOT_MAIN, 7, 0.0, 1, 1.0, 12, 0.0, 0),
-    (NOT_MAIN, 40, 0.0, 2, 1.0, 60, 0.0, 0), (NOT_MAIN, 120, 0.05, 9, 0.1, 80, 0.0, 0), (NOT_MAIN, 9, 0.0, 55, 0.0, 0, 0.0, 0), (NOT_MAIN, 25, 0.3, 14, 0.0, 3, 1.0, 0),
-    (NOT_MAIN, 60, 0.0, 33, 0.0, 41, 0.0, 0), (NOT_MAIN, 5, 0.4, 70, 0.0, 12, 0.2, 0), (NOT_MAIN, 12, 0.0, 12, 0.0, 12, 0.0, 0), (NOT_MAIN, 300, 0.0, 200, 0.0, 0, 0.0, 0),
-    (MAIN, 1, 0.0, 30, 0.0, 45, 0.0, 1), (MAIN, 10, 0.0, 8, 0.0, 60, 0.0, 1), (MAIN, 80, 0.0, 10, 0.0, 120, 0.0, 1), (MAIN, 2, 0.0, 12, 0.0, 0, 0.0, 1),
-    (MAIN, 45, 0.2, 70, 0.0, 30, 0.0, 1), (MAIN, 6, 1.0, 50, 0.0, 60, 0.0, 1), (MAIN, 400, 0.01, 90, 0.0, 8, 0.0, 1), (MAIN, 1, 1.0, 25, 0.0, 1, 1.0, 1),
-    (MAIN, 30, 0.5, 30, 0.0, 30, 0.0, 1), (MAIN, 3, 0.0, 2, 1.0, 2, 1.0, 1), (MAIN, 14, 0.0, 7, 0.0, 9, 0.0, 1), (MAIN, 200, 0.0, 0, 0.0, 0, 0.0, 1),
-    (UNKNOWN, 40, 0.0, 12, 0.0, 60, 0.0, 1), (UNKNOWN, 90, 0.05, 40, 0.0, 70, 0.0, 1), (UNKNOWN, 25, 0.1, 60, 0.0, 45, 0.0, 1), (UNKNOWN, 8, 0.0, 60, 0.0, 75, 0.0, 1),
-    (UNKNOWN, 6, 0.0, 1, 1.0, 80, 0.0, 1), (UNKNOWN, 150, 0.0, 0, 0.0, 0, 0.0, 1), (UNKNOWN, 18, 0.0, 44, 0.0, 3, 1.0, 1), (UNKNOWN, 30, 0.0, 3, 1.0, 4, 0.5, 1),
-    (UNKNOWN, 1, 1.0, 1, 1.0, 1, 1.0, 0), (UNKNOWN, 3, 1.0, 60, 0.0, 2, 1.0, 0), (UNKNOWN, 12, 0.8, 3, 1.0, 40, 0.0, 0), (UNKNOWN, 4, 0.0, 2, 1.0, 3, 1.0, 0),
-    (UNKNOWN, 30, 0.7, 10, 0.6, 20, 0.8, 0), (UNKNOWN, 7, 0.0, 5, 0.5, 0, 0.0, 0), (UNKNOWN, 50, 0.6, 60, 0.0, 70, 0.0, 0), (UNKNOWN, 2, 0.0, 4, 1.0, 5, 0.6, 0),
+FEATURES = ("other", "named", "form", "main", "words", "density", "prev_words", "prev_density", "next_words", "next_density", "main_share")
+#: The labelled pages: ``{n}`` stands for n words, ``{+n}`` for n words of main text, ``[...]`` for a link.
+PAGES = (
+    "<nav><ul><li>[{1}]<li>[{2}]<li>[{1}]</ul></nav><div class=ad>{7}</div><article><h1>{+8}</h1><p>{+60}<p>{+2}<p>{+110}</article><footer>{12}</footer>",
+    "<header><p>{3}</p><nav>[{1}] [{1}]</nav></header><main><h1>{+9}</h1><p>{+45} [{+3}] {+20}<ul><li>[{+2}]<li>[{+3}]</ul><p>{+80}</main><aside><h3>{2}</h3><p>{40}</p><ul><li>[{6}]<li>[{7}]</ul></aside><footer>{25}</footer>",
+    "<div>[{1}] [{1}] [{2}]</div><h1>{+7}</h1><p>{+55}</p><p>{+70} [{+2}]</p><p>{+8}</p><p>{+90}</p><div>[{1}] [{2}] [{1}] {1}</div><div>{3} [{1}]</div>",
+    "<table><tr><td>[{1}]<tr><td>[{2}]<tr><td>[{2}]</table><table><tr><td><p>{+40}<p>{+100}<p>{+25} [{+4}]</table><p>{4} [{2}] [{2}]",
+    "<div class=notice><p>{30}</p></div><article><p>{+30}</p><p>[{+6}]</p><p>{+50}</p><aside><p>{35}</p></aside><p>{+1}</p></article><section id=comments><h2>{2}</h2><div><p>{45}</p><p>{60}</p></div></section>",
+    "<p>{9}</p><article><h1>{+5}</h1><p>{+70}</p><p>{+65}</p></article><p>{30}</p><div>{14}</div>",
+    "<div><h2>{3}</h2><p>{20}</p></div><main><p>{+100}</p><p>{+30}</p><p>{+150}</p></main><div><p>{50}</p></div>",
+    "<article class=teaser><h3>[{5}]</h3><p>{12}</p></article><h1>{+6}</h1><p>{+80}</p><p>{+120}</p><p>{+7}</p><p>{+60}</p>",
+    "<div>[{1}] [{1}]</div><div><h1>{+10}</h1><div>{+35}<br>{+30}</div><div>{+45}</div></div><form>{6}<p>{15}</p></form><div class=comments><p>{80}</p><p>{25}</p></div>",
+    "<article><h1>{+3}</h1><p>{+15}</p></article><footer><p>{60}</p><p>{8}</p></footer>",
+    "<article><p>{+200}</p></article><div id=sidebar><p>{90}</p><p>[{8}]</p></div><div class=related><p>[{9}]<p>[{11}]</div>",
+    "<ul><li>[{2}]</li><li>[{3}]</li></ul><p>{+25}</p><p>{+18}</p><p>{+40}</p><ul><li>{+12}</li><li>{+9}</li><li>{+14}</li></ul><p>{+30}</p><p>{5} [{3}] [{2}]</p>",
+    "<form><div>[{1}] [{1}]</div><article><p>{+50}</p><p>{+60}</p></article><div>{6}</div></form>",
+    "<p>{+12}</p>",
+    "<p>{+150}</p>",
+    "<h1>{+6}</h1><p>{+28}</p>",
+    "<p>[{2}]</p><p>[{1}]</p>",
+    "<nav>{30}</nav><footer>{50}</footer>",
+    "<article><p>[{+1}]</p><p>{+12} [{+12}]</p><p>{+12}</p></article><div class=cookie-consent><p>{70}</p></div>",
+    "<div class=newsletter><p>{24}</p></div><p>{+48}</p><p>{+52}</p><div class=share>[{1}] [{1}]</div>",
+    "<header><h1>{5}</h1></header><div><p>{+75}</p><blockquote><p>{+20}</p></blockquote><p>{+33}</p></div><aside>{80}</aside>",
+    "<div>{2} [{2}] [{2}] [{3}]</div><div>{+60}</div><div>{4} [{2}]</div>",
 )
 
 
@@ -195,7 +269,7 @@ def _gini(y: np.ndarray) -> float:
     return 2 * p * (1 - p) * len(y)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
     """A CART: (feature, threshold, left, right) or a leaf's verdict. Ties go to the first feature and threshold."""
     if depth == 0 or len(set(y.tolist())) < 2:
         return bool(y.mean() >= 0.5)
@@ -214,26 +288,36 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
     return f, t, grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1)
 
 
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """The labelled table: a row of features for each block of PAGES, and whether it is main text."""
+    x, y = [], []
+    for page in PAGES:
+        page = re.sub(r"\{(\+?)(\d+)\}", lambda m: " ".join(["main" if m[1] else "other"] * int(m[2])), page)
+        found = blocks(page.replace("[", "<a>").replace("]", "</a>"))
+        x += features(found)
+        y += ["main" in b.text for b in found]
+    return np.array(x, float), np.array(y, float)
+
+
 @cache
 def tree():
-    table = np.array(LABELLED, float)
-    return grow(np.c_[table[:, :1] == NOT_MAIN, table[:, :1] == MAIN, table[:, 1:-1]].astype(float), table[:, -1])
+    return grow(*labelled())
 
 
-def features(all_blocks: list[Block], i: int) -> list[float]:
-    b = all_blocks[i]
-    before = all_blocks[i - 1] if i else None
-    after = all_blocks[i + 1] if i + 1 < len(all_blocks) else None
-    near = [v for x in (before, after) for v in ((x.words, x.density) if x else (0, 0.0))]
-    return [float(b.place == NOT_MAIN), float(b.place == MAIN), b.words, b.density, *near]
+def features(all_blocks: list[Block]) -> list[list[float]]:
+    """A row of FEATURES for each block of a page."""
+    total = [sum(b.words for b in all_blocks if b.place == p) for p in (MAIN, UNKNOWN)]
+    share = total[0] / max(1, sum(total))
+    near = [(0, 0.0), *((b.words, b.density) for b in all_blocks), (0, 0.0)]
+    return [[*(float(b.place == p) for p in (CHROME, NOT_MAIN, FORM, MAIN)), b.words, b.density, *near[i], *near[i + 2], share] for i, b in enumerate(all_blocks)]
 
 
 def main_text(html: str, model=None) -> str:
     model = model or tree()
     all_blocks = blocks(html)
     kept = []
-    for i, b in enumerate(all_blocks):
-        x, node = features(all_blocks, i), model
+    for b, x in zip(all_blocks, features(all_blocks), strict=True):
+        node = model
         while not isinstance(node, bool):
             node = node[2] if x[node[0]] <= node[1] else node[3]
         if node:
@@ -249,6 +333,7 @@ def extract(pages: list[bytes]) -> dict:
 def extract_html(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page. Null, empty or text-free html gives an empty text.
 
-    Rows are independent: repeated ids or rows give a result each; null ids and urls stay null. No shuffle.
+    Rows are independent: repeated ids or rows give a result each; null ids and urls stay null. A page of any length
+    or depth is read whole, in time linear in its length. An empty table gives an empty result. No shuffle.
     """
     return map_texts(pick(pages, page_id=id_col, url=url_col, text=html_col), lambda: extract, "text string, n_chars long").select("page_id", "url", "text", "n_chars")
