@@ -3,8 +3,9 @@
 Four expressions find the seeds: e-mail addresses, IP addresses, card and phone numbers. The words round a seed
 make its patterns (the two words before it; the word before with the word after). Any other run with a digit is a
 candidate. Patterns and instances form a bipartite graph with one row per pair, scored in rounds: a pattern's
-confidence is the mean score of its instances, with one failure added; an instance that isn't a seed scores one
-minus the product of its patterns' doubts. Candidates that end up above the threshold are spans of kind ``id``.
+confidence is S / (S + DOUBT * U + 1) for S instances that are seeds or accepted and U that aren't; an instance
+scores one minus the product of its patterns' doubts, is accepted above the threshold and then counts as a seed.
+Rounds go on until none is accepted. Accepted candidates are spans of kind ``id``.
 
 Positions come from splitting a text by an expression: lengths of what lies between and of the matches, summed up.
 """
@@ -29,32 +30,39 @@ EXPRESSIONS = (
 NEEDS = ("@", ".", None, "+")
 #: A candidate: a run of identifier characters with a digit.
 CANDIDATE = r"(?<![A-Za-z0-9@._%+/-])[A-Za-z@._%+/-]*+[0-9][A-Za-z0-9@._%+/-]*+"
-#: Shortest candidate, rounds of scoring, different seeds that a pattern needs, and least score of a found instance.
-LEAST_CHARS, ROUNDS, MIN_SEEDS, MIN_SCORE = 6, 3, 3, 0.6
-#: Rows with found spans up to which they are broadcast to the texts (under 100 bytes each); beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
-_BLOCK = 64
+#: Shortest candidate, different seeds that a pattern needs, least score of a found instance, and what an instance that
+#: isn't accepted counts against a pattern.
+LEAST_CHARS, MIN_SEEDS, MIN_SCORE, DOUBT = 6, 3, 0.6, 0.1
+#: Found spans, with their rows, up to which they are broadcast to the texts (24 bytes each); beyond it the join shuffles.
+BROADCAST_SPANS = 500_000
+_BLOCK, _CHUNK = 128, 256
 
 
-def _append(acc: Column, x: Column) -> Column:
-    return F.array_append(acc, F.element_at(acc, -1) + x)
+def _let(value: Column, use) -> Column:
+    """use(value), the value evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _running(lengths: Column) -> Column:
-    """Running sums of an array, block by block, so that no long array is copied for each element."""
-    zero = F.array(F.lit(0).cast("long"))
-    block = lambda b: F.aggregate(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)), zero, _append)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")), block)
+def _running(values: Column, op, first: int = 0) -> Column:
+    """Running sums (or greatest values: ``op``) of an array of longs, block by block, so that no long array is copied
+    for each element."""
+    start = F.array(F.lit(first).cast("long"))
+    fold = lambda xs: F.aggregate(xs, start, lambda acc, x: F.array_append(acc, op(F.element_at(acc, -1), x)))
+    rest = lambda xs: F.slice(xs, F.lit(2), F.size(xs))
 
-    def joined(bs: Column) -> Column:
-        # bs is evaluated once: it's the argument of a one-element transform.
-        def whole(x: Column) -> Column:
-            before = F.aggregate(F.transform(x, lambda b: F.element_at(b, -1)), zero, _append)
-            return F.flatten(F.zip_with(x, F.slice(before, F.lit(1), F.size(x)), lambda b, o: F.transform(F.slice(b, F.lit(2), F.lit(_BLOCK)), lambda v: v + o)))
+    def whole(blocks: Column) -> Column:
+        before = fold(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda b, o: F.transform(rest(b), lambda v: op(o, v))))
 
-        return F.element_at(F.transform(F.array(bs), whole), 1)
+    def several(v: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int"))
+        return _let(F.transform(numbers, lambda b: fold(F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK)))), whole)
 
-    return F.when(F.size(lengths) > 0, joined(blocks)).otherwise(F.array().cast("array<long>"))
+    return _let(values, lambda v: F.when(F.size(v) > _BLOCK, several(v)).when(F.size(v) > 0, rest(fold(v))).otherwise(F.array().cast("array<long>")))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
 
 
 def _valid(kind: int, x: Column) -> Column:
@@ -77,8 +85,28 @@ def _valid(kind: int, x: Column) -> Column:
     return F.length(x) >= LEAST_CHARS if kind == 4 else F.lit(True)
 
 
-def _words(part: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(F.lower(part), r"[^\p{L}]+", " ")), " ")
+def _before(part: Column) -> Column:
+    """The last word of a text and the one before it, or empty."""
+    back = F.reverse(part)
+    word = lambda k: F.lower(F.reverse(F.regexp_extract(back, r"\A[^\p{L}]*+(\p{L}++)(?:[^\p{L}]++(\p{L}++))?", k)))
+    return F.struct(word(1).alias("last"), word(2).alias("prev"))
+
+
+def _after(part: Column) -> Column:
+    return F.lower(F.regexp_extract(part, r"\A[^\p{L}]*+(\p{L}++)", 1))
+
+
+def _free(found: Column) -> Column:
+    """Of spans found in a text (k, start, end ...), the base ones and the candidates that overlap none, by merging:
+    in the order of base starts and candidate ends, a candidate is free if no base span so far ends beyond its start."""
+    merged = F.array_sort(F.transform(found, lambda x: F.struct(F.when(x["k"] < 4, x["start"]).otherwise(x["end"]).alias("at"), (x["k"] < 4).alias("base"), x.alias("x"))))
+
+    def keep(m: Column) -> Column:
+        ends = _running(F.transform(m, lambda z: F.when(z["base"], z["x"]["end"]).otherwise(F.lit(-1).cast("long"))), F.greatest, -1)
+        both = F.zip_with(m, ends, lambda z, e: F.struct(z["x"].alias("x"), (z["base"] | (e <= z["x"]["start"])).alias("free")))
+        return F.transform(F.filter(both, lambda z: z["free"]), lambda z: z["x"])
+
+    return F.when(F.exists(found, lambda x: x["k"] < 4), _let(merged, keep)).otherwise(found)
 
 
 def mentions(docs: DataFrame) -> DataFrame:
@@ -94,65 +122,66 @@ def mentions(docs: DataFrame) -> DataFrame:
     kinds = F.transform(
         kinds, lambda z: F.struct(z["k"].alias("k"), z["m"].alias("m"), z["p"].alias("p"), F.transform(z["m"], lambda x, i: (F.length(z["p"][i]) + F.when(i > 0, F.length(z["m"][i - 1])).otherwise(0)).cast("long")).alias("n"))
     )
-    kinds = F.transform(kinds, lambda z: F.struct(z["k"].alias("k"), z["m"].alias("m"), z["p"].alias("p"), _running(z["n"]).alias("s")))
+    kinds = F.transform(kinds, lambda z: F.struct(z["k"].alias("k"), z["m"].alias("m"), z["p"].alias("p"), _running(z["n"], _sum).alias("s")))
 
     def one(z: Column, x: Column, i: Column) -> Column:
         ok = F.lit(True)
         for k in (1, 2, 3, 4):
             ok = F.when(z["k"] == k, _valid(k, x)).otherwise(ok)
         end = z["s"][i] + F.length(x)
-        left, right = F.right(z["p"][i], F.lit(48)), F.left(z["p"][i + 1], F.lit(48))
-        return F.struct(z["k"].alias("k"), z["s"][i].alias("start"), end.alias("end"), ok.alias("ok"), F.xxhash64(x).alias("inst"), _words(left).alias("left"), _words(right).alias("right"))
+        return F.struct(z["k"].alias("k"), z["s"][i].alias("start"), end.alias("end"), ok.alias("ok"), F.xxhash64(x).alias("inst"), _before(z["p"][i]).alias("left"), _after(z["p"][i + 1]).alias("right"))
 
     found = F.flatten(F.transform(kinds, lambda z: F.transform(z["m"], lambda x, i: one(z, x, i))))
     t = t.select("doc_id", F.xxhash64("text").alias("h"), F.filter(found, lambda x: x["ok"]).alias("found"))
     t = t.select("doc_id", "h", "found", F.filter("found", lambda x: x["k"] < 4).alias("base"))
-    free = F.filter("found", lambda x: (x["k"] < 4) | ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    free = _free(F.col("found"))
 
     def pattern(a: Column, b: Column, tag: int) -> Column:
         return F.when((F.length(a) > 0) & (F.length(b) > 0), F.xxhash64(F.lit(tag), a, b))
 
     def mention(x: Column) -> Column:
-        last, prev = F.element_at(x["left"], -1), F.try_element_at(x["left"], F.lit(-2))
+        last, prev = x["left"]["last"], x["left"]["prev"]
         return F.struct(
-            (x["k"] < 4).alias("seed"), x["inst"].alias("inst"), pattern(prev, last, 1).alias("p1"), pattern(last, F.element_at(x["right"], 1), 2).alias("p2"), x["start"].alias("start"), x["end"].alias("end")
+            (x["k"] < 4).alias("seed"), x["inst"].alias("inst"), pattern(prev, last, 1).alias("p1"), pattern(last, x["right"], 2).alias("p2"), x["start"].alias("start"), x["end"].alias("end")
         )
 
     base = F.transform("base", lambda x: F.struct(x["k"].alias("k"), x["start"].alias("start"), x["end"].alias("end")))
     return t.select("doc_id", "h", base.alias("base"), F.transform(free, mention).alias("mentions"), F.size("base").alias("n_base"))
 
 
-def score(edges: DataFrame, rounds: int, min_seeds: int) -> DataFrame:
-    """inst, score of the instances that aren't seeds. edges: pattern, inst, seed, one row per pair.
+def accept(edges: DataFrame, min_seeds: int, min_score: float, doubt: float) -> DataFrame:
+    """inst of those that aren't seeds and are accepted. edges: pattern, inst, seed, one row per pair.
 
-    Each round joins the pairs with the instances' scores and with the patterns' confidences; both sides hold one
-    row per pair or key, however often a passage repeats.
+    Each round joins the pairs with the instances known so far and with the patterns' confidences; both sides hold one
+    row per pair or key, however often a passage repeats. Accepted ones stay accepted, so the rounds end.
     """
-    known = edges.groupBy("inst").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    for _ in range(rounds):
-        scored = edges.join(known, "inst")
-        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("conf"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        patterns = patterns.filter(F.col("seeds") >= min_seeds)
-        doubt = F.sum(F.log1p(-F.least(F.coalesce("conf", F.lit(0.0)), F.lit(0.999))))
-        known = edges.join(patterns, "pattern", "left").groupBy("inst").agg(F.greatest(F.max(F.col("seed").cast("double")), 1 - F.exp(doubt)).alias("score"), F.max("seed").alias("sure"))
-        known = staged(known, "pii-scores")
-    return known.filter(~F.col("sure")).select("inst", "score")
-
-
-def discover(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
+    known, n = staged(edges.filter("seed").select("inst").distinct(), "pii-known"), -1
+    while (now := known.count()) > n:
+        n = now
+        sure = F.col("k").isNotNull()
+        scored = edges.select("pattern", "inst").join(known.select(F.col("inst").alias("k")), F.col("inst") == F.col("k"), "left")
+        patterns = scored.groupBy("pattern").agg(F.count("k").alias("s"), F.count("*").alias("n")).filter(F.col("s") >= min_seeds)
+        patterns = patterns.select(F.col("pattern").alias("p"), (F.col("s") / (F.col("s") + doubt * (F.col("n") - F.col("s")) + 1)).alias("conf"))
+        open_pairs = scored.filter(~sure).join(patterns, F.col("pattern") == F.col("p"))
+        more = open_pairs.groupBy("inst").agg((1 - F.exp(F.sum(F.log1p(-F.col("conf"))))).alias("score")).filter(F.col("score") >= min_score - 1e-9)
+        known = staged(known.unionByName(more.select("inst")), "pii-known")
+    return known.join(edges.filter("seed").select("inst").distinct(), "inst", "left_anti")
+
+
+def discover(found: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE, doubt: float = DOUBT) -> DataFrame:
     """doc_id, h, more (start, end): the spans that patterns find beyond the seeds. found: from mentions()."""
     m = found.select("doc_id", "h", F.inline("mentions"))
     pairs = m.select("seed", "inst", F.explode(F.array("p1", "p2")).alias("pattern")).filter("pattern is not null")
     edges = staged(pairs.groupBy("pattern", "inst").agg(F.max("seed").alias("seed")), "pii-edges")
-    good = score(edges, rounds, min_seeds).filter(F.col("score") >= min_score)
-    hits = m.filter(~F.col("seed")).join(good.select("inst"), "inst", "left_semi")
+    hits = m.filter(~F.col("seed")).join(accept(edges, min_seeds, min_score, doubt), "inst", "left_semi")
     return hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more"))
 
 
 def _with_more(rows: DataFrame, more: DataFrame) -> DataFrame:
     """rows (with doc_id, h) and the spans found for them. Few enough found spans are broadcast."""
     more = staged(more.withColumnsRenamed({"doc_id": "m_id", "h": "m_h"}), "pii-more")
-    side = F.broadcast(more) if more.count() <= BROADCAST_ROWS else more
+    few = (more.agg(F.sum(F.size("more") + 2)).first()[0] or 0) <= BROADCAST_SPANS
+    side = F.broadcast(more) if few else more
     return rows.join(side, rows["doc_id"].eqNullSafe(side["m_id"]) & (rows["h"] == side["m_h"]), "left")
 
 
@@ -164,7 +193,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per document: counts of the seeds, base_sha256, and all spans (code points, end exclusive).
 
     Null or empty texts have no spans. Documents are told apart by id and text, so repeated rows get the same
-    spans each, and a null id is an id. An empty table gives an empty result.
+    spans each, and a null id is an id. A text of any length is read whole, in time that grows with its length and
+    n log n of its n matches. An empty table gives an empty result.
     """
     found = staged(mentions(pick(docs, doc_id=id_col, text=text_col)), "pii-found")
     all_rows = _with_more(found.select("doc_id", "h", "base"), discover(found))
@@ -192,16 +222,30 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     spans = found.select("doc_id", "h", F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["k"].cast("int").alias("k"))).alias("base")).filter(F.size("base") > 0)
     more = discover(found).select("doc_id", "h", F.transform("more", lambda x: F.struct(x["start"], x["end"], F.lit(len(KINDS)).alias("k"))).alias("base"))
     # Rows with the same id and text have the same spans, so one of them will do.
-    spans = spans.unionByName(more).groupBy("doc_id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("base")))).alias("more"))
+    spans = spans.groupBy("doc_id", "h").agg(F.first("base").alias("base")).unionByName(more)
+    spans = spans.groupBy("doc_id", "h").agg(F.array_sort(F.flatten(F.collect_list("base"))).alias("more"))
     rows = _with_more(flat.withColumns({"doc_id": F.col(key), "h": F.xxhash64(F.coalesce(text, F.lit("")))}), spans)
     tags = F.array(*[F.lit(f"[{k}]") for k in (*KINDS, "id")])
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
-    def step(acc: Column, x: Column) -> Column:
-        before = F.substring(F.col(text), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], before, tags[x["k"]])).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
+    def redacted(chunks: Column) -> Column:
+        """The text, cut into chunks of _CHUNK characters, so that no cut reads the text from its start."""
+
+        def cut(a: Column, b: Column) -> Column:
+            def part(c: Column) -> Column:
+                first = F.greatest(a - c * _CHUNK, F.lit(0))
+                return F.substring(F.element_at(chunks, (c + 1).cast("int")), (first + 1).cast("int"), (F.least(b - c * _CHUNK, F.lit(_CHUNK)) - first).cast("int"))
+
+            numbers = F.sequence(F.floor(a / _CHUNK), F.floor((b - 1) / _CHUNK))
+            return F.when(a < b, F.array_join(F.transform(numbers, part), "")).otherwise("")
+
+        def whole(ends: Column) -> Column:
+            # A span that starts before all earlier ones have ended belongs to the first of them.
+            before = lambda i: F.when(i > 0, ends[i - 1]).otherwise(F.lit(0).cast("long"))
+            one = lambda x, i: F.when(x["start"] >= before(i), F.concat(cut(before(i), x["start"]), tags[x["k"]])).otherwise("")
+            return F.concat(F.array_join(F.transform("more", one), ""), cut(F.element_at(ends, -1), F.length(text)))
+
+        return _let(_running(F.transform("more", lambda x: x["end"]), F.greatest), whole)
 
-    tail = lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.lit(2147483647)))
-    clean = F.when(F.col("more").isNull(), F.col(text)).otherwise(F.aggregate("more", start, step, tail))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    clean = F.when(F.col("more").isNull(), F.col(text)).otherwise(_let(chunks, redacted))
     return rows.select(*[(clean if f"c{i}" == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)])
