@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -44,9 +45,14 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where none is set (tests on one machine)."""
+    """The folder in spark.checkpoint.dir; one of our own only where none is set and all of Spark is this process (tests).
+
+    On a cluster without that setting this is an error: other machines couldn't read a folder of the driver's.
+    """
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_to:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         set_to = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(set_to)
         set_to = spark.sparkContext.getCheckpointDir()
@@ -95,6 +101,20 @@ def text_steps(batch: pa.RecordBatch, most: int | None = None, column: str = "te
     give_back()
 
 
+def filter_texts(df: DataFrame, column: str, work: Callable[[], Callable[[list[bytes]], list[bool]]]) -> DataFrame:
+    """The rows of ``df`` for whose texts in ``column`` (bytes, step by step) the function of ``work()`` says so."""
+    small_batches(df.sparkSession)
+    schema = df.schema
+
+    def run(batches):
+        fn = work()
+        for batch in batches:
+            for part, texts in text_steps(batch, column=column):
+                yield part.filter(pa.array(fn(texts), pa.bool_()))
+
+    return df.mapInArrow(run, schema)
+
+
 def map_texts(df: DataFrame, work: Callable[[], Callable[[list[bytes]], dict]], schema: str) -> DataFrame:
     """Add columns computed from ``text`` (bytes, step by step) to the other columns of ``df``.
 

@@ -10,9 +10,8 @@ from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import map_texts, pick
+from .common import filter_texts, map_texts, pick
 
 #: Fixed values of the base counts.
 SYMBOLS = b"#*$%&|<>"
@@ -151,7 +150,8 @@ def quality_rules(
 ) -> DataFrame:
     """One row per document with counts, the base rule and the verdict ``kept``.
 
-    Null or empty texts have no words and fail. An empty table gives an empty result. There is no shuffle.
+    Null or empty texts have no words and fail. A text of any length is judged whole (n log n of its n words); repeated
+    rows get a result each. An empty table gives an empty result. There is no shuffle.
     """
     return map_texts(pick(docs, doc_id=id_col, text=text_col), lambda: lambda t: measure(t, min_repeat, max_covered, max_longest), SCHEMA)
 
@@ -159,12 +159,10 @@ def quality_rules(
 def keep_good(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
     """The rows and columns of ``docs`` whose text quality_rules() keeps.
 
-    The verdict is a Boolean column computed beside the others in one pass, so nothing is joined back.
+    Each text goes to Python once and only kept rows come back. Rows are judged as in quality_rules().
     """
     names = docs.columns
     limits = {"min_repeat": MIN_REPEAT, "max_covered": MAX_COVERED, "max_longest": MAX_LONGEST} | limits
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    flat = flat.withColumnRenamed(f"c{names.index(text_col)}", "text")
-    kept = map_texts(flat.withColumn("again", F.col("text")), lambda: lambda t: {"kept": measure(t, **limits)["kept"]}, "kept boolean")
-    kept = kept.filter("kept").withColumnRenamed("again", f"c{names.index(text_col)}")
-    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    kept = filter_texts(flat, f"c{names.index(text_col)}", lambda: lambda t: measure(t, **limits)["kept"])
+    return kept.toDF(*names)
