@@ -9,6 +9,8 @@ documents round that point are sorted; for all others a histogram of the ranks d
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,7 +82,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *,
 
     The size is the number of words of ``text_col``, or ``size_col``. Sizes of null or empty texts are 0 and so
     are their copies. A null source is a source, the last. Repeated rows are documents like others. The random
-    numbers come from id, size and seed, so reruns agree; equal ranks sort by size. An empty table gives an empty
+    numbers come from id, size and seed, so reruns agree; equal ranks sort by size, id and a hash of the row, so only rows
+    equal in all columns are interchangeable. Long texts only count. An empty table gives an empty
     result. Words taken of a source never exceed its target, and fall short by less than the shortest document
     that was offered the words left over and didn't fit.
     """
@@ -114,11 +117,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *,
     at_cut = F.coalesce(F.col("bin") == F.col("k_at"), F.lit(False))
     sure = full.filter(~at_cut).withColumn("extra", F.when(F.col("bin").isNotNull() & (F.col("k_at").isNull() | (F.col("bin") < F.col("k_at"))), 1).otherwise(0))
     near = full.filter(at_cut).withColumn("room", F.col("r_room") - F.col("k_before")).withColumn("extra", F.lit(0))
+    hashed = [f.name for f in raw.schema if not re.search("map<|variant", f.dataType.simpleString())]  # those have no order
+    near = near.withColumn("tie", F.xxhash64(*hashed))
     mine = Window.partitionBy(at[source_col])
     for _ in range(FILLS):
         fits = (F.col("extra") == 0) & (F.col("size") <= F.col("room"))
         near = near.withColumn("offer", F.when(fits, F.col("size")).otherwise(0))
-        near = near.withColumn("run", F.sum("offer").over(mine.orderBy("rank", "size", at[id_col]).rowsBetween(Window.unboundedPreceding, 0)))
+        near = near.withColumn("run", F.sum("offer").over(mine.orderBy("rank", "size", at[id_col], "tie").rowsBetween(Window.unboundedPreceding, 0)))
         near = near.withColumn("extra", F.when(fits & (F.col("run") <= F.col("room")), 1).otherwise(F.col("extra")))
         near = near.withColumn("room", F.col("r_room") - F.col("k_before") - F.sum(F.col("extra") * F.col("size")).over(mine))
     done = sure.select(*raw.columns, "r_whole", "extra").union(near.select(*raw.columns, "r_whole", "extra"))
