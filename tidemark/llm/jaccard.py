@@ -16,10 +16,12 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import give_back, pick, small_batches, staged, text_steps
@@ -36,6 +38,8 @@ BROADCAST_ROWS, BROADCAST_KEYS = 250_000, 4_000_000
 #: Prefix shingles in a bucket, about; texts and shingles in a block of a large group; shingles that one task takes at
 #: a time, about.
 PER_BUCKET, BLOCK, BLOCK_SHINGLES, PER_TASK = 1_000_000, 2048, 1_000_000, 2_000_000
+#: Texts that are dealt to a place beside their leader's set.
+PER_PLACE = 64
 #: Text bytes that are hashed at a time.
 STEP_BYTES = 2 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -236,7 +240,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a b with very many a's is dealt out over several places.
     """
     pairs = staged(pairs, "jaccard-pairs")
-    places = pairs.groupBy("b").agg(F.ceil(F.count("*") / 256).cast("int").alias("places"))
+    places = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_PLACE).cast("int").alias("places"))
     left = pairs.join(places, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("places")).cast("int").alias("place"))
     right = places.select("b", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
     wanted = staged(left.select(F.col("a").alias("v"), "b", "place", F.lit(1).alias("turn")).unionByName(right.select(F.col("b").alias("v"), "b", "place", F.lit(0).alias("turn"))), "jaccard-wanted")
@@ -352,6 +356,41 @@ def join_group(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray | Non
     return out
 
 
+def _deal(some: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """low, node, label, n, mine, i, j: the members (low, node, label, n) of groups in the pairs of blocks they belong to.
+
+    A group of one block is that. A larger one is cut by size first: sets of n and m shingles can't link unless
+    4 m <= 5 n, so that classes of sizes in steps of 5 / 4 meet themselves and the next one only. Blocks of a class are
+    numbered on from those of the classes below.
+    """
+    group = some.groupBy(F.col("low").alias("of")).agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / block_shingles)).cast("int").alias("all"))
+    group = staged(group, "jaccard-blocks")
+    few = group.count()
+    some = some.join(_near(group, few), F.col("low") == F.col("of")).drop("of")
+    # A hair more than 5 / 4 a step: two sets that link are never two classes apart.
+    step = F.floor(F.log(F.col("n").cast("double")) / (math.log(1.25) + 1e-9)).cast("int")
+    some = some.withColumn("c", F.when(F.col("all") > 1, step).otherwise(0))
+    large = some.filter(F.col("all") > 1).groupBy("low", "c").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / block_shingles)).cast("int").alias("blocks"))
+    large = staged(large, "jaccard-classes-of-size")
+    # At most 50 classes a group, each a row here.
+    mine = Window.partitionBy("low").orderBy("c")
+    beside = lambda df: F.when(df == F.col("c") + 1, F.lead("blocks").over(mine))
+    large = large.select(
+        F.col("low").alias("g"), F.col("c").alias("gc"), "blocks",
+        F.coalesce(F.sum("blocks").over(mine.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("base"),
+        F.coalesce(beside(F.lead("c").over(mine)), F.lit(0)).alias("above"),
+        F.when(F.lag("c").over(mine) == F.col("c") - 1, F.lag("blocks").over(mine)).otherwise(0).alias("below"),
+    )
+    large = staged(large, "jaccard-sizes")
+    some = some.join(_near(large, large.count()), (F.col("low") == F.col("g")) & (F.col("c") == F.col("gc")) & (F.col("all") > 1), "left")
+    base, blocks = F.coalesce("base", F.lit(0)), F.coalesce("blocks", F.lit(1))
+    some = some.withColumn("mine", (base + F.pmod(F.xxhash64("node"), blocks)).cast("int"))
+    first = base - F.coalesce("below", F.lit(0))
+    last = base + blocks + F.coalesce("above", F.lit(0)) - 1
+    ij = F.transform(F.sequence(first.cast("int"), last.cast("int")), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
+    return some.select("low", "node", "label", "n", "mine", F.inline(ij))
+
+
 def other_links(sets: DataFrame, parts: DataFrame, frequent: np.ndarray, times: np.ndarray, buckets: int) -> DataFrame:
     """Links between texts of different components, by signature trees over the texts of each prefix shingle."""
     spark = sets.sparkSession
@@ -381,11 +420,7 @@ def other_links(sets: DataFrame, parts: DataFrame, frequent: np.ndarray, times:
     groups = staged(groups.select(F.col("tok").alias("g"), "low"), "jaccard-groups")
     some = rows.join(groups, F.col("tok") == F.col("g")).select("low", "node", "label").distinct()
     some = staged(some.join(sets.select(F.col("node").alias("s"), "n"), F.col("node") == F.col("s")).drop("s"), "jaccard-members")
-    counts = some.groupBy(F.col("low").alias("of")).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    counts = staged(counts, "jaccard-blocks")
-    some = some.join(_near(counts, counts.count()), F.col("low") == F.col("of")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    ij = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
-    some = staged(some.select("low", "node", "label", "n", "mine", F.inline(ij)), "jaccard-dealt")
+    some = staged(_deal(some), "jaccard-dealt")
     n, total = some.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     some = some.withColumn("bin", F.pmod(F.xxhash64("low", "i", "j"), F.lit(max(1, total // PER_TASK)))).drop("n")
     some = sets.select("set", F.col("node").alias("s")).join(_near(some, n), F.col("node") == F.col("s")).drop("s")
