@@ -19,12 +19,15 @@ from .common import pick, staged
 from .components import components
 
 LEAST_COSINE = 0.93
-#: Reference points: about the root of the number of classes, between these; drawn from a sample of so many classes.
-LEAST_PIVOTS, MOST_PIVOTS, SAMPLE = 32, 2048, 8192
+#: Reference points: about the root of the number of classes, between these and of so many bytes at the most; drawn
+#: from a sample of twice as many classes. Their lists then grow with the root, too, up to 10 ** 9 classes.
+LEAST_PIVOTS, MOST_PIVOTS, PIVOT_BYTES = 32, 32768, 32 << 20
 #: Lists that a vector is posted in, reference points compared, and how many of those a candidate shares.
 POSTED, DEPTH, SHARED = 5, 8, 2
 #: A longer list is cut into blocks of about so many, and each pair of blocks is a group of its own.
 BLOCK = 2048
+#: Different reference points of a list up to which sharing is counted with a matrix of them.
+DENSE = 1024
 #: Lists up to which their sizes are broadcast (24 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 250_000
 
@@ -52,20 +55,33 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def choose_pivots(classes: DataFrame, n: int) -> np.ndarray:
-    """Reference points from a sample of SAMPLE classes at most, the same in every run."""
-    want = min(MOST_PIVOTS, max(LEAST_PIVOTS, 1 << round(math.log2(max(n, 1)) / 2)))
-    rows = classes.orderBy(F.xxhash64("node"), "node").limit(min(SAMPLE, 4 * want)).select("v").toArrow()
-    if not rows.num_rows:
+def choose_pivots(classes: DataFrame, n: int, most: int = MOST_PIVOTS, most_bytes: int = PIVOT_BYTES) -> np.ndarray:
+    """Reference points from a sample of the classes, the same in every run."""
+    want = min(most, max(LEAST_PIVOTS, 1 << round(math.log2(max(n, 1)) / 2)))
+    dim = classes.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    if dim is None:
         return np.zeros((1, 1))
-    sizes = rows.column("v").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
-    rows = rows.filter(pa.array(sizes == np.bincount(sizes).argmax()))  # the usual length
+    usual = dim["dim"]
+    want = max(1, min(want, most_bytes // (8 * usual)))
+    rows = classes.filter(F.size("v") == usual).orderBy(F.xxhash64("node"), "node").limit(2 * want).select("v").toArrow()
     return _unit(_matrix(rows.column("v")))[:want]
 
 
 def permutations(x: np.ndarray, pivots: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """For each row, its nearest reference points in order (ties: the first)."""
-    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :depth].astype(np.int16)
+    """For each row, its nearest reference points in order (ties: the first), some rows at a time."""
+    depth, out = min(depth, len(pivots)), []
+    for s in range(0, len(x), step := max(1, (1 << 22) // len(pivots))):
+        far = -(x[s : s + step] @ pivots.T)
+        if len(pivots) > 4 * depth:  # sort the few that are near enough only
+            edge = np.partition(far, depth - 1, axis=1)[:, depth - 1 : depth]
+            row, at = np.nonzero(far <= edge)
+            order = np.lexsort((at, far[row, at], row))
+            row, at = row[order], at[order]
+            first = np.searchsorted(row, np.arange(len(far)))
+            out.append(at[first[:, None] + np.arange(depth)])
+        else:
+            out.append(np.argsort(far, axis=1, kind="stable")[:, :depth])
+    return np.concatenate(out).astype(np.int32) if out else np.zeros((0, depth), np.int32)
 
 
 def post(classes: DataFrame, pivots: np.ndarray, posted: int = POSTED) -> DataFrame:
@@ -81,7 +97,7 @@ def post(classes: DataFrame, pivots: np.ndarray, posted: int = POSTED) -> DataFr
                 raw = _matrix(rows.column("v"))
                 x = _unit(raw)
                 # Vectors of another length have no reference points in common; they share one list.
-                perm = permutations(x, pivots) if dim == pivots.shape[1] else np.zeros((len(x), 1), np.int16)
+                perm = permutations(x, pivots) if dim == pivots.shape[1] else np.zeros((len(x), 1), np.int32)
                 for k in range(min(posted, perm.shape[1])):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(perm[:, k].astype(np.int32)), rows.column("node"), rows.column("label"), pa.array(np.full(len(x), dim, np.int32)), pa.array([p.tobytes() for p in perm], pa.binary()), pa.array([r.tobytes() for r in raw], pa.binary()), rows.column("m")],
@@ -106,19 +122,32 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return use
 
 
+def _shares(a: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
+    """How many reference points each row of a has in common with each row of b; negative entries are none."""
+    if count <= DENSE:
+        marks = []
+        for p in (a, b):
+            m = np.zeros((len(p), count + 1), np.float32)
+            np.put_along_axis(m, p, 1, 1)
+            marks.append(m[:, :count])  # the last column takes what is none
+        return marks[0] @ marks[1].T
+    out = np.zeros((len(a), len(b)), np.int8)
+    for k in range(a.shape[1]):
+        for j in range(b.shape[1]):
+            out += (a[:, k, None] == b[None, :, j]) & (a[:, k, None] >= 0)
+    return out
+
+
 def join_list(which: int, perm: np.ndarray, x: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, least: float, posted: int, shared: int):
     """Pairs (i in left, j in right) that this list is the first to hold and whose cosine is high enough."""
-    n, top = len(perm), int(perm.max()) + 1
-    has = np.zeros((n, top), np.float32)
-    np.put_along_axis(has, perm.astype(np.int64), 1, 1)
-    first = np.zeros((n, top), np.float32)
-    np.put_along_axis(first, perm[:, :posted].astype(np.int64), 1, 1)
-    first[:, which:] = 0
-    need = min(shared, perm.shape[1])
+    number, local = np.unique(perm, return_inverse=True)
+    local = local.reshape(perm.shape)
+    earlier = np.where(perm[:, :posted] < which, local[:, :posted], -1)
+    need, count = min(shared, perm.shape[1]), len(number)
     found = []
     for s in range(0, len(left), 512):
         rows = left[s : s + 512]
-        ok = (has[rows] @ has[right].T >= need) & (first[rows] @ first[right].T == 0)
+        ok = (_shares(local[rows], local[right], count) >= need) & (_shares(earlier[rows], earlier[right], count) == 0)
         i, j = np.nonzero(ok)
         i, j = rows[i], right[j]
         if same:
@@ -147,7 +176,7 @@ def link(postings: DataFrame, least: float, posted: int = POSTED, shared: int =
         node, m, mine = (table.column(c).to_numpy()[order] for c in ("node", "m", "mine"))
         perms = table.column("perm").to_pylist()
         xs = table.column("x").to_pylist()
-        perm = np.stack([np.frombuffer(perms[k], np.int16) for k in order])
+        perm = np.stack([np.frombuffer(perms[k], np.int32) for k in order])
         kind = np.float64 if len(xs[0]) == 8 * dim else np.float32
         x = _unit(np.stack([np.frombuffer(xs[k], kind) for k in order]))
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
@@ -172,7 +201,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Vectors link within a label only. Null, empty, zero or non-finite vectors and null labels link with nothing
     and are their own component. Repeated rows are vectors of their own that link with each other; with repeated
     ids each row counts. An empty table gives an empty result. The index finds pairs by shared reference points,
-    so near the threshold a few may be missed; none below it is reported.
+    so near the threshold a few may be missed; none below it is reported. A vector of any length is used whole; those
+    of another than the usual length meet in a list of their own length.
     """
     rows, classes = _classes(pick(vectors, vec_id=id_col, embedding=vector_col, label=label_col))
     pivots = choose_pivots(classes, classes.count())
