@@ -192,6 +192,7 @@ def scanner(rules: tuple[Rule, ...]):
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per document with the spans of its secrets (code points, end exclusive).
 
-    Null or empty texts have none. Rows are independent, so repeated ids or rows give a result each. No shuffle.
+    Null or empty texts have none. Rows are independent, so repeated ids or rows give a result each. A text of any
+    length is scanned whole, as a segment of its own if need be. An empty table gives an empty result. No shuffle.
     """
     return map_texts(pick(docs, doc_id=id_col, text=text_col), lambda: scanner(rules), SCHEMA)
