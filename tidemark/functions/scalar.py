@@ -109,3 +109,8 @@ def spaced_tokens(text: Column, keep_lines: bool = False) -> Column:
     """Lower-case tokens; punctuation marks are tokens. A newline parts words unless ``keep_lines`` glues them."""
     line = F.regexp_replace(F.lower(text), "[\\r\\n]+", "" if keep_lines else " ")
     return F.filter(F.split(F.trim(F.regexp_replace(line, PUNCTUATION, " $1 ")), r"\s+"), lambda w: w != "")
+
+
+def local_epoch(day: Column, zone: str) -> Column:
+    """Seconds from 1970-01-01 UTC to the start of a date in a zone; for sessions whose zone is UTC."""
+    return F.unix_timestamp(F.to_utc_timestamp(day.cast("timestamp"), zone))

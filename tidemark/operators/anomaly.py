@@ -46,7 +46,8 @@ class IsolationForest:
         self.n = 0
 
     def fit(self, df: DataFrame, key: str, columns: list[str]) -> IsolationForest:
-        """Draws trees * sample rows at most, by hashes of the key, so that reruns agree."""
+        """Draws trees * sample rows, 50,000 at most, by hashes of the key, so that reruns agree. A tree takes ``sample``
+        of them; the trees of a larger forest share rows."""
         most = min(self.trees * self.sample, 50_000)
         rows = df.select(key, *columns).orderBy(F.xxhash64(F.lit(self.seed), F.col(key)), key).limit(most).toPandas()
         x = rows[columns].to_numpy(float)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .relate import row_index
 
 
 def with_vector(df: DataFrame, array: str, out: str = "features") -> DataFrame:
@@ -49,7 +50,12 @@ def silhouette(df: DataFrame, key: str, array: str, label: str) -> DataFrame:
     own = F.col("other") == F.col("g")
     mean = F.when(own, F.col("total") / F.nullif(F.col("_size") - 1, F.lit(0))).otherwise(F.col("total") / F.col("_size"))
     r = s.withColumn("mean", mean).groupBy("id", "g").agg(F.max(F.when(own, F.col("mean"))).alias("a"), F.min(F.when(~own, F.col("mean"))).alias("b"))
-    return r.select(F.col("id").alias(key), F.col("g").alias(label), F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)).alias("silhouette"))
+    r = r.select(F.col("id").alias(key), F.col("g").alias(label), F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)).alias("silhouette"))
+    # From the best of a label, from 1; numbered over all rows by range, so that a large label isn't one task. Beyond nine
+    # digits equal values count as ties, which the key decides.
+    r = row_index(r, label, F.desc(F.round("silhouette", 9)), key, out="_i")
+    first = r.groupBy(F.col(label).alias("_f")).agg(F.min("_i").alias("_first"))
+    return r.join(first, F.col(label) == F.col("_f")).withColumn("rank", F.col("_i") - F.col("_first") + 1).drop("_i", "_f", "_first")
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -97,6 +103,61 @@ def nearest(df: DataFrame, key: str, array: str, k: int, include_self: bool = Fa
     return top.select(F.col("id").alias(key), (F.aggregate("n", F.lit(0.0), lambda s, v: s + v["d"]) / F.size("n")).alias("mean_distance"), F.transform("n", lambda v: v["other"]).alias("nearest"))
 
 
+def far_from_others(df: DataFrame, key: str, array: str, k: int, cut_at: float = 2.25) -> DataFrame:
+    """nearest() with is_outlier: rows whose mean distance to their k nearest is over ``cut_at``."""
+    return nearest(df, key, array, k).withColumn("is_outlier", F.col("mean_distance") > cut_at)
+
+
+def lloyd(df: DataFrame, array: str, start, k: int, rounds: int, out: str = "cluster") -> DataFrame:
+    """The rows with a cluster 0 .. k - 1 after exactly ``rounds`` rounds from the labels in the Column ``start``.
+
+    A round is one aggregate of k rows, which become expressions; a cluster without rows has no centre any more. Ties
+    go to the lower cluster.
+    """
+    n = len(df.select(array).first()[0])
+    x = F.col(array).cast("array<double>")
+    label = start.cast("int")
+    for _ in range(rounds):
+        rows = df.groupBy(label.alias("c")).agg(*[F.avg(x[i]).alias(f"m{i}") for i in range(n)]).filter(F.col("c").between(0, k - 1)).collect()
+        centres = sorted((r["c"], [float(r[f"m{i}"]) for i in range(n)]) for r in rows)
+        far = lambda m: F.aggregate(F.zip_with(x, F.array(*map(F.lit, m)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+        label = F.array_min(F.array(*[F.struct(far(m).alias("d"), F.lit(c).alias("c")) for c, m in centres]))["c"]
+    return df.withColumn(out, label)
+
+
+def em_mixture(df: DataFrame, array: str, means: list[list[float]], rounds: int = 50, ridge: float = 1e-6) -> tuple[DataFrame, list[float]]:
+    """(component, weight, mean, covariance) of a Gaussian mixture by expectation and maximisation, and the mean
+    log-likelihood before each round. Covariances start as the identity; ``ridge`` is added to their diagonals.
+
+    A round reads the rows once: densities are expressions and each sum over all rows is part of one aggregate row.
+    """
+    k, d = len(means), len(means[0])
+    w, m, c = np.full(k, 1 / k), np.array(means, float), np.stack([np.eye(d)] * k)
+    x, pairs, history = F.col(array).cast("array<double>"), [(i, j) for i in range(d) for j in range(i, d)], []
+    for _ in range(rounds):
+        logs = []
+        for g in range(k):
+            inv, z = np.linalg.inv(c[g]), [x[i] - float(m[g, i]) for i in range(d)]
+            quad = sum(((2.0 - (i == j)) * float(inv[i, j]) * z[i] * z[j] for i, j in pairs), F.lit(0.0))
+            logs.append(F.lit(float(math.log(w[g]) - 0.5 * (d * math.log(2 * math.pi) + np.linalg.slogdet(c[g])[1]))) - 0.5 * quad)
+        rows = df.select(x.alias("x"), F.array(*logs).alias("l")).withColumn("top", F.array_max("l"))
+        rows = rows.withColumn("ll", F.col("top") + F.log(F.aggregate("l", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top")))))
+        r = [F.exp(F.col("l")[g] - F.col("ll")) for g in range(k)]
+        v = F.col("x")
+        aggs = [F.avg("ll"), F.count("*")]
+        for g in range(k):
+            aggs += [F.sum(r[g]), *[F.sum(r[g] * v[i]) for i in range(d)], *[F.sum(r[g] * v[i] * v[j]) for i, j in pairs]]
+        got = np.array(rows.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first(), float)
+        history.append(float(got[0]))
+        for g, s in enumerate(got[2:].reshape(k, -1)):
+            w[g], m[g] = s[0] / got[1], s[1 : d + 1] / s[0]
+            for (i, j), two in zip(pairs, s[d + 1 :], strict=True):
+                c[g, i, j] = c[g, j, i] = two / s[0] - m[g, i] * m[g, j]
+            c[g] += ridge * np.eye(d)
+    table = [(g, float(w[g]), m[g].tolist(), c[g].tolist()) for g in range(k)]
+    return df.sparkSession.createDataFrame(table, "component int, weight double, mean array<double>, covariance array<array<double>>"), history
+
+
 def profile(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in columns])
 
@@ -121,6 +182,8 @@ def connected(links: DataFrame, nodes: DataFrame, key: str, least: int = 1, most
         label = new
         if not changed:
             break
+    else:
+        raise RuntimeError(f"labels still change after {most_rounds} rounds")
     border = both.join(label.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
     out = nodes.select(F.col(key).alias("v")).join(label, "v", "left").join(border, "v", "left")
     return out.select(F.col("v").alias(key), F.coalesce("c", "m").alias("component"))

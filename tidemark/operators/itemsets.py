@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .relate import row_index
 
 
 def baskets(df: DataFrame, basket: str, item: str) -> DataFrame:
@@ -25,18 +26,20 @@ def apriori(b: DataFrame, least: int, longest: int | None = None) -> DataFrame:
     """items, n: every itemset in at least ``least`` baskets, level by level until one has fewer than two, or to
     ``longest`` items.
 
-    Candidates of a level come from pairs with the same prefix, and only those all of whose subsets are frequent
-    are counted. Baskets shrink to the frequent items first; a level is counted with one join on a single item.
+    Items become ranks, the rarest first, and baskets shrink to the frequent ones. Candidates of a level come from
+    pairs with the same prefix, and only those all of whose subsets are frequent are counted, with one join on the
+    candidate's rarest item, so that a basket meets few candidates through a frequent item.
     """
     rows = b.select("basket", F.explode("items").alias("item"))
-    level = cut(rows.groupBy(F.array("item").alias("items")).agg(F.count("*").alias("n")).filter(F.col("n") >= least))
-    frequent = level.select(F.col("items")[0].alias("item"))
-    slim = cut(rows.join(frequent, "item", "left_semi").groupBy("basket").agg(F.array_sort(F.collect_set("item")).alias("items")))
+    frequent = rows.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    names = cut(row_index(frequent, "n", "item", out="_r").select("item", "n", F.col("_r").cast("int").alias("r")))
+    level = names.select(F.array("r").alias("items"), "n")
+    slim = cut(rows.join(names.select("item", "r"), "item").groupBy("basket").agg(F.array_sort(F.collect_set("r")).alias("items")))
     out, k = level, 1
     while (longest is None or k < longest) and level.count() > 1:
         prefix = lambda c: F.slice(c, 1, k - 1) if k > 1 else F.array()  # noqa: B023, E731
-        a = level.select(F.col("items").alias("a"), prefix(F.col("items")).cast("array<string>").alias("p"))
-        z = level.select(F.element_at("items", -1).alias("last"), prefix(F.col("items")).cast("array<string>").alias("p"))
+        a = level.select(F.col("items").alias("a"), prefix(F.col("items")).cast("array<int>").alias("p"))
+        z = level.select(F.element_at("items", -1).alias("last"), prefix(F.col("items")).cast("array<int>").alias("p"))
         cand = a.join(z, "p").filter(F.element_at("a", -1) < F.col("last")).select(F.array_append("a", F.col("last")).alias("items"))
         if k > 1:
             subsets = cand.select("items", F.explode(F.transform(F.col("items"), lambda x: F.array_remove(F.col("items"), x))).alias("s"))
@@ -46,7 +49,8 @@ def apriori(b: DataFrame, least: int, longest: int | None = None) -> DataFrame:
         hit = holds.join(cand, "item").filter(F.size(F.array_except("items", "have")) == 0)
         level = cut(hit.groupBy("items").agg(F.count("*").alias("n")).filter(F.col("n") >= least))
         out, k = out.unionByName(level), k + 1
-    return out
+    named = out.select("items", "n", F.explode("items").alias("r")).join(names.select("item", "r"), "r")
+    return named.groupBy("items", "n").agg(F.array_sort(F.collect_list("item")).alias("named")).select(F.col("named").alias("items"), "n")
 
 
 def fp_growth(b: DataFrame, least: int, n_baskets: int) -> DataFrame:

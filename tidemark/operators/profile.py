@@ -75,3 +75,13 @@ def zero_filled_counts(df: DataFrame, column: str, low: int, high: int) -> DataF
 
 def basic_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.sum(value).alias("total"), F.count("*").alias("n"))
+
+
+def null_matrix(df: DataFrame, columns: list[str], *order: str, buckets: int = 20) -> DataFrame:
+    """bucket (rows in a given order, in ``buckets`` runs of like length), n, and each column's number of nulls."""
+    from .relate import row_index
+
+    total = df.agg(F.count("*").alias("_n"))
+    rows = row_index(df, *order, out="_i").crossJoin(F.broadcast(total))
+    bucket = F.floor(F.col("_i") * buckets / F.col("_n")).cast("int")
+    return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])

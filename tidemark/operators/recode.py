@@ -23,11 +23,10 @@ def one_hot(df: DataFrame, column: str, levels: list, drop_first: bool = False,
 
 
 def label_encode(df: DataFrame, column: str, out: str = "code") -> DataFrame:
-    """A dense number for each value in sorted order, from 0. Only distinct values are sorted; null has no code."""
-    from pyspark.sql import Window
+    """A dense number for each value in sorted order, from 0. Only distinct values are sorted, by range; null has no code."""
+    from .relate import row_index
 
-    codes = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("_value")).distinct()
-    codes = codes.withColumn(out, (F.row_number().over(Window.orderBy("_value")) - 1).cast("long"))
+    codes = row_index(df.filter(F.col(column).isNotNull()).select(F.col(column).alias("_value")).distinct(), "_value", out=out)
     return df.join(codes, F.col(column) == F.col("_value"), "left").drop("_value")
 
 

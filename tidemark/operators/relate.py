@@ -39,12 +39,23 @@ def row_index(df: DataFrame, *order: Column | str, out: str = "row_index", parti
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     local = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_size"))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_size"))  # one row a range, whatever the table's size
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(F.col("_part").alias("_p"), before.alias("_before"))
     return local.join(F.broadcast(offsets), F.col("_part") == F.col("_p")).withColumn(out, (F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_p", "_at", "_before")
 
 
+def running_sum(df: DataFrame, value: str, *order: Column | str, out: str = "running") -> DataFrame:
+    """The sum of a column over all rows up to each one in a given order, by ranges and their totals as in row_index()."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    local = dealt.withColumn("_sum", F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    totals = dealt.groupBy("_part").agg(F.sum(value).alias("_total"))  # one row a range
+    before = F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = totals.select(F.col("_part").alias("_p"), before.alias("_before"))
+    return local.join(F.broadcast(offsets), F.col("_part") == F.col("_p")).withColumn(out, F.col("_before") + F.col("_sum")).drop("_part", "_p", "_sum", "_before")
+
+
 def positional_zip(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
     """Rows of two tables side by side by their place in a given order, as far as the shorter goes."""
     x, y = row_index(a, order_a, out="_i"), row_index(b, order_b, out="_j")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import spaced_tokens
+from .relate import row_index
 
 
 def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -14,9 +15,27 @@ def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def vocabulary(t: DataFrame, key: str) -> DataFrame:
-    """token, id, n: ids in the order of first occurrence (by key, then place). Only distinct tokens are sorted."""
-    v = t.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct(key, "pos")).alias("first"))
-    return v.select("token", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("id"), "n")
+    """token, id, n: ids in the order of first occurrence (by key, then place). Only distinct tokens are sorted, by range.
+
+    A whole-number key and the place are packed into one decimal, whose least value a hash aggregate can hold.
+    """
+    whole = t.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    place = F.col(key).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos") if whole else F.struct(key, "pos")
+    v = t.groupBy("token").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    return row_index(v, "first", out="id").select("token", "id", "n")
+
+
+def word_counts(t: DataFrame) -> DataFrame:
+    """token, n: a vocabulary without ids, where order doesn't matter."""
+    return t.groupBy("token").agg(F.count("*").alias("n"))
+
+
+def document_contexts(df: DataFrame, key: str, text: str, reach: int) -> DataFrame:
+    """contexts() of whole texts: each context is sliced from the text's own tokens, without a shuffle."""
+    w = df.select(key, spaced_tokens(F.col(text)).alias("w")).filter(F.size("w") > 2 * reach)
+    place = F.explode(F.sequence(F.lit(reach), F.size("w") - 1 - reach)).alias("pos")
+    near = F.concat(F.slice("w", F.col("pos") - reach + 1, reach), F.slice("w", F.col("pos") + 2, reach))
+    return w.select(key, "w", place).select(key, "pos", F.get("w", F.col("pos")).alias("token"), near.alias("context"))
 
 
 def contexts(t: DataFrame, key: str, reach: int) -> DataFrame:

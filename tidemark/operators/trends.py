@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relate import row_index, running_sum
+
 
 def conditional_sums(df: DataFrame, by: Column, value: str, first: Column) -> DataFrame:
     """Total, the sum where ``first`` holds and that of all others, by a key; null values are skipped."""
@@ -35,14 +37,14 @@ def daily_change(df: DataFrame, entity: str, day: str, value: str, keep_null: bo
 
 
 def pareto(freq: DataFrame, key: str, n: str = "n") -> DataFrame:
-    """Frequencies from the largest with running total and percent. ``freq`` has a row a category, so one sort is small."""
-    w = Window.orderBy(F.desc(n), key).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(n).over(Window.partitionBy())
-    return freq.withColumns({"running": F.sum(n).over(w), "percent": F.round(100.0 * F.sum(n).over(w) / total, 6)})
+    """Frequencies (a row a category) from the largest with running total and percent; sorted and summed by range."""
+    total = freq.agg(F.sum(n).alias("_total"))
+    out = running_sum(freq, n, F.desc(n), key, out="running").crossJoin(F.broadcast(total))
+    return out.withColumn("percent", F.round(100.0 * F.col("running") / F.col("_total"), 6)).drop("_total")
 
 
 def relabel_by_size(df: DataFrame, label: str, out: str = "new_label") -> DataFrame:
     """Labels 0, 1, ... from the largest group to the smallest (ties by label)."""
     sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
-    new = sizes.select("_l", (F.row_number().over(Window.orderBy(F.desc("_n"), "_l")) - 1).cast("long").alias(out))
+    new = row_index(sizes, F.desc("_n"), "_l", out=out).drop("_n")
     return df.join(new, F.col(label).eqNullSafe(F.col("_l"))).drop("_l")

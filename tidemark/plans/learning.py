@@ -97,13 +97,13 @@ def vocabulary_ids(t):
 
 @query(f"""WITH t AS (SELECT *, lag(token, 2) OVER w AS a, lag(token, 1) OVER w AS b, lead(token, 1) OVER w AS c, lead(token, 2) OVER w AS d FROM ({_TOKENS}) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT token, count(*) AS n, count(DISTINCT concat_ws(' ', a, b, c, d)) AS contexts FROM t WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND d IS NOT NULL GROUP BY 1""")
 def context_windows(t):
-    c = text.contexts(_tokens(t), "doc_id", 2)
+    c = text.document_contexts(t.documents, "doc_id", "text", 2)
     return c.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct(F.array_join("context", " ")).alias("contexts"))
 
 
 @query(f"WITH v AS ({_VOCAB}) SELECT token, round(n ** 0.75 / sum(n ** 0.75) OVER (), 10) AS weight FROM v")
 def unigram_power_weights(t):
-    return text.unigram_weights(text.vocabulary(_tokens(t), "doc_id")).select("token", F.round("weight", 10).alias("weight"))
+    return text.unigram_weights(text.word_counts(_tokens(t))).select("token", F.round("weight", 10).alias("weight"))
 
 
 @query("""SELECT event_id, array_to_string(list_transform([user_id % 5, (user_id + 1) % 5, (event_id * 3) % 5], lambda x: CAST(x = event_id % 5 AS INTEGER)), '') AS labels FROM events""")
@@ -246,3 +246,10 @@ def smote(t):
 @query("""SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem""")
 def ols_line(t):
     return t.lineitem.agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 3).alias("intercept"), F.round(F.regr_r2("l_extendedprice", "l_quantity"), 6).alias("r2"))
+
+
+@query("""SELECT s_suppkey, CAST(unnest([1, 2]) AS INTEGER) AS row, unnest([s_name || '|' || s_suppkey, 'nation|' || s_nationkey]) AS cells FROM supplier""")
+def table_rows_cells(t):
+    cells = lambda tag, *v: F.concat(F.lit("<tr class='r'>"), *[F.concat(F.lit(f"<{tag}> <b>"), x.cast("string"), F.lit(f"</b></{tag.upper()}>")) for x in v], F.lit("</tr>\n"))
+    h = F.concat(F.lit("<TABLE>"), cells("th", F.lit("name"), F.lit("value")), cells("td", F.col("s_name"), F.col("s_suppkey")), cells("td", F.lit("nation"), F.col("s_nationkey")), F.lit("</table>"))
+    return text.table_rows(t.supplier.select("s_suppkey", h.alias("h")), "s_suppkey", "h", 1).select("s_suppkey", "row", F.array_join("cells", "|").alias("cells"))

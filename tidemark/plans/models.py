@@ -28,6 +28,58 @@ def periodogram(t):
     return signal.periodogram(_filled(t), "event_type", "tick", "filled", 1.0)
 
 
+def _daily(t):
+    return t.events.groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.avg("value").alias("x"))
+
+
+_DAY = "d AS (SELECT event_type, CAST(ts AS DATE) AS day, avg(value) AS x FROM events GROUP BY 1, 2)"
+
+
+def _lines_sql(taper: str) -> str:
+    return f"""WITH {_DAY}, e AS (SELECT event_type, x - avg(x) OVER (PARTITION BY event_type) AS x, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM d),
+h AS (SELECT event_type, i, n, x * {taper} AS x FROM e), k AS (SELECT *, unnest(range(1, n // 2 + 1)) AS k FROM h)
+SELECT event_type, k, round(24.0::DOUBLE * any_value(n) / k, 6) AS period_hours, round(2 * (sum(x * cos(2 * pi() * (k * i % n) / n)) ** 2 + sum(x * sin(2 * pi() * (k * i % n) / n)) ** 2) / any_value(n) ** 2, 6) + 0.0 AS psd FROM k GROUP BY 1, 2"""
+
+
+def _lines(t, window):
+    p = signal.periodogram(_daily(t), "event_type", "day", "x", 24.0, window)
+    return p.select("event_type", "k", F.round("period_hours", 6).alias("period_hours"), (F.round("psd", 6) + 0.0).alias("psd"))
+
+
+@query(_lines_sql("1.0::DOUBLE"))
+def periodogram_daily(t):
+    return _lines(t, "none")
+
+
+@query(_lines_sql("(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / (n - 1)))"))
+def periodogram_daily_hann(t):
+    return _lines(t, "hann")
+
+
+def _frames_sql(taper: str, first: int, power: str, digits: int) -> str:
+    return f"""WITH {_DAY}, e AS (SELECT event_type, x, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM d),
+s AS (SELECT a.event_type, a.i AS window_start, b.i - a.i AS j, b.x - avg(b.x) OVER (PARTITION BY a.event_type, a.i) AS x FROM e a JOIN e b ON a.event_type = b.event_type AND b.i BETWEEN a.i AND a.i + 7 WHERE a.i + 8 <= a.n),
+h AS (SELECT event_type, window_start, j, x * {taper} AS x, unnest(range({first}, 5)) AS k FROM s),
+p AS (SELECT event_type, window_start, k, sum(x * cos(2 * pi() * (k * j % 8) / 8)) ** 2 + sum(x * sin(2 * pi() * (k * j % 8) / 8)) ** 2 AS p FROM h GROUP BY 1, 2, 3)
+SELECT event_type, window_start, CAST(k AS INTEGER) AS k, round({power}, {digits}) + 0.0 AS power FROM p"""
+
+
+def _frames(t):
+    return series.sliding_arrays(_daily(t), "event_type", "day", "x", 8)
+
+
+@query(_frames_sql("(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 8))", 0, "p", 6))
+def stft_daily(t):
+    p = signal.stft_power(_frames(t)).select("event_type", "window_start", F.posexplode("power").alias("k", "p"))
+    return p.select("event_type", "window_start", "k", (F.round("p", 6) + 0.0).alias("power"))
+
+
+@query(_frames_sql("(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 7))", 1, "log10(2 * p / 64 + 1e-14)", 6))
+def spectrogram_daily(t):
+    p = signal.spectrogram(_frames(t), "hann").select("event_type", "window_start", F.posexplode("log_power").alias("k", "p"))
+    return p.select("event_type", "window_start", (F.col("k") + 1).alias("k"), (F.round("p", 6) + 0.0).alias("power"))
+
+
 @query()
 def periodogram_hann(t):
     return signal.periodogram(_filled(t), "event_type", "tick", "filled", 1.0, "hann")
@@ -123,6 +175,22 @@ def silhouette_mean(t):
     return s.groupBy(F.col("label").cast("int").alias("label")).agg(F.round(F.avg("silhouette"), 5).alias("silhouette"))
 
 
+@query(f"""WITH e AS ({_E}), d AS (SELECT a.vec_id, a.label AS g, b.label AS o, avg(list_distance(a.x, b.x)) AS m FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3), s AS (SELECT vec_id, g, max(m) FILTER (WHERE o = g) AS a, min(m) FILTER (WHERE o <> g) AS b FROM d GROUP BY 1, 2)
+SELECT vec_id, g AS label, row_number() OVER (PARTITION BY g ORDER BY round(coalesce((b - a) / greatest(a, b), 0), 9) DESC, vec_id) AS rank FROM s""")
+def silhouette_ranked(t):
+    return cluster.silhouette(_vectors(t), "vec_id", "x", "label").select("vec_id", F.col("label").cast("int").alias("label"), "rank")
+
+
+_FAR = "list_sum(list_transform(list_zip(x, m), lambda z: (z[1] - z[2]) ** 2))"
+_STEP = f"""r{{n}} AS (SELECT vec_id, x, arg_min(c, (round(d, 9), c)) AS c FROM (SELECT r.vec_id, r.x, m.c, {_FAR} AS d FROM r{{p}} r, m{{p}} m) GROUP BY 1, 2), m{{n}} AS (SELECT c, list(a ORDER BY i) AS m FROM (SELECT c, i, avg(v) AS a FROM (SELECT c, unnest(x) AS v, unnest(range(len(x))) AS i FROM r{{n}}) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(f"""WITH e AS ({_E}), r0 AS (SELECT vec_id, x, vec_id % 4 AS c FROM e), m0 AS (SELECT c, list(a ORDER BY i) AS m FROM (SELECT c, i, avg(v) AS a FROM (SELECT c, unnest(x) AS v, unnest(range(len(x))) AS i FROM r0) GROUP BY 1, 2) GROUP BY 1), {_STEP.format(n=1, p=0)}, {_STEP.format(n=2, p=1)}, {_STEP.format(n=3, p=2)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster FROM r3""")
+def lloyd_rounds(t):
+    return cluster.lloyd(t.embeddings.select("vec_id", "embedding"), "embedding", F.col("vec_id") % 4, 4, 3).select("vec_id", "cluster")
+
+
 @query("SELECT label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS x0, round(avg(embedding[2]::DOUBLE), 6) AS x1 FROM embeddings GROUP BY 1")
 def cluster_profile(t):
     e = t.embeddings.select("label", F.col("embedding")[0].cast("double").alias("x0"), F.col("embedding")[1].cast("double").alias("x1"))
@@ -183,6 +251,44 @@ def knn_mean_distance(t):
     return n.select("vec_id", F.round("mean_distance", 5).alias("mean_distance"))
 
 
+@query(f"""WITH e AS ({_E}), d AS (SELECT a.vec_id, list_distance(a.x, b.x) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS k FROM d) SELECT vec_id, avg(d) > 1.25 AS is_outlier FROM r WHERE k <= 5 GROUP BY 1""")
+def knn_outliers(t):
+    return cluster.far_from_others(_vectors(t), "vec_id", "x", 5, 1.25).select("vec_id", "is_outlier")
+
+
+@query("""WITH s AS (SELECT avg(l_quantity) a, avg(l_extendedprice) b, covar_samp(l_quantity, l_quantity) p, covar_samp(l_quantity, l_extendedprice) q, covar_samp(l_extendedprice, l_extendedprice) r FROM lineitem)
+SELECT l_orderkey, l_linenumber, (r * (l_quantity - a) ** 2 - 2 * q * (l_quantity - a) * (l_extendedprice - b) + p * (l_extendedprice - b) ** 2) / (p * r - q * q) > -2 * ln(0.05) AS is_outlier FROM lineitem, s""")
+def hotelling_flags(t):
+    h = anomaly.hotelling(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"), ["l_quantity", "l_extendedprice"], 0.05)
+    return h.select("l_orderkey", "l_linenumber", "is_outlier")
+
+
+@query("""WITH s AS (SELECT avg(c_acctbal) a, avg(c_nationkey) b, covar_samp(c_acctbal, c_acctbal) p, covar_samp(c_acctbal, c_nationkey) q, covar_samp(c_nationkey, c_nationkey) r FROM customer), d AS (SELECT c_custkey, (r * (c_acctbal - a) ** 2 - 2 * q * (c_acctbal - a) * (c_nationkey - b) + p * (c_nationkey - b) ** 2) / (p * r - q * q) AS d FROM customer, s) SELECT c_custkey, round(d, 6) AS distance, d > -2 * ln(0.1) AS is_outlier FROM d""")
+def distance_estimator(t):
+    from ..operators.estimators import DistanceOutlier
+
+    e = DistanceOutlier(inputCols=["c_acctbal", "c_nationkey"], alpha=0.1)
+    return e.fit(t.customer).transform(t.customer).select("c_custkey", F.round("distance", 6).alias("distance"), "is_outlier")
+
+
+@query()
+def em_mixture(t):
+    e = t.customer.select(F.array(F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double")).alias("x"))
+    return cluster.em_mixture(e, "x", [[0.0, 5.0], [5.0, 12.0], [9.0, 20.0]], 10)[0]
+
+
+@query()
+def tree_grid(t):
+    p = t.part.select("p_partkey", (F.col("p_retailprice") + 20 * (F.col("p_size") % 5) > 1500).cast("double").alias("label"), array_to_vector(F.array("p_retailprice", (F.col("p_size") % 5).cast("double"))).alias("features"))
+    return models.tree_grid(splits.folds(p, "p_partkey", "label", 2), "features", "label", "fold", 2, [None, 5, 10, 20, 30], [2, 5, 10], [1, 2, 4])
+
+
+@query()
+def extra_trees(t):
+    p = t.part.select("p_partkey", (F.col("p_retailprice") + 20 * (F.col("p_size") % 5) > 1500).cast("int").alias("label"), "p_retailprice", (F.col("p_size") % 5).alias("m"))
+    return models.extra_trees(p, "p_partkey", ["p_retailprice", "m"], "label", 5, 6)
+
+
 @query()
 def isolation_scores(t):
     f = anomaly.IsolationForest(50).fit(t.customer, "c_custkey", ["c_acctbal", "c_nationkey"])

@@ -285,3 +285,13 @@ def point_update(t):
 def parse_and_clip(t):
     day = F.to_date(F.date_format("o_orderdate", "MM/dd/yyyy"), "MM/dd/yyyy").cast("string")
     return t.orders.groupBy(day.alias("day")).agg(F.round(F.sum(S.clip(F.col("o_totalprice"), 1000, 200000)), 2).alias("clipped"))
+
+
+@query("SELECT o_orderkey, CAST(epoch(o_orderdate) - 32400 AS BIGINT) AS epoch FROM orders")
+def local_epochs(t):
+    return t.orders.select("o_orderkey", S.local_epoch(F.col("o_orderdate").cast("date"), "Asia/Tokyo").alias("epoch"))
+
+
+@query("""WITH r AS (SELECT CASE WHEN value <= 60 THEN value END AS v, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events) SELECT CAST(i * 20 // n AS INTEGER) AS bucket, count(*) AS n, count(*) FILTER (WHERE v IS NULL) AS v FROM r GROUP BY 1""")
+def null_matrix(t):
+    return profile.null_matrix(t.events.select("event_id", F.when(F.col("value") <= 60, F.col("value")).alias("v")), ["v"], "event_id")

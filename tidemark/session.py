@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,9 +43,14 @@ class Tables:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that spark.checkpoint.dir names (one of our own if unset)."""
+    """Cut the lineage with a checkpoint in the folder that spark.checkpoint.dir names.
+
+    One of our own where it is unset and all of Spark is this process; on a cluster that is an error.
+    """
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))

@@ -44,11 +44,18 @@ def read_messages(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_entities(spark: SparkSession, catalogue: DataFrame, columns: list[str]) -> DataFrame:
-    """Files of many entities read together. catalogue: (code, path), a few thousand rows; each row gets its code."""
-    files = {r.path: r.code for r in catalogue.select("code", "path").toLocalIterator()}
-    df = read_whitespace(spark, sorted(files), columns, with_path=True)
-    names = catalogue.select(F.element_at(F.split("path", "/"), -1).alias("_f"), "code")
-    return df.withColumn("_f", F.element_at(F.split("_path", "/"), -1)).join(names, "_f").drop("_f", "_path")
+    """Files of many entities read together. catalogue: (code, path), a few thousand rows; each row gets the code of its
+    whole path, so that files of one name in several folders stay apart."""
+    files = [(r.path, r.code) for r in catalogue.select("code", "path").toLocalIterator()]
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def whole(path: str) -> str:
+        p = hadoop.Path(path)
+        return p.getFileSystem(conf).makeQualified(p).toUri().toString()
+
+    names = spark.createDataFrame([(whole(p), c) for p, c in files], f"_f string, code {catalogue.schema['code'].dataType.simpleString()}")
+    df = read_whitespace(spark, sorted({p for p, _ in files}), columns, with_path=True)
+    return df.join(names, F.col("_path") == F.col("_f")).drop("_f", "_path")
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
