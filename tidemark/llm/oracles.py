@@ -49,8 +49,77 @@ SELECT v.vec_id, coalesce(n.n, 0) AS n_links, least(v.vec_id, coalesce(c.b, v.ve
 FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN c ON c.a = v.vec_id
 """
 
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+#: The rules in order, with the group whose length counts and its least. Runs that must be long say so in the expression.
+_ASSIGN = "(" + "|".join(map(_any_case, ("password", "passwd", "secret", "token", "api_?key"))) + r""")["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)"""
+_SECRET_RULES = (
+    ("assign", _ASSIGN, 2, 6),
+    ("access", "AKIA[A-Z0-9]{16,}", 0, 0),
+    ("hex", "[0-9a-f]{24,}", 0, 0),
+    ("private_key", "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 0),
+    ("web_token", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    ("prefixed_key", r"\b(?:ghp|gho|ghs|glpat|xoxb|xoxp|sk_live|rk_live)[_-][A-Za-z0-9_-]{16,}", 0, 0),
+    ("bearer", f"""{_any_case("authorization")}["\']?\\x20*:\\x20*["\']?{_any_case("bearer")}\\x20+([A-Za-z0-9._~+/-]{{16,}}=*)""", 0, 0),
+)
+
+
+def _secret_rows() -> str:
+    each = []
+    for k, (kind, rx, group, least) in enumerate(_SECRET_RULES):
+        q = "'" + rx.replace("'", "''") + "'"
+        each.append(f"SELECT r, {k} AS k, '{kind}' AS kind, {least} AS least, regexp_extract_all(text, {q}, 0) AS m, regexp_extract_all(text, {q}, {group}) AS g, string_split_regex(text, {q}) AS p FROM t")
+    return " UNION ALL ".join(each)
+
+
+# Places of matches: the lengths of what lies between them and of the matches before.
+_SECRETS = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), a AS ({_secret_rows()}),
+x AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM a WHERE len(m) > 0),
+y AS (SELECT r, k, kind, CAST(list_sum(list_transform(p[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda v: length(v))), 0) AS BIGINT) AS s, length(m[i]) AS n FROM x WHERE length(g[i]) >= least),
+z AS (SELECT r, k, s, n, kind || ':' || s || ':' || (s + n) AS span FROM y)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY s, k, n) FILTER (WHERE k < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY s, k, n), '') AS spans, count(*) FILTER (WHERE k > 2) AS n_extra
+FROM t LEFT JOIN z USING (r) GROUP BY t.r
+"""
+
+# Spans of repeats of eight words or more cover what repeated windows of eight cover; the longest repeat is a run of equal
+# windows of five at one distance.
+_QUALITY = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
+), f AS (
+  SELECT r, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) > 4)
+), e AS (
+  SELECT r, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) > 7)
+), f2 AS (
+  SELECT r, i, g FROM f QUALIFY count(*) OVER (PARTITION BY r, g) > 1
+), e2 AS (
+  SELECT r, i FROM e QUALIFY count(*) OVER (PARTITION BY r, g) > 1
+), c5 AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM f2, (SELECT unnest(range(5)) AS k) GROUP BY 1
+), c8 AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM e2, (SELECT unnest(range(8)) AS k) GROUP BY 1
+), d AS (
+  SELECT a.r, b.i - a.i AS far, a.i - row_number() OVER (PARTITION BY a.r, b.i - a.i ORDER BY a.i) AS run FROM f2 a JOIN f2 b ON a.r = b.r AND a.g = b.g AND a.i < b.i
+), lr AS (
+  SELECT r, max(n) + 4 AS n FROM (SELECT r, count(*) AS n FROM d GROUP BY r, far, run) GROUP BY 1
+), o AS (
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c5.n, 0) AS n_repeat_words, coalesce(c8.n, 0) / greatest(len(w), 1)::DOUBLE AS covered_fraction, coalesce(lr.n, 0) AS longest_repeat
+  FROM t LEFT JOIN c5 USING (r) LEFT JOIN c8 USING (r) LEFT JOIN lr USING (r)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND covered_fraction <= 0.18 AND longest_repeat <= 100 AS kept FROM o
+"""
+
 SQL: dict[str, str] = {
     "op4_chat_format": _CHAT,
     "op6_jaccard_join": _JACCARD,
     "op7_near_vectors": _VECTORS,
+    "op8_quality_rules": _QUALITY,
+    "op9_secret_scan": _SECRETS,
 }
