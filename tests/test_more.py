@@ -22,12 +22,6 @@ def test_running_sums_and_vocabularies_over_many_ranges(spark):
         assert [tuple(r) for r in text.vocabulary(text.tokens(docs, "d", "t"), "d").orderBy("id").collect()] == [("z", 0, 1), ("b", 1, 3), ("a", 2, 1), ("c", 3, 1)]
 
 
-def test_document_contexts_equal_those_by_windows(spark):
-    df = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 7}" for k in range(i))) for i in range(12)] + [(50, None), (51, "")], "k long, t string")
-    rows = lambda c: sorted(map(tuple, c.select("k", "pos", "token", F.array_join("context", " ")).collect()))
-    assert rows(text.document_contexts(df, "k", "t", 2)) == rows(text.contexts(text.tokens(df, "k", "t"), "k", 2))
-
-
 def test_entities_with_equal_file_names(spark, tmp_path):
     for d, v in (("a", 1), ("b b", 2)):
         (tmp_path / d).mkdir()

@@ -30,14 +30,6 @@ def word_counts(t: DataFrame) -> DataFrame:
     return t.groupBy("token").agg(F.count("*").alias("n"))
 
 
-def document_contexts(df: DataFrame, key: str, text: str, reach: int) -> DataFrame:
-    """contexts() of whole texts: each context is sliced from the text's own tokens, without a shuffle."""
-    w = df.select(key, spaced_tokens(F.col(text)).alias("w")).filter(F.size("w") > 2 * reach)
-    place = F.explode(F.sequence(F.lit(reach), F.size("w") - 1 - reach)).alias("pos")
-    near = F.concat(F.slice("w", F.col("pos") - reach + 1, reach), F.slice("w", F.col("pos") + 2, reach))
-    return w.select(key, "w", place).select(key, "pos", F.get("w", F.col("pos")).alias("token"), near.alias("context"))
-
-
 def contexts(t: DataFrame, key: str, reach: int) -> DataFrame:
     """key, pos, token, context: the ``reach`` tokens either side; places too near the ends are left out."""
     w = Window.partitionBy(key).orderBy("pos")
