@@ -45,10 +45,13 @@ def fpgrowth_itemsets(t):
     return itemsets.fp_growth(b, _LEAST, b.count()).filter(F.size("items") <= 3).select(_text("items"), "n")
 
 
-@query(f"""WITH {_LEVELS}, t AS (SELECT count(DISTINCT basket)::DOUBLE AS total FROM i), s AS (SELECT string_split(items, '|') AS items, n FROM f), m AS (SELECT items, n, unnest(range(1, (2 ** len(items) - 1)::BIGINT)) AS m FROM s WHERE len(items) > 1),
+_RULES = f"""t AS (SELECT count(DISTINCT basket)::DOUBLE AS total FROM i), s AS (SELECT string_split(items, '|') AS items, n FROM f), m AS (SELECT items, n, unnest(range(1, (2 ** len(items) - 1)::BIGINT)) AS m FROM s WHERE len(items) > 1),
 x AS (SELECT n AS nxy, list_filter(items, lambda x, j: (m >> (j - 1)) & 1 = 1) AS a, list_filter(items, lambda x, j: (m >> (j - 1)) & 1 = 0) AS c FROM m),
 r AS (SELECT array_to_string(a, '|') AS antecedent, array_to_string(c, '|') AS consequent, nxy / total AS s, p.n / total AS x, q.n / total AS y, nxy / p.n::DOUBLE AS conf FROM x JOIN s p ON p.items = a JOIN s q ON q.items = c, t)
-SELECT antecedent, consequent, round(s, 9) AS support, round(x, 9) AS antecedent_support, round(y, 9) AS consequent_support, round(conf, 9) AS confidence, round(conf / y, 9) AS lift, round(s - x * y, 9) AS leverage, round(CASE WHEN conf < 1 THEN (1 - y) / (1 - conf) END, 9) AS conviction, round((s - x * y) / nullif(greatest(s * (1 - x), x * (y - s)), 0), 9) AS zhang FROM r""")
+SELECT antecedent, consequent, round(s, 9) AS support, round(x, 9) AS antecedent_support, round(y, 9) AS consequent_support, round(conf, 9) AS confidence, round(conf / y, 9) AS lift, round(s - x * y, 9) AS leverage, round(CASE WHEN conf < 1 THEN (1 - y) / (1 - conf) END, 9) AS conviction, round((s - x * y) / nullif(greatest(s * (1 - x), x * (y - s)), 0), 9) AS zhang FROM r"""
+
+
+@query(f"WITH {_LEVELS}, {_RULES}")
 def association_rules_full(t):
     b = _baskets(t)
     r = itemsets.rules(itemsets.apriori(b, _LEAST, 3), b.count())
@@ -56,18 +59,23 @@ def association_rules_full(t):
 
 
 # The three queries above end at three items, as their SQL does; these go on until a level has fewer than two sets.
-@query()
+# Their SQL counts every subset of the frequent items of every basket.
+_EVERY = f"""i AS ({_ITEMS}), o AS (SELECT item FROM i GROUP BY 1 HAVING count(*) >= {_LEAST}), b AS (SELECT basket, list(item ORDER BY item) AS w FROM i SEMI JOIN o USING (item) GROUP BY 1), u AS (SELECT w, unnest(range(1, (2 ** len(w))::BIGINT)) AS m FROM b),
+f AS (SELECT array_to_string(list_filter(w, lambda x, j: (m >> (j - 1)) & 1 = 1), '|') AS items, count(*) AS n FROM u GROUP BY 1 HAVING count(*) >= {_LEAST})"""
+
+
+@query(f"WITH {_EVERY} SELECT * FROM f")
 def apriori_all_sizes(t):
     return itemsets.apriori(_baskets(t), _LEAST).select(_text("items"), "n")
 
 
-@query()
+@query(f"WITH {_EVERY} SELECT * FROM f")
 def fpgrowth_all_sizes(t):
     b = _baskets(t)
     return itemsets.fp_growth(b, _LEAST, b.count()).select(_text("items"), "n")
 
 
-@query()
+@query(f"WITH {_EVERY}, {_RULES}")
 def association_rules_all_sizes(t):
     b = _baskets(t)
     r = itemsets.rules(itemsets.apriori(b, _LEAST), b.count())
@@ -158,7 +166,13 @@ def average_precision(t):
     return evaluate.average_precision(_scored(t), F.col("score"), F.col("quality") == 1).select(F.round("average_precision", 9).alias("average_precision"))
 
 
-@query()
+@query("""WITH d AS (SELECT p_size % 3 AS y, p_retailprice::DOUBLE AS s FROM part), o AS (SELECT 0 AS class, s AS score, y = 0 AS hit FROM d UNION ALL SELECT 1, -s, y = 1 FROM d UNION ALL SELECT 2, s % 100, y = 2 FROM d),
+a AS (SELECT score, count(*) FILTER (WHERE hit) AS p, count(*) FILTER (WHERE NOT hit) AS q FROM o GROUP BY 1), b AS (SELECT p, q, sum(p) OVER (ORDER BY score DESC) AS tp, sum(p) OVER () AS pos, sum(q) OVER () AS neg FROM a),
+g AS (SELECT class, score, count(*) FILTER (WHERE hit) AS p, count(*) FILTER (WHERE NOT hit) AS q FROM o GROUP BY 1, 2),
+c AS (SELECT class, sum(q) OVER w / sum(q) OVER (PARTITION BY class) AS fpr, sum(p) OVER w / sum(p) OVER (PARTITION BY class) AS tpr FROM g WINDOW w AS (PARTITION BY class ORDER BY score DESC) UNION ALL SELECT DISTINCT class, 0, 0 FROM g),
+e AS (SELECT class, fpr, max(tpr) AS high, min(tpr) AS low FROM c GROUP BY 1, 2), s AS (SELECT *, lead(fpr) OVER w AS next, lead(low) OVER w AS next_low FROM e WINDOW w AS (PARTITION BY class ORDER BY fpr)),
+x AS (SELECT class, i, i / 100.0::DOUBLE AS x FROM (SELECT DISTINCT class FROM g), range(101) r(i)), y AS (SELECT x.i, avg(CASE WHEN s.next IS NULL OR s.fpr = x.x THEN high ELSE high + (next_low - high) * (x.x - s.fpr) / (next - s.fpr) END) AS y FROM x ASOF JOIN s ON x.class = s.class AND x.x >= s.fpr GROUP BY 1)
+SELECT 'micro' AS kind, round(sum(q * (tp - p / 2.0::DOUBLE)) / any_value(pos * neg), 6) AS auc FROM b UNION ALL SELECT 'macro', round(sum(h), 6) FROM (SELECT (y + lag(y) OVER (ORDER BY i)) / 200 AS h FROM y)""")
 def roc_macro_micro(t):
     c = t.part.select((F.col("p_size") % 3).alias("y"), F.col("p_retailprice").alias("s"))
     ovr = evaluate.one_vs_rest(c, "y", {0: F.col("s"), 1: -F.col("s"), 2: F.col("s") % 100})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import anomaly, cluster, linalg, models, relate, series, signal, splits
 from .registry import query
-from .relations import hourly
+from .relations import _BETWEEN, _FILLED, _KNOWN, hourly
 
 
 def _filled(t):
@@ -23,11 +23,6 @@ def dft_small_sql(t):
     return d.select("event_type", "k", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
 
 
-@query()
-def periodogram(t):
-    return signal.periodogram(_filled(t), "event_type", "tick", "filled", 1.0)
-
-
 def _daily(t):
     return t.events.groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.avg("value").alias("x"))
 
@@ -35,23 +30,46 @@ def _daily(t):
 _DAY = "d AS (SELECT event_type, CAST(ts AS DATE) AS day, avg(value) AS x FROM events GROUP BY 1, 2)"
 
 
-def _lines_sql(taper: str) -> str:
-    return f"""WITH {_DAY}, e AS (SELECT event_type, x - avg(x) OVER (PARTITION BY event_type) AS x, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM d),
-h AS (SELECT event_type, i, n, x * {taper} AS x FROM e), k AS (SELECT *, unnest(range(1, n // 2 + 1)) AS k FROM h)
-SELECT event_type, k, round(24.0::DOUBLE * any_value(n) / k, 6) AS period_hours, round(2 * (sum(x * cos(2 * pi() * (k * i % n) / n)) ** 2 + sum(x * sin(2 * pi() * (k * i % n) / n)) ** 2) / any_value(n) ** 2, 6) + 0.0 AS psd FROM k GROUP BY 1, 2"""
+_HOUR = f"{_KNOWN}, d AS (SELECT event_type, tick AS day, {_BETWEEN} AS x FROM k)"
 
 
-def _lines(t, window):
-    p = signal.periodogram(_daily(t), "event_type", "day", "x", 24.0, window)
+def _lines_sql(taper: str, values: str = _DAY, hours: int = 24) -> str:
+    return f"""WITH {values}, e AS (SELECT event_type, x - avg(x) OVER (PARTITION BY event_type) AS x, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM d),
+t AS (SELECT event_type, i, n, x * {taper} AS x FROM e), s AS (SELECT *, unnest(range(1, n // 2 + 1)) AS k FROM t)
+SELECT event_type, k, round({hours}.0::DOUBLE * any_value(n) / k, 6) AS period_hours, round(2 * (sum(x * cos(2 * pi() * (k * i % n) / n)) ** 2 + sum(x * sin(2 * pi() * (k * i % n) / n)) ** 2) / any_value(n) ** 2, 6) + 0.0 AS psd FROM s GROUP BY 1, 2"""
+
+
+_NO_TAPER, _HANN = "1.0::DOUBLE", "(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / (n - 1)))"
+
+
+def _shown(p):
     return p.select("event_type", "k", F.round("period_hours", 6).alias("period_hours"), (F.round("psd", 6) + 0.0).alias("psd"))
 
 
-@query(_lines_sql("1.0::DOUBLE"))
+def _lines(t, window):
+    return _shown(signal.periodogram(_daily(t), "event_type", "day", "x", 24.0, window))
+
+
+def _hourly_lines(t, window="none"):
+    return signal.periodogram(_filled(t), "event_type", "tick", "filled", 1.0, window)
+
+
+@query(_lines_sql(_NO_TAPER, _HOUR, 1))
+def periodogram(t):
+    return _shown(_hourly_lines(t))
+
+
+@query(_lines_sql(_HANN, _HOUR, 1))
+def periodogram_hann(t):
+    return _shown(_hourly_lines(t, "hann"))
+
+
+@query(_lines_sql(_NO_TAPER))
 def periodogram_daily(t):
     return _lines(t, "none")
 
 
-@query(_lines_sql("(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / (n - 1)))"))
+@query(_lines_sql(_HANN))
 def periodogram_daily_hann(t):
     return _lines(t, "hann")
 
@@ -80,14 +98,13 @@ def spectrogram_daily(t):
     return p.select("event_type", "window_start", (F.col("k") + 1).alias("k"), (F.round("p", 6) + 0.0).alias("power"))
 
 
-@query()
-def periodogram_hann(t):
-    return signal.periodogram(_filled(t), "event_type", "tick", "filled", 1.0, "hann")
-
-
-@query()
+@query(f"""WITH RECURSIVE p AS ({_lines_sql(_NO_TAPER, _HOUR, 1).replace("round(2 *", "(2 *").replace(", 6) + 0.0 AS psd", ") AS psd")}),
+o AS (SELECT *, median(psd) OVER (PARTITION BY event_type ORDER BY k ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING) AS m FROM p), c AS (SELECT event_type, list({{'s': psd, 'p': period_hours}} ORDER BY psd DESC, period_hours) AS c FROM o WHERE m > 0 AND psd / m > 5 GROUP BY 1),
+r AS (SELECT event_type, c, 1 AS i, c[1:0] AS kept FROM c UNION ALL SELECT event_type, c, i + 1, CASE WHEN len(kept) >= 10 OR len(list_filter(kept, lambda y: abs(c[i].p - y.p) < 0.1 * y.p)) > 0 THEN kept ELSE list_append(kept, c[i]) END FROM r WHERE i <= len(c)),
+u AS (SELECT event_type, unnest(range(1, len(kept) + 1)) AS rank, unnest(kept) AS y FROM r WHERE i > len(c)) SELECT event_type, CAST(rank AS INTEGER) AS rank, round(y.p, 6) AS period_hours, round(y.s, 6) AS psd FROM u""")
 def spectral_peaks(t):
-    return signal.spectral_peaks(signal.periodogram(_filled(t), "event_type", "tick", "filled", 1.0), "event_type", prominence=5.0)
+    p = signal.spectral_peaks(_hourly_lines(t), "event_type", prominence=5.0)
+    return p.select("event_type", "rank", F.round("period_hours", 6).alias("period_hours"), F.round("psd", 6).alias("psd"))
 
 
 @query("""SELECT event_type, TRUE AS equal FROM events GROUP BY 1""")
@@ -111,11 +128,15 @@ def spectrogram_log(t):
     return signal.spectrogram(_windows(t), "hann").select("event_type", "window_start", "log_power")
 
 
-@query()
+@query(f"""WITH {_HOUR}, e AS (SELECT event_type, x, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM d),
+s AS (SELECT a.event_type, a.i AS window_start, b.i - a.i AS j, b.x - avg(b.x) OVER (PARTITION BY a.event_type, a.i) AS x FROM e a JOIN e b ON a.event_type = b.event_type AND b.i BETWEEN a.i AND a.i + 23 WHERE a.i % 12 = 0 AND a.i + 24 <= a.n),
+w AS (SELECT event_type, window_start, j, x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 24)) AS x, unnest([0, 5, 10]) AS f FROM s),
+p AS (SELECT event_type, window_start, f, sum(x * cos(2 * pi() * (f * j % 24) / 24)) ** 2 + sum(x * sin(2 * pi() * (f * j % 24) / 24)) ** 2 AS p FROM w GROUP BY 1, 2, 3)
+SELECT event_type, window_start, round(max(p) FILTER (WHERE f = 0), 6) + 0.0 AS f_0, round(max(p) FILTER (WHERE f = 5), 6) + 0.0 AS f_5, round(max(p) FILTER (WHERE f = 10), 6) + 0.0 AS f_10, CAST(window_start BETWEEN 100 AND 299 AS INTEGER) AS state FROM p GROUP BY 1, 2""")
 def stft_state_labels(t):
     p = signal.band_columns(signal.stft_power(_windows(t)), "power", 5, 10)
     state = F.when(F.col("window_start").between(100, 299), 1).otherwise(0)
-    return p.select("event_type", "window_start", "f_0", "f_5", "f_10", state.alias("state"))
+    return p.select("event_type", "window_start", *[(F.round(c, 6) + 0.0).alias(c) for c in ("f_0", "f_5", "f_10")], state.alias("state"))
 
 
 @query()
@@ -126,14 +147,31 @@ def stft_anomalies(t):
     return flagged.filter("is_outlier").select("event_type", (F.col("window_start") + 12).alias("centre"), "score")
 
 
-@query()
+def _weibull_sql(rounds: int = 15) -> str:
+    """Newton's steps for the shape, one after the other."""
+    steps = ["c0 AS (SELECT event_type, 1.2::DOUBLE AS c FROM m)"]
+    for k in range(rounds):
+        sums = f"SELECT event_type, c, sum(exp(c * z)) AS a, sum(z * exp(c * z)) AS b, sum(z * z * exp(c * z)) AS d, avg(z) AS l FROM z JOIN c{k} USING (event_type) GROUP BY 1, 2"
+        steps.append(f"c{k + 1} AS MATERIALIZED (SELECT event_type, greatest(c - (b / a - 1 / c - l) / (d / a - (b / a) ** 2 + 1 / c ** 2), c / 4) AS c FROM ({sums}))")
+    return f"""v AS (SELECT event_type, value::DOUBLE AS x FROM events WHERE value > 0), m AS (SELECT event_type, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS std, max(x) AS top FROM v GROUP BY 1), z AS MATERIALIZED (SELECT event_type, ln(x / top) AS z FROM v JOIN m USING (event_type)),
+{", ".join(steps)}, w AS (SELECT event_type, any_value(n) AS n, any_value(mean) AS mean, any_value(std) AS std, any_value(c) AS shape, any_value(top) * avg(exp(c * z)) ** (1 / any_value(c)) AS scale FROM z JOIN m USING (event_type) JOIN c{rounds} USING (event_type) GROUP BY 1)"""
+
+
+_WEIBULL = "event_type, n, round(mean, 6) AS mean, round(std, 6) AS std, round(shape, 6) AS shape, round(scale, 6) AS scale"
+
+
+def _weibull(df):
+    return df.select("event_type", "n", *[F.round(c, 6).alias(c) for c in df.columns[2:]])
+
+
+@query(f"WITH {_weibull_sql()} SELECT {_WEIBULL} FROM w")
 def weibull_fit(t):
-    return signal.weibull_fit(t.events, "event_type", "value")
+    return _weibull(signal.weibull_fit(t.events, "event_type", "value"))
 
 
-@query()
+@query(f"WITH {_weibull_sql()} SELECT {_WEIBULL}, round(scale * (-ln(1 - 0.9995::DOUBLE ** (1.0::DOUBLE / n))) ** (1 / shape), 6) AS threshold FROM w")
 def weibull_threshold(t):
-    return signal.weibull_threshold(signal.weibull_fit(t.events, "event_type", "value"))
+    return _weibull(signal.weibull_threshold(signal.weibull_fit(t.events, "event_type", "value")))
 
 
 @query("""WITH m AS (SELECT n_nationkey AS k, [[n_nationkey + 1.0::DOUBLE, 2, 3], [1, n_regionkey + 2.0::DOUBLE, 1], [2, 1, 4]] AS m FROM nation)
@@ -204,7 +242,9 @@ def eps_components(t):
     return cluster.connected(links, p, "s_suppkey")
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT s_suppkey AS k, s_acctbal / 100 AS x, s_nationkey::DOUBLE AS y FROM supplier), e AS (SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON a.k <> b.k AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 16), c AS (SELECT a AS k FROM e GROUP BY 1 HAVING count(*) >= 4),
+r AS (SELECT k AS a, k AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a JOIN c ON e.b = c.k), m AS (SELECT a AS k, min(b) AS c FROM r GROUP BY 1), n AS (SELECT e.a AS k, min(m.c) AS c FROM e JOIN m ON e.b = m.k GROUP BY 1)
+SELECT p.k AS s_suppkey, coalesce(m.c, n.c) AS component FROM p LEFT JOIN m USING (k) LEFT JOIN n USING (k)""")
 def eps_components_core(t):
     p = t.supplier.select("s_suppkey", (F.col("s_acctbal") / 100).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
     return cluster.connected(relate.close_pairs(p, "s_suppkey", "x", "y", 4.0), p, "s_suppkey", least=5)
@@ -356,22 +396,47 @@ def linear_leaf_forest(t):
     return models.linear_leaf_forest(p, "k", ["l_quantity", "l_discount"], "l_extendedprice", 2)
 
 
-@query()
+_PLACED = f"""{_FILLED}, i AS MATERIALIZED (SELECT event_type, tick, v, row_number() OVER (PARTITION BY event_type ORDER BY tick) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM g)"""
+
+
+@query(f"""WITH RECURSIVE {_PLACED}, q AS MATERIALIZED (SELECT event_type, i AS x, v AS y, row_number() OVER s AS j, lag(i) OVER s AS x0, lag(v) OVER s AS y0, lead(i) OVER s AS x1, lead(v) OVER s AS y1 FROM i WHERE v IS NOT NULL WINDOW s AS (PARTITION BY event_type ORDER BY i)),
+t AS MATERIALIZED (SELECT event_type, j, x - x0 AS h0, x1 - x AS h1, 2.0::DOUBLE * (x1 - x0) AS d, 6 * ((y1 - y) / (x1 - x) - (y - y0) / (x - x0)) AS r FROM q WHERE x0 IS NOT NULL AND x1 IS NOT NULL),
+down AS (SELECT event_type, j, h1, d, r FROM t WHERE j = 2 UNION ALL SELECT t.event_type, t.j, t.h1, t.d - t.h0 / down.d * t.h0, t.r - t.h0 / down.d * down.r FROM down JOIN t ON t.event_type = down.event_type AND t.j = down.j + 1),
+s AS MATERIALIZED (SELECT *, max(j) OVER (PARTITION BY event_type) AS last FROM down), up AS (SELECT event_type, j, r / d AS m FROM s WHERE j = last UNION ALL SELECT s.event_type, s.j, (s.r - s.h1 * up.m) / s.d FROM up JOIN s ON s.event_type = up.event_type AND s.j = up.j - 1),
+o AS (SELECT q.event_type, x, y, x1, y1, coalesce(a.m, 0) AS m, coalesce(b.m, 0) AS m1 FROM q LEFT JOIN up a ON a.event_type = q.event_type AND a.j = q.j LEFT JOIN up b ON b.event_type = q.event_type AND b.j = q.j + 1), e AS (SELECT event_type, arg_min(y, x) AS first FROM q GROUP BY 1)
+SELECT i.event_type, i.tick, round(CASE WHEN o.x IS NULL THEN e.first WHEN o.x1 IS NULL THEN o.y ELSE (o.m * (o.x1 - i.i) ** 3 + o.m1 * (i.i - o.x) ** 3) / (6.0::DOUBLE * (o.x1 - o.x)) + (o.y / (o.x1 - o.x) - o.m * (o.x1 - o.x) / 6.0::DOUBLE) * (o.x1 - i.i) + (o.y1 / (o.x1 - o.x) - o.m1 * (o.x1 - o.x) / 6.0::DOUBLE) * (i.i - o.x) END, 6) AS filled
+FROM i JOIN e USING (event_type) ASOF LEFT JOIN o ON i.event_type = o.event_type AND i.i >= o.x""")
 def spline_fill(t):
     g = series.fill_gaps(hourly(t), "event_type", "tick", "v", 3600)
-    return series.spline_fill(g, "event_type", "tick", "v").select("event_type", "tick", "filled")
+    return series.spline_fill(g, "event_type", "tick", "v").select("event_type", "tick", F.round("filled", 6).alias("filled"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PLACED}, q AS (SELECT event_type, i, v, v - lag(v) OVER (PARTITION BY event_type ORDER BY i) AS step FROM i WHERE v IS NOT NULL), z AS MATERIALIZED (SELECT event_type, arg_min(v, i) AS first, greatest(CASE WHEN count(*) > 2 THEN var_pop(step) ELSE 1.0::DOUBLE END, 1e-12) / 2.5::DOUBLE AS r FROM q GROUP BY 1),
+a AS MATERIALIZED (SELECT i.*, first, r, 0.5::DOUBLE * r AS q FROM i JOIN z USING (event_type)),
+down AS (SELECT event_type, 0::BIGINT AS i, first AS m, 2.5e6::DOUBLE * r AS p, q, r FROM a WHERE i = 1 UNION ALL SELECT a.event_type, a.i, CASE WHEN a.v IS NULL THEN down.m ELSE down.m + (down.p + a.q) / (down.p + a.q + a.r) * (a.v - down.m) END, CASE WHEN a.v IS NULL THEN down.p + a.q ELSE (1 - (down.p + a.q) / (down.p + a.q + a.r)) * (down.p + a.q) END, a.q, a.r FROM down JOIN a ON a.event_type = down.event_type AND a.i = down.i + 1),
+s AS MATERIALIZED (SELECT *, max(i) OVER (PARTITION BY event_type) AS last FROM down WHERE i > 0), up AS (SELECT event_type, i, m FROM s WHERE i = last UNION ALL SELECT s.event_type, s.i, s.m + s.p / (s.p + s.q) * (up.m - s.m) FROM up JOIN s ON s.event_type = up.event_type AND s.i = up.i - 1)
+SELECT event_type, tick, round(coalesce(v, m), 6) AS filled FROM i JOIN up USING (event_type, i)""")
 def level_fill(t):
     g = series.fill_gaps(hourly(t), "event_type", "tick", "v", 3600)
-    return series.level_fill(g, "event_type", "tick", "v").select("event_type", "tick", "filled")
+    return series.level_fill(g, "event_type", "tick", "v").select("event_type", "tick", F.round("filled", 6).alias("filled"))
 
 
-@query()
+def _between_sql(rows: str, value: str, tag: str) -> str:
+    """The rows with ``filled{tag}``: the value, or linear by place between the known ones beside it."""
+    place, ahead = "PARTITION BY event_type ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", "PARTITION BY event_type ORDER BY tick ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+    known = f"SELECT event_type, tick, {value} AS v, row_number() OVER (PARTITION BY event_type ORDER BY tick) AS i FROM {rows}"
+    beside = f"SELECT *, last_value(v IGNORE NULLS) OVER b AS pv, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS pi, first_value(v IGNORE NULLS) OVER a AS nv, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER a AS ni FROM ({known}) WINDOW b AS ({place}), a AS ({ahead})"
+    return f"SELECT event_type, tick, {_BETWEEN} AS filled{tag} FROM ({beside})"
+
+
+_RAW = """h AS (SELECT event_type, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS tick, avg(value) AS v FROM events GROUP BY 1, 2), l AS (SELECT *, lead(tick) OVER (PARTITION BY event_type ORDER BY tick) AS nx FROM h),
+f AS (SELECT event_type, unnest(generate_series(tick, CASE WHEN nx - tick > 3601 THEN nx - 1 ELSE tick END, 3600)) AS tick, tick AS a, CASE WHEN abs(v) <= 80 THEN v END AS v FROM l), g AS (SELECT event_type, tick, CASE WHEN tick = a THEN v END AS v FROM f)"""
+
+
+@query(f"WITH {_RAW}, x AS ({_between_sql('g', 'v', '_1')}), y AS ({_between_sql('x', 'CASE WHEN NOT filled_1 > 60 THEN filled_1 END', '')}) SELECT event_type, tick, round(filled, 6) AS filled FROM y")
 def prepared_series(t):
     h = t.events.groupBy("event_type", F.unix_timestamp(F.date_trunc("hour", "ts").cast("timestamp")).alias("tick")).agg(F.avg("value").alias("v"))
-    return series.prepare(h, "event_type", "tick", "v", 3600, 80.0, "linear", lambda c: c > 60).select("event_type", "tick", "filled")
+    return series.prepare(h, "event_type", "tick", "v", 3600, 80.0, "linear", lambda c: c > 60).select("event_type", "tick", F.round("filled", 6).alias("filled"))
 
 
 @query()

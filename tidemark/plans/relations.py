@@ -136,10 +136,13 @@ def gap_fill(t):
     return series.fill_gaps(hourly(t), "event_type", "tick", "v", 3600)
 
 
-@query(f"""WITH {_FILLED}, i AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY tick) AS i FROM g),
+_KNOWN = f"""{_FILLED}, i AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY tick) AS i FROM g),
 k AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS pv, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS pi, first_value(v IGNORE NULLS) OVER a AS nv, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER a AS ni FROM i
-WINDOW b AS (PARTITION BY event_type ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY event_type ORDER BY tick ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT event_type, tick, round(coalesce(v, pv + (nv - pv) * (i - pi) / nullif(ni - pi, 0), pv, nv), 6) AS filled FROM k""")
+WINDOW b AS (PARTITION BY event_type ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY event_type ORDER BY tick ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+_BETWEEN = "coalesce(v, pv + (nv - pv) * (i - pi) / nullif(ni - pi, 0), pv, nv)"
+
+
+@query(f"WITH {_KNOWN} SELECT event_type, tick, round({_BETWEEN}, 6) AS filled FROM k")
 def hourly_rate_filled(t):
     g = series.fill_gaps(hourly(t), "event_type", "tick", "v", 3600)
     return series.interpolate(g, "event_type", "tick", "v").select("event_type", "tick", F.round("filled", 6).alias("filled"))
