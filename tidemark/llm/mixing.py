@@ -33,6 +33,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def uniform(*parts: Column) -> Column:
+    """A number between 0 and 1 (52 bits, neither of them) that depends on the parts only; a null counts as empty."""
+    text = F.concat_ws(" ", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """source, source_size, target. Sources in code-point order (null last) weigh 1, 2, 3, repeating.
 
@@ -92,8 +98,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *,
     raw = docs.toDF(*at.values())
     raw = raw.withColumn("size", F.col(at[size_col]) if size_col else word_count(F.col(at[text_col])))
     keyed = raw.withColumns({
-        "class": F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")))).otherwise(-1).cast("int"),
-        "u": (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(at[id_col]), F.col("size")), 11) + 0.5) / float(1 << 53),
+        "class": F.when(F.col("size") > 0, F.length(F.bin("size")) - 1).otherwise(-1).cast("int"),
+        "u": uniform(F.lit(seed), F.col(at[id_col]), F.col("size")),
     })
     slim = staged(keyed.select(F.col(at[source_col]).alias("source"), "size", "class", "u"), "mix-sizes")
     table = staged(rates(slim), "mix-rates")

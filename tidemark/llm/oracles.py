@@ -116,10 +116,65 @@ WITH t AS (
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND covered_fraction <= 0.18 AND longest_repeat <= 100 AS kept FROM o
 """
 
+def _fills(rounds: int) -> str:
+    """The words left over, offered to the documents near the cut time after time."""
+    steps = []
+    for k in range(rounds):
+        fits = "extra = 0 AND size <= room"
+        offered = f"SELECT *, sum(CASE WHEN {fits} THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank, size, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM n{k}"
+        taken = f"SELECT * EXCLUDE (run, extra), CASE WHEN {fits} AND run <= room THEN 1 ELSE extra END AS extra FROM ({offered})"
+        steps.append(f"n{k + 1} AS (SELECT * EXCLUDE (room), all_room - sum(extra * size) OVER (PARTITION BY source) AS room FROM ({taken}))")
+    return ", ".join(steps)
+
+
+# Sources fill up in the order of their levels, length classes of a source in the order of their lengths.
+_MIXING = rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), z AS (
+  SELECT *, CASE WHEN size > 0 THEN length(bin(size)) - 1 ELSE -1 END AS class, (('0x' || substr(md5('17 ' || coalesce(doc_id::VARCHAR, '') || ' ' || size), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM d
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS n, [1, 2, 3][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS w FROM z GROUP BY 1
+), f AS (
+  SELECT *, CAST(sum(n) OVER () AS BIGINT) AS total, coalesce(3 * sum(n) OVER (ORDER BY 3 * n / w::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+    sum(w) OVER (ORDER BY 3 * n / w::DOUBLE, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above FROM s
+), o AS (
+  SELECT *, below + 3 * n / w::DOUBLE * above <= total AS whole FROM f
+), t AS (
+  SELECT source, n, CASE WHEN whole THEN (3 * n)::DOUBLE ELSE CAST((total - coalesce(sum(3 * n) FILTER (WHERE whole) OVER (), 0)) * w AS DOUBLE) / CAST(sum(w) FILTER (WHERE NOT whole) OVER () AS DOUBLE) END AS target FROM o
+), k AS (
+  SELECT source, class, sum(size)::DOUBLE AS words, count(*) AS docs, 2.0::DOUBLE ** (-0.125::DOUBLE * class) AS damp FROM z WHERE size > 0 GROUP BY 1, 2
+), l AS (
+  SELECT k.*, target, 3 * coalesce(sum(words) OVER (PARTITION BY k.source ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 3 / damp * sum(damp * words) OVER (PARTITION BY k.source ORDER BY class ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= target * (1 + 1e-12) AS whole
+  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT *, CASE WHEN whole THEN 3.0::DOUBLE ELSE least(3.0::DOUBLE, (target - coalesce(sum(3 * words) FILTER (WHERE whole) OVER (PARTITION BY source), 0)) * damp / sum(damp * words) FILTER (WHERE NOT whole) OVER (PARTITION BY source)) END AS copies FROM l
+), r AS (
+  SELECT source, class, floor(copies + 1e-9) AS sure, CASE WHEN copies - floor(copies + 1e-9) > 1e-9 THEN least(copies - floor(copies + 1e-9), 1 - 1e-9::DOUBLE) ELSE 0 END AS p,
+    target - sum(floor(copies + 1e-9) * words) OVER (PARTITION BY source) AS all_room, greatest(1, least(65536, floor(sum(docs) OVER (PARTITION BY source) / 256))) AS bins FROM c
+), q AS (
+  SELECT z.*, sure, all_room, bins, CASE WHEN p > 0 THEN u / (1 - u) * (1 - p) / p END AS odds FROM z LEFT JOIN r ON z.source IS NOT DISTINCT FROM r.source AND z.class = r.class
+), b AS (
+  SELECT *, odds / (1 + odds) AS rank, CASE WHEN odds IS NOT NULL THEN least(floor(odds / (1 + odds) * bins), bins - 1) END AS bin FROM q
+), h AS (
+  SELECT source, bin, all_room, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY source ORDER BY bin) AS upto FROM b WHERE odds IS NOT NULL GROUP BY 1, 2, 3
+), cut AS (
+  SELECT source, min(bin) AS bin, min(upto - words) AS spent FROM h WHERE upto > all_room GROUP BY 1
+), a AS (
+  SELECT b.* EXCLUDE (all_room), cut.bin AS cut_bin, all_room - coalesce(spent, 0) AS all_room, all_room - coalesce(spent, 0) AS room, CASE WHEN odds IS NOT NULL AND (cut.bin IS NULL OR b.bin < cut.bin) THEN 1 ELSE 0 END AS extra FROM b LEFT JOIN cut ON b.source IS NOT DISTINCT FROM cut.source
+), n0 AS (
+  SELECT * FROM a WHERE bin = cut_bin
+), {_fills(4)}, y AS (
+  SELECT doc_id, source, size, sure, extra FROM n4 UNION ALL SELECT doc_id, source, size, sure, extra FROM a WHERE bin IS DISTINCT FROM cut_bin OR bin IS NULL
+)
+SELECT doc_id, size, n AS source_size, target, CAST(CASE WHEN size > 0 THEN (coalesce(sure, 0) + extra) * size ELSE 0 END AS BIGINT) AS taken FROM y JOIN t ON y.source IS NOT DISTINCT FROM t.source
+"""
+
 SQL: dict[str, str] = {
     "op4_chat_format": _CHAT,
     "op6_jaccard_join": _JACCARD,
     "op7_near_vectors": _VECTORS,
     "op8_quality_rules": _QUALITY,
     "op9_secret_scan": _SECRETS,
+    "op10_mixing": _MIXING,
 }
