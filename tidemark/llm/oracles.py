@@ -170,7 +170,43 @@ WITH d AS (
 SELECT doc_id, size, n AS source_size, target, CAST(CASE WHEN size > 0 THEN (coalesce(sure, 0) + extra) * size ELSE 0 END AS BIGINT) AS taken FROM y JOIN t ON y.source IS NOT DISTINCT FROM t.source
 """
 
+#: Kinds of personal data in order, and the candidates: runs of identifier characters with a digit.
+_PII_RULES = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    ("id", r"[A-Za-z@._%+/-]*[0-9][A-Za-z0-9@._%+/-]*"),
+)
+_LUHN = "list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN digits[-i]::BIGINT WHEN digits[-i]::BIGINT > 4 THEN 2 * digits[-i]::BIGINT - 9 ELSE 2 * digits[-i]::BIGINT END)) % 10 = 0"
+_PII_PLACES = " UNION ALL ".join(f"SELECT r, {k} AS k, '{kind}' AS kind, regexp_extract_all(text, '{rx}') AS m, string_split_regex(text, '{rx}') AS p FROM t" for k, (kind, rx) in enumerate(_PII_RULES))
+
+# The words beside a match are those since the last match of its expression and up to the next one.
+_PII = rf"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), a AS ({_PII_PLACES}),
+x AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM a WHERE len(m) > 0),
+y AS (SELECT r, k, kind, m[i] AS inst, regexp_replace(m[i], '[^0-9]', '', 'g') AS digits, CAST(list_sum(list_transform(p[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda v: length(v))), 0) AS BIGINT) AS s,
+  list_transform(regexp_extract_all(p[i], '\p{{L}}+'), lambda v: lower(v)) AS before, lower(regexp_extract(p[i + 1], '\p{{L}}+')) AS after FROM x),
+z AS (SELECT *, s + length(inst) AS e, row_number() OVER () AS place FROM y WHERE CASE k WHEN 0 THEN TRUE WHEN 1 THEN list_max(list_transform(string_split(inst, '.'), lambda v: v::HUGEINT)) <= 255 WHEN 2 THEN CASE WHEN length(digits) BETWEEN 16 AND 19 THEN {_LUHN} ELSE FALSE END WHEN 3 THEN length(digits) BETWEEN 8 AND 15 ELSE length(inst) >= 6 END),
+m AS MATERIALIZED (SELECT * FROM z WHERE k < 4 UNION ALL SELECT * FROM z WHERE k = 4 AND place NOT IN (SELECT c.place FROM z c JOIN z b ON b.r = c.r AND b.k < 4 AND c.k = 4 AND b.s < c.e AND b.e > c.s)),
+w AS (SELECT inst, k < 4 AS seed, 1 AS tag, before[-2] AS u, before[-1] AS v FROM m UNION ALL SELECT inst, k < 4, 2, before[-1], nullif(after, '') FROM m),
+g AS MATERIALIZED (SELECT tag, u, v, inst, bool_or(seed) AS seed FROM w WHERE u IS NOT NULL AND v IS NOT NULL GROUP BY ALL),
+known(inst, seed) USING KEY (inst) AS (
+  SELECT DISTINCT inst, TRUE FROM g WHERE seed
+  UNION
+  (WITH j AS (SELECT g.*, n.inst IS NOT NULL AS sure FROM g LEFT JOIN recurring.known n ON g.inst = n.inst),
+  c AS (SELECT tag, u, v, count(*) FILTER (WHERE sure) / (count(*) FILTER (WHERE sure) + 0.1::DOUBLE * count(*) FILTER (WHERE NOT sure) + 1) AS conf FROM j GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE sure) >= 3)
+  SELECT inst, FALSE FROM j JOIN c USING (tag, u, v) WHERE NOT sure GROUP BY 1 HAVING 1 - exp(sum(ln(1 - conf))) >= 0.6::DOUBLE - 1e-9)
+),
+f AS (SELECT r, k, s, e, kind FROM m WHERE k < 4 UNION ALL SELECT DISTINCT r, k, s, e, kind FROM m WHERE k = 4 AND inst IN (SELECT inst FROM known WHERE NOT seed)),
+o AS (SELECT r, k, s, e, kind || ':' || s || ':' || e AS span FROM f)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (WHERE k = 0) AS n_email, count(*) FILTER (WHERE k = 1) AS n_ip, count(*) FILTER (WHERE k = 2) AS n_card, count(*) FILTER (WHERE k = 3) AS n_phone,
+  sha256(coalesce(string_agg(span, ',' ORDER BY k, s) FILTER (WHERE k < 4), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY k, s, e), '') AS spans, count(*) FILTER (WHERE k = 4) AS n_id
+FROM t LEFT JOIN o USING (r) GROUP BY t.r
+"""
+
 SQL: dict[str, str] = {
+    "op1_pii": _PII,
     "op4_chat_format": _CHAT,
     "op6_jaccard_join": _JACCARD,
     "op7_near_vectors": _VECTORS,
