@@ -81,7 +81,7 @@ def smote(df: DataFrame, key: str, columns: list[str], minority, per_row: int =
     pairs = ids.join(m.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
     near = pairs.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("rank", "b", "y"))).alias("near")).join(m, "a")
     drawn = near.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(per_row))))
-    u = lambda s: F.pmod(F.xxhash64(F.lit(seed + s), "a", "i"), F.lit(1_000_003)) / 1_000_003.0
+    u = lambda s: F.conv(F.substring(F.md5(F.concat_ws(" ", F.lit(seed + s), "a", "i")), 1, 8), 16, 10).cast("double") / float(1 << 32)
     one = F.element_at("near", (F.floor(u(1) * F.size("near")) + 1).cast("int"))
     new = drawn.withColumn("z", F.zip_with("x", one["y"], lambda p, q: p + (q - p) * u(2)))
     return new.select(F.col("a").alias("origin"), "i", *[F.col("z")[j].alias(c) for j, c in enumerate(columns)])

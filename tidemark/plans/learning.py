@@ -252,9 +252,16 @@ def stratified_folds(t):
     return splits.folds(t.orders, "o_orderkey", "o_orderstatus", 5).groupBy("o_orderstatus", "fold").agg(F.count("*").alias("n"))
 
 
-@query()
+def _draw(n: int) -> str:
+    return f"(('0x' || substr(md5('{n} ' || a || ' ' || i), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE)"
+
+
+@query(f"""WITH m AS (SELECT s_suppkey AS a, s_acctbal::DOUBLE AS x, s_nationkey::DOUBLE AS y FROM supplier WHERE s_nationkey < 5), n AS (SELECT p.a, q.x, q.y, row_number() OVER (PARTITION BY p.a ORDER BY sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), q.a) AS k FROM m p JOIN m q ON p.a <> q.a),
+c AS (SELECT a, list({{'x': x, 'y': y}} ORDER BY k) FILTER (WHERE k <= 5) AS near FROM n GROUP BY 1), d AS (SELECT m.*, near, unnest([1, 2]) AS i FROM m JOIN c USING (a)), o AS (SELECT *, near[CAST(floor({_draw(1)} * len(near)) AS BIGINT) + 1] AS z, {_draw(2)} AS u FROM d)
+SELECT a AS origin, CAST(i AS INTEGER) AS i, round(x + (z.x - x) * u, 6) AS s_acctbal, round(y + (z.y - y) * u, 6) AS nation FROM o""")
 def smote(t):
-    return splits.smote(t.supplier.select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("nation")), "s_suppkey", ["s_acctbal", "nation"], F.col("s_nationkey") < 5, 2)
+    s = splits.smote(t.supplier.select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("nation")), "s_suppkey", ["s_acctbal", "nation"], F.col("s_nationkey") < 5, 2)
+    return s.select("origin", "i", F.round("s_acctbal", 6).alias("s_acctbal"), F.round("nation", 6).alias("nation"))
 
 
 @query("""SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem""")

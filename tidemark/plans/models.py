@@ -272,7 +272,9 @@ def pca_top_loadings(t):
     return cluster.top_loadings(cluster.pca(t.embeddings.select("vec_id", "embedding"), "embedding", 2)[2])
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT c_nationkey, avg(c_acctbal) AS x, count(*)::DOUBLE AS y, row_number() OVER (ORDER BY c_nationkey) AS i FROM customer GROUP BY 1), d AS (SELECT a.i AS i, b.i AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM n a, n b),
+r AS (SELECT i, i AS c, 0 AS round FROM n UNION ALL (WITH m AS (SELECT p.c AS c, q.c AS e, max(d) AS far FROM r p JOIN r q ON p.c < q.c JOIN d ON d.i = p.i AND d.j = q.i GROUP BY 1, 2), b AS (SELECT arg_min(c, (far, c, e)) AS c, arg_min(e, (far, c, e)) AS e FROM m HAVING count(*) > 3) SELECT r.i, CASE WHEN r.c = b.e THEN b.c ELSE r.c END, r.round + 1 FROM r, b)),
+l AS (SELECT i, c FROM r WHERE round = (SELECT max(round) FROM r)) SELECT n.c_nationkey, dense_rank() OVER (ORDER BY l.c) - 1 AS cluster FROM l JOIN n USING (i)""")
 def complete_linkage_small(t):
     n = t.customer.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("b"), F.count("*").cast("double").alias("n"))
     return cluster.linkage(n.select("c_nationkey", F.array("b", "n").alias("x")), "c_nationkey", "x", 3)
@@ -311,10 +313,25 @@ def distance_estimator(t):
     return e.fit(t.customer).transform(t.customer).select("c_custkey", F.round("distance", 6).alias("distance"), "is_outlier")
 
 
-@query()
+def _em_sql(rounds: int) -> str:
+    """The rounds one after the other: densities of each row under each component, their shares, new moments."""
+    steps = ["m0 AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE, 5.0::DOUBLE), (1, 5.0::DOUBLE, 12.0::DOUBLE), (2, 9.0::DOUBLE, 20.0::DOUBLE)) v(g, a, b), (SELECT 1 / 3.0::DOUBLE AS w, 1.0::DOUBLE AS p, 0.0::DOUBLE AS q, 1.0::DOUBLE AS r))"]
+    for k in range(rounds):
+        logs = f"SELECT i, x, y, g, ln(w) - 0.5::DOUBLE * (2 * ln(2 * pi()) + ln(p * r - q * q) + (r * (x - a) ** 2 - 2 * q * (x - a) * (y - b) + p * (y - b) ** 2) / (p * r - q * q)) AS l FROM x, m{k}"
+        tops = f"SELECT *, exp(l - max(l) OVER (PARTITION BY i)) AS e FROM ({logs})"
+        shares = f"SELECT *, e / sum(e) OVER (PARTITION BY i) AS s FROM ({tops})"
+        sums = f"SELECT g, sum(s) AS s, sum(s * x) / sum(s) AS a, sum(s * y) / sum(s) AS b, sum(s * x * x) / sum(s) AS xx, sum(s * x * y) / sum(s) AS xy, sum(s * y * y) / sum(s) AS yy FROM ({shares}) GROUP BY 1"
+        steps.append(f"m{k + 1} AS MATERIALIZED (SELECT g, a, b, s / (SELECT count(*) FROM x) AS w, xx - a * a + 1e-6 AS p, xy - a * b AS q, yy - b * b + 1e-6 AS r FROM ({sums}))")
+    return ", ".join(steps)
+
+
+@query(f"""WITH x AS (SELECT c_custkey AS i, c_acctbal / 1000 AS x, c_nationkey::DOUBLE AS y FROM customer), {_em_sql(10)}
+SELECT CAST(g AS INTEGER) AS component, round(w, 5) AS weight, round(a, 5) AS mean_0, round(b, 5) AS mean_1, round(p, 5) AS covariance_00, round(q, 5) + 0.0 AS covariance_01, round(r, 5) AS covariance_11 FROM m10""")
 def em_mixture(t):
     e = t.customer.select(F.array(F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double")).alias("x"))
-    return cluster.em_mixture(e, "x", [[0.0, 5.0], [5.0, 12.0], [9.0, 20.0]], 10)[0]
+    m = cluster.em_mixture(e, "x", [[0.0, 5.0], [5.0, 12.0], [9.0, 20.0]], 10)[0]
+    moments = [("mean_0", F.col("mean")[0]), ("mean_1", F.col("mean")[1])] + [(f"covariance_{i}{j}", F.col("covariance")[i][j]) for i, j in ((0, 0), (0, 1), (1, 1))]
+    return m.select("component", F.round("weight", 5).alias("weight"), *[(F.round(c, 5) + 0.0).alias(name) for name, c in moments])
 
 
 @query()
