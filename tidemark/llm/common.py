@@ -59,6 +59,13 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to.rstrip("/")
 
 
+def delete_at_end(spark: SparkSession, path: str) -> str:
+    """Have a folder deleted when the session's file system closes."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as Parquet, read it back.
 
@@ -69,9 +76,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    delete_at_end(spark, path)
     return spark.read.schema(schema).parquet(path)
 
 

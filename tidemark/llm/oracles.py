@@ -243,6 +243,76 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, las
 FROM t LEFT JOIN fs USING (r) LEFT JOIN os USING (r) LEFT JOIN ts USING (r)
 """
 
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    eight = "list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: xor(c >> 1, 3988292384 * (c & 1)))"
+    chars = f"list_transform(string_split({text}, ''), lambda v: ascii(v)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {chars}), lambda a, b: {eight.replace('[x,', '[xor(a, b),')}), 4294967295)"
+
+
+_TRIE = rf"""
+WITH c AS (
+  SELECT conv_id, list(struct_pack(r := r, x := x) ORDER BY turn NULLS FIRST, r, md5(strlen(r) || ':' || r || x)) AS t
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations) GROUP BY 1
+), h AS (
+  SELECT *, {_crc32("conv_id::VARCHAR")} % 4 AS h FROM c
+), r AS (
+  SELECT h.conv_id, list_concat(coalesce(b.t[1:h.h], []), h.t[h.h + 1:]) AS t FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 20
+), n AS (
+  SELECT t[1:d] AS p, d, min(conv_id) AS conv_id, count(*) AS n, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(t) = d), '') AS ends
+  FROM (SELECT conv_id, t, unnest(range(len(t) + 1)) AS d FROM r) GROUP BY 1, 2
+), k AS (
+  SELECT p[1:d - 1] AS p, count(*) AS kids FROM n WHERE d > 0 GROUP BY 1
+), m AS (
+  SELECT n.*, coalesce(kids, 0) AS kids, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * len(regexp_extract_all(n.p[d].x, '[^\x20\x09-\x0D]+')) END AS saved FROM n LEFT JOIN k ON k.p = n.p
+), s AS (
+  SELECT p[1:e] AS p, count(*) FILTER (kids = 0) AS leaves, CAST(sum(saved) AS BIGINT) AS saved FROM (SELECT *, unnest(range(d + 1)) AS e FROM m) GROUP BY 1
+)
+SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n AS n_convs, m.kids AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s ON s.p = m.p LEFT JOIN n u ON m.d > 0 AND u.p = m.p[1:m.d - 1]
+"""
+
+_FIELDS = ("doc_id", "source", "lang", "n_chars")
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in [*(f"{c}::VARCHAR" for c in _FIELDS), text]) + ")"
+
+
+# d has the tree of every source (g its place), u that of the sources (g 0); x has the nodes on the way of each leaf.
+_MERKLE = f"""
+WITH RECURSIVE g AS (
+  SELECT s, row_number() OVER (ORDER BY s NULLS FIRST) AS g FROM (SELECT DISTINCT source AS s FROM documents)
+), l AS (
+  SELECT row_number() OVER () AS r, doc_id, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf, changed
+  FROM (SELECT doc_id, g, {_leaf("text")} AS leaf, CASE WHEN {_crc32("doc_id::VARCHAR")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} END AS changed FROM documents d JOIN g ON s IS NOT DISTINCT FROM d.source)
+), d AS (
+  SELECT 0 AS v, g, i, leaf AS h FROM l
+  UNION ALL SELECT v + 1, g, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM d) WHERE c > 1 GROUP BY v, g, i // 3
+), t AS (
+  SELECT g, max(v) AS v, arg_max(h, v) AS h FROM d GROUP BY 1
+), u AS (
+  SELECT 0 AS v, 0 AS g, g - 1 AS i, h FROM t
+  UNION ALL SELECT v + 1, g, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM u) WHERE c > 1 GROUP BY v, g, i // 3
+), o AS (
+  SELECT max(v) AS v, arg_max(h, v) AS h FROM u
+), x AS (
+  SELECT r, v, g, i // CAST(3 ** v AS BIGINT) AS i, v AS step FROM (SELECT r, g, i, unnest(range(t.v)) AS v FROM l JOIN t USING (g))
+  UNION ALL SELECT r, v, 0, (g - 1) // CAST(3 ** v AS BIGINT), 1000 + v FROM (SELECT r, g, unnest(range(o.v)) AS v FROM l, o)
+), n AS (
+  SELECT v, g, i, h FROM d UNION ALL SELECT v, g, i, h FROM u
+), p AS (
+  SELECT r, step, coalesce(string_agg(h, '' ORDER BY n.i) FILTER (n.i < x.i), '') AS b, coalesce(string_agg(h, '' ORDER BY n.i) FILTER (n.i > x.i), '') AS a
+  FROM x JOIN n ON n.v = x.v AND n.g = x.g AND n.i // 3 = x.i // 3 GROUP BY r, step
+), q AS (
+  SELECT r, list(b || '|' || a ORDER BY step) AS way, string_agg(b || a, '' ORDER BY step) AS sides FROM p GROUP BY 1
+), f AS (
+  SELECT l.*, coalesce(sides, '') AS sides, list_reduce(list_prepend(coalesce(changed, leaf), coalesce(way, [])), lambda d, s: sha256(split_part(s, '|', 1) || d || split_part(s, '|', 2))) AS folded FROM l LEFT JOIN q USING (r)
+)
+SELECT doc_id, leaf, t.h AS subroot, o.h AS root, sha256(sides) AS proof_sha256, folded AS folded_root, folded = o.h AS verified FROM f JOIN t USING (g), o
+"""
+
+
 SQL: dict[str, str] = {
     "op1_pii": _PII,
     "op3_license_scan": _LICENSES,
@@ -252,4 +322,6 @@ SQL: dict[str, str] = {
     "op8_quality_rules": _QUALITY,
     "op9_secret_scan": _SECRETS,
     "op10_mixing": _MIXING,
+    "op11_prefix_trie": _TRIE,
+    "op13_merkle_manifest": _MERKLE,
 }

@@ -38,6 +38,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def vocabulary_size(path: str) -> int:
+    """Ids that a tokenizer can give."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+
+
 def encoder(path: str):
     """Text -> uint32 ids. The rank file beside a .json tokenizer holds the same vocabulary and gives the same ids faster.
 

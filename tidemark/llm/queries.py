@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embeddings, html, jaccard, licenses, mixing, packing, pii, quality, secrets
+from . import chat, embeddings, html, jaccard, licenses, merkle, mixing, packing, pii, quality, secrets, tokens, trie
 from .common import pick, read_table
 
 
@@ -51,6 +51,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie_report(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_digest(pick(read_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
@@ -62,4 +74,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_token_files": op12_token_files,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
