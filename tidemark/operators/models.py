@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .trees import forest
 
 
 def linear_fit(df: DataFrame, features: str, label: str, robust: bool = False) -> DataFrame:
@@ -108,39 +109,9 @@ def tree_grid(df: DataFrame, features: str, label: str, fold: str, k: int, depth
 
 def extra_trees(df: DataFrame, key: str, features: list[str], label: str, trees: int = 10, depth: int = 8, least: int = 1, seed: int = 1) -> DataFrame:
     """key, label, prediction by extremely randomised trees: all rows in each tree, and one random threshold a node and
-    feature, of which the one with the best Gini gain is used. Soft vote; ties go to the lower label.
-
-    All trees grow together, a level at a time: the nodes' ends give thresholds (hashes of seed, tree, node and feature,
-    so reruns agree), counts by side and label give gains. Rows travel once a level; tables of nodes have
-    trees * 2 ** depth rows at most, and thousands of them are still broadcast.
-    """
-    if trees * 2**depth > 1 << 20:
-        raise ValueError("trees * 2 ** depth may be 2 ** 20 at most")
-    x = F.array(*[F.col(c).cast("double") for c in features])
-    rows = df.select(F.col(key).alias("k"), F.col(label).alias("y"), x.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    rows = cut(rows.withColumns({"node": F.lit(1).cast("long"), "open": F.lit(True)}))
-    for _ in range(depth):
-        each = rows.filter("open").select("tree", "node", "y", F.posexplode("x").alias("f", "v"))
-        ends = each.groupBy("tree", "node", "f").agg(F.min("v").alias("a"), F.max("v").alias("b")).filter("a < b")
-        u = (F.pmod(F.xxhash64(F.lit(seed), "tree", "node", "f"), F.lit(1_000_003)) + 0.5) / 1_000_003.0
-        points = cut(ends.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("f").alias("g"), (F.col("a") + (F.col("b") - F.col("a")) * u).alias("cut")))
-        side = each.join(F.broadcast(points), (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")) & (F.col("f") == F.col("g")))
-        sides = side.groupBy("tree", "node", "f", "cut", "y").agg(F.count_if(F.col("v") <= F.col("cut")).alias("l"), F.count_if(F.col("v") > F.col("cut")).alias("r"))
-        square = lambda c: F.sum(F.col(c).cast("double") * F.col(c))
-        gain = sides.groupBy("tree", "node", "f", "cut").agg(F.sum("l").alias("nl"), F.sum("r").alias("nr"), square("l").alias("sl"), square("r").alias("sr"), F.sum((F.col("l") + F.col("r")).cast("double") * (F.col("l") + F.col("r"))).alias("st"))
-        gain = gain.filter((F.col("nl") >= least) & (F.col("nr") >= least)).withColumn("gain", F.round((F.col("sl") / F.col("nl") + F.col("sr") / F.col("nr") - F.col("st") / (F.col("nl") + F.col("nr"))) / (F.col("nl") + F.col("nr")), 12))
-        best = gain.filter("gain > 0").groupBy(F.col("tree").alias("t"), F.col("node").alias("n")).agg(F.max_by(F.struct("f", "cut"), F.struct("gain", -F.col("f"))).alias("best"))
-        best = cut(best.select("t", "n", "best.*"))
-        if not best.count():
-            break
-        moved = rows.join(F.broadcast(best), F.col("open") & (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")), "left")
-        to = F.when(F.col("t").isNull(), F.col("node")).otherwise(2 * F.col("node") + F.when(F.get("x", F.col("f")) <= F.col("cut"), 0).otherwise(1))
-        rows = cut(moved.select("k", "y", "x", "tree", to.alias("node"), F.col("t").isNotNull().alias("open")))
-    leaf = rows.groupBy(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("y").alias("class")).agg(F.count("*").alias("c"))
-    share = leaf.join(leaf.groupBy("t", "n").agg(F.sum("c").alias("all")), ["t", "n"]).groupBy("t", "n").agg(F.collect_list(F.struct("class", (F.col("c") / F.col("all")).alias("p"))).alias("vote"))
-    votes = rows.join(F.broadcast(share), (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).select("k", "y", F.inline("vote"))
-    votes = votes.groupBy("k", "y", "class").agg(F.sum("p").alias("p"))
-    return votes.groupBy("k", "y").agg(F.max_by("class", F.struct(F.round("p", 9), -F.col("class"))).alias("prediction")).select(F.col("k").alias(key), F.col("y").alias(label), "prediction")
+    feature, of which the one with the best Gini gain is used. Soft vote; ties go to the lower label. See trees.forest()."""
+    grown = forest(df, key, features, label, trees, depth, least=least, bagged=False, random=True, soft=True, seed=seed)
+    return grown.votes(df, key, label, soft=True).drop("out_of_bag")
 
 
 def importances(df: DataFrame, features: str, label: str, names: list[str], n: int = 10, seed: int = 1) -> DataFrame:
