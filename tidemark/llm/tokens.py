@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import delete_at_end, give_back, pick, shared_dir, small_batches, staged
-from .packing import default_tokenizer, tokenise, vocabulary_size
+from .common import delete_at_end, give_back, pick, shared_dir, small_batches, staged, text_steps
+from .packing import default_tokenizer, encoder, vocabulary_size
 
 #: The id that ends a document here.
 STOP = 2
-#: Bytes of ids a shard aims at, and bytes of ids that a reader hands on at a time.
+#: Bytes of text a shard aims at (its ids take less, as a rule), and bytes of ids that a reader hands on at a time.
 SHARD_BYTES = 256 << 20
 READ_BYTES = 8 << 20
 _NAMES = {"tokens": "tokens-{:06d}.{}", "offsets": "offsets-{:06d}.i64", "ids": "ids-{:06d}.arrow"}
@@ -62,13 +62,13 @@ class _Shard:
         self.kind, self.shard, self.n_docs, self.n_tokens = _dtype(kind), shard, 0, 0
         self.files["offsets"].write(np.array([0], "<i8").tobytes())
 
-    def add(self, doc_ids: pa.Array, ids: list[np.ndarray]) -> None:
-        for x in ids:
-            self.files["tokens"].write(x.astype(self.kind).tobytes())
-        ends = self.n_tokens + np.cumsum([len(x) for x in ids], dtype=np.int64)
+    def add(self, doc_ids: pa.Array, pieces: list[np.ndarray]) -> None:
+        """Documents, each of two pieces: its own ids and the one that ends it."""
+        self.files["tokens"].write(np.concatenate(pieces).astype(self.kind).tobytes())
+        ends = self.n_tokens + np.cumsum([len(x) for x in pieces], dtype=np.int64)[1::2]
         self.files["offsets"].write(ends.astype("<i8").tobytes())
         self.ids.write_batch(pa.RecordBatch.from_arrays([doc_ids], schema=self.schema))
-        self.n_docs, self.n_tokens = self.n_docs + len(ids), int(ends[-1])
+        self.n_docs, self.n_tokens = self.n_docs + len(ends), int(ends[-1])
 
     def close(self) -> None:
         self.ids.close()
@@ -86,29 +86,29 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     """Write the documents' ids, each document ended by ``stop``; returns the manifest.
 
     ``folder`` is one that all machines share. Null and empty texts are documents of one id. Documents ascend by id, null
-    first; those of equal ids by a hash of their tokens. Equal rows are documents of their own. A document never
+    first; those of equal ids by a hash of their texts. Equal rows are documents of their own. A document never
     spans shards, so a long one makes a long shard; it's written as it comes. No rows: no shards.
     """
     path = tokenizer or default_tokenizer()
-    vocabulary = max(vocabulary_size(path), stop + 1)
-    kind = width(vocabulary)
-    ids = staged(tokenise(pick(docs, doc_id=id_col, text=text_col), path, stop).select("doc_id", "doc_tokens", F.xxhash64("ids").alias("tie"), "part", "part_start", "ids"), "token-ids")
-    size = (ids.agg(F.sum("doc_tokens")).first()[0] or 0) * np.dtype(_dtype(kind)).itemsize
+    kind = width(max(vocabulary_size(path), stop + 1))
+    flat = pick(docs, doc_id=id_col, text=text_col)
+    size = flat.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
-    # Rows of one id and text are told apart by their place, so that no group of them has to be one shard.
-    order = [F.col("doc_id").asc_nulls_first(), "tie", "part", "part_start"]
-    dealt = ids.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    # Rows of one id and text are told apart by their place, so that no group of them has to be one shard. Texts travel, as
+    # their ids take as much room; a shard's task encodes and writes them as they come.
+    order = [F.col("doc_id").asc_nulls_first(), "tie", "place"]
+    keyed = flat.withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    dealt = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     id_type = _arrow_type(docs, id_col)
     small_batches(docs.sparkSession)
 
     def run(batches):
-        shard = None
+        shard, encode, end = None, encoder(path), np.array([stop], np.uint32)
         try:
             for batch in batches:
-                if batch.num_rows and shard is None:
-                    shard = _Shard(folder, TaskContext.get().partitionId(), kind, id_type)
-                if batch.num_rows:
-                    shard.add(batch.column("doc_id").cast(id_type), [np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()])
+                for part, texts in text_steps(batch):
+                    shard = shard or _Shard(folder, TaskContext.get().partitionId(), kind, id_type)
+                    shard.add(part.column("doc_id").cast(id_type), [x for t in texts for x in (encode(t.decode("utf-8", "replace")), end)])
         except BaseException:
             if shard:
                 shard.drop()
@@ -116,7 +116,6 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         if shard:
             shard.close()
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard.shard, shard.n_docs, shard.n_tokens)], names=["shard", "n_docs", "n_tokens"])
-        give_back()
 
     shards = staged(dealt.mapInArrow(run, "shard long, n_docs long, n_tokens long"), "token-shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
