@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import events, growth, learning, models, registry, relations, tables  # noqa: F401
+from .plans import events, filling, growth, learning, models, registry, relations, tables  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLE_SQL = registry.SQL

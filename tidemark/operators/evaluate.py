@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relate import running_sums
+
 
 def _by_score(df: DataFrame, score: Column, positive: Column, by: list[str]) -> DataFrame:
-    """One row a distinct score, with counts and running counts from the highest score down, within ``by``."""
+    """One row a distinct score, with counts and running counts from the highest score down, within ``by``, by ranges of scores."""
     g = df.groupBy(*by, score.alias("score")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    w = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*by)
-    return g.select(*by, "score", "p", "q", F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp"), F.sum("p").over(all_).alias("pos"), F.sum("q").over(all_).alias("neg"))
+    totals = g.groupBy(*[F.col(c).alias(f"_t_{c}") for c in by]).agg(F.sum("p").alias("pos"), F.sum("q").alias("neg"))
+    sums = running_sums(g, {"tp": F.col("p"), "fp": F.col("q")}, by, F.desc("score"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in by], F.lit(True))
+    # Without ``by`` the totals are one row.
+    return sums.join(totals if by else F.broadcast(totals), same).select(*by, "score", "p", "q", "tp", "fp", "pos", "neg")
 
 
 def roc_curve(df: DataFrame, score: Column, positive: Column, by: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,24 @@ def order_by_frequency(b: DataFrame) -> DataFrame:
     return pairs.select("basket", F.transform("s", lambda x: x["item"]).alias("items"))
 
 
+def _candidates(level: DataFrame, k: int) -> DataFrame:
+    """items: sets of k + 1 ranks from frequent sets of k with the same prefix, all of whose subsets are frequent."""
+    prefix = lambda c: F.slice(c, 1, k - 1) if k > 1 else F.array()
+    a = level.select(F.col("items").alias("a"), prefix(F.col("items")).cast("array<int>").alias("p"))
+    z = level.select(F.element_at("items", -1).alias("last"), prefix(F.col("items")).cast("array<int>").alias("p"))
+    cand = a.join(z, "p").filter(F.element_at("a", -1) < F.col("last")).select(F.array_append("a", F.col("last")).alias("items"))
+    if k == 1:
+        return cand
+    subsets = cand.select("items", F.explode(F.transform(F.col("items"), lambda x: F.array_remove(F.col("items"), x))).alias("s"))
+    return subsets.join(level.select(F.col("items").alias("s")), "s", "left_semi").groupBy("items").agg(F.count("*").alias("c")).filter(F.col("c") == k + 1).select("items")
+
+
+def _named(sets: DataFrame, names: DataFrame) -> DataFrame:
+    """Ranks back to items, sorted."""
+    named = sets.select("items", "n", F.explode("items").alias("r")).join(names.select("item", "r"), "r")
+    return named.groupBy("items", "n").agg(F.array_sort(F.collect_list("item")).alias("named")).select(F.col("named").alias("items"), "n")
+
+
 def apriori(b: DataFrame, least: int, longest: int | None = None) -> DataFrame:
     """items, n: every itemset in at least ``least`` baskets, level by level until one has fewer than two, or to
     ``longest`` items.
@@ -37,20 +57,98 @@ def apriori(b: DataFrame, least: int, longest: int | None = None) -> DataFrame:
     slim = cut(rows.join(names.select("item", "r"), "item").groupBy("basket").agg(F.array_sort(F.collect_set("r")).alias("items")))
     out, k = level, 1
     while (longest is None or k < longest) and level.count() > 1:
-        prefix = lambda c: F.slice(c, 1, k - 1) if k > 1 else F.array()  # noqa: B023, E731
-        a = level.select(F.col("items").alias("a"), prefix(F.col("items")).cast("array<int>").alias("p"))
-        z = level.select(F.element_at("items", -1).alias("last"), prefix(F.col("items")).cast("array<int>").alias("p"))
-        cand = a.join(z, "p").filter(F.element_at("a", -1) < F.col("last")).select(F.array_append("a", F.col("last")).alias("items"))
-        if k > 1:
-            subsets = cand.select("items", F.explode(F.transform(F.col("items"), lambda x: F.array_remove(F.col("items"), x))).alias("s"))
-            cand = subsets.join(level.select(F.col("items").alias("s")), "s", "left_semi").groupBy("items").agg(F.count("*").alias("c")).filter(F.col("c") == k + 1).select("items")
+        cand = _candidates(level, k)
         cand = cand.select("items", F.col("items")[0].alias("item"))
         holds = slim.filter(F.size("items") > k).select(F.col("items").alias("have"), F.explode("items").alias("item"))
         hit = holds.join(cand, "item").filter(F.size(F.array_except("items", "have")) == 0)
         level = cut(hit.groupBy("items").agg(F.count("*").alias("n")).filter(F.col("n") >= least))
         out, k = out.unionByName(level), k + 1
-    named = out.select("items", "n", F.explode("items").alias("r")).join(names.select("item", "r"), "r")
-    return named.groupBy("items", "n").agg(F.array_sort(F.collect_list("item")).alias("named")).select(F.col("named").alias("items"), "n")
+    return _named(out, names)
+
+
+#: Baskets of a range, and the most of them that a list of places holds in less room than a bitmap.
+RANGE, SPARSE = 1 << 16, 1 << 12
+
+
+def pack_tids(places: np.ndarray) -> bytes:
+    """Sorted places in a range: 16 bits each, or from SPARSE on a bit for every place of the range."""
+    if len(places) <= SPARSE:
+        return b"\0" + places.astype("<u2").tobytes()
+    bits = np.zeros(RANGE, bool)
+    bits[places] = True
+    return b"\1" + np.packbits(bits).tobytes()
+
+
+def unpack_tids(packed: bytes) -> np.ndarray:
+    if packed[0] == 0:
+        return np.frombuffer(packed, "<u2", offset=1)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8, offset=1)))
+
+
+def meet_tids(a: bytes, b: bytes) -> tuple[bytes, int]:
+    """What two sets have in common, and how many."""
+    if a[0] and b[0]:
+        both = np.frombuffer(a, np.uint8, offset=1) & np.frombuffer(b, np.uint8, offset=1)
+        n = int(np.bitwise_count(both).sum())
+        return (b"\1" + both.tobytes(), n) if n > SPARSE else (pack_tids(np.flatnonzero(np.unpackbits(both))), n)
+    if a[0]:
+        a, b = b, a
+    x = unpack_tids(a)
+    if b[0]:
+        common = x[(np.frombuffer(b, np.uint8, offset=1)[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1]
+    else:
+        common = np.intersect1d(x, unpack_tids(b), assume_unique=True)
+    return pack_tids(common), len(common)
+
+
+def tid_sets(b: DataFrame) -> DataFrame:
+    """item, range, tids, n: for each item and range of RANGE baskets, numbered in order, the baskets that hold it, packed.
+
+    A row has 8 KB at most, however frequent its item.
+    """
+    numbered = row_index(b, "basket", out="_tid")
+    places = numbered.select(F.explode("items").alias("item"), F.floor(F.col("_tid") / RANGE).cast("int").alias("range"), (F.col("_tid") % RANGE).cast("int").alias("place"))
+    lists = places.groupBy("item", "range").agg(F.array_sort(F.collect_list("place")).alias("places"))
+
+    def run(batches):
+        for batch in batches:
+            lists = [np.array(x, np.int64) for x in batch.column("places").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("range"), pa.array([pack_tids(x) for x in lists], pa.binary()), pa.array([len(x) for x in lists], pa.int64())], names=["item", "range", "tids", "n"])
+
+    kind = lists.schema["item"].dataType.simpleString()
+    return lists.mapInArrow(run, f"item {kind}, range int, tids binary, n long")
+
+
+def vertical(b: DataFrame, least: int, longest: int | None = None) -> DataFrame:
+    """items, n: the itemsets of apriori(), found by intersecting the basket sets of two sets that differ in the last item.
+
+    Candidates never meet baskets: a set of k + 1 items joins those of its two parts range by range, and only the
+    packed sets that remain frequent go on to the next level.
+    """
+    sets = cut(tid_sets(b))
+    frequent = sets.groupBy("item").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    names = cut(row_index(frequent, "n", "item", out="_r").select("item", "n", F.col("_r").cast("int").alias("r")))
+    level = names.select(F.array("r").alias("items"), "n")
+    held = cut(sets.join(names.select("item", "r"), "item").select(F.array("r").alias("items"), "range", "tids"))
+    out, k = level, 1
+
+    def run(batches):
+        for batch in batches:
+            met = [meet_tids(x, y) for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)]
+            kept = pa.array([n > 0 for _, n in met], pa.bool_())
+            whole = pa.RecordBatch.from_arrays([batch.column("items"), batch.column("range"), pa.array([x for x, _ in met], pa.binary()), pa.array([n for _, n in met], pa.int64())], names=["items", "range", "tids", "n"])
+            yield whole.filter(kept)
+
+    while (longest is None or k < longest) and level.count() > 1:
+        cand = _candidates(level, k)
+        parts = cand.select("items", F.slice("items", 1, k).alias("a"), F.concat(F.slice("items", 1, k - 1), F.slice("items", k + 1, 1)).alias("z") if k > 1 else F.slice("items", 2, 1).alias("z"))
+        left = parts.join(held.select(F.col("items").alias("a"), "range", F.col("tids").alias("left")), "a")
+        both = left.join(held.select(F.col("items").alias("z"), "range", F.col("tids").alias("right")), ["z", "range"]).select("items", "range", "left", "right")
+        met = cut(both.mapInArrow(run, "items array<int>, range int, tids binary, n long"))
+        level = cut(met.groupBy("items").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+        held = met.drop("n").join(level.select("items"), "items", "left_semi")
+        out, k = out.unionByName(level), k + 1
+    return _named(out, names)
 
 
 def fp_growth(b: DataFrame, least: int, n_baskets: int) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .relate import running_sums
+
 
 def impurity(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
     """entropy (base 2) and gini of the labels."""
@@ -56,17 +58,22 @@ def fuzzy_weights(df: DataFrame, columns: list[str], label: str, least: float =
     return d.withColumn(out, F.greatest(F.lit(least), F.least(F.lit(1.0), w))).drop("_l", "_d", "_a", "_b", *[f"_c_{x}" for x in columns])
 
 
+def _rank(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
+    """_rank: from 1 within the label, by a hash of key and seed, numbered by ranges."""
+    by_hash = df.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(key)))
+    return running_sums(by_hash, {"_rank": F.lit(1)}, [label], "_hash", key).drop("_hash")
+
+
 def stratified_split(df: DataFrame, key: str, label: str, fraction: float, seed: int = 0) -> DataFrame:
     """is_train: floor(fraction * n) rows of each class, those with the least hash of key and seed."""
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key))
-    return df.withColumn("is_train", rank <= F.floor(F.count("*").over(w) * fraction))
+    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_size"))
+    ranked = _rank(df, key, label, seed).join(sizes, F.col(label).eqNullSafe(F.col("_label")))
+    return ranked.withColumn("is_train", F.col("_rank") <= F.floor(F.col("_size") * fraction)).drop("_rank", "_label", "_size")
 
 
 def folds(df: DataFrame, key: str, label: str, k: int, seed: int = 0) -> DataFrame:
     """fold: 0 .. k - 1, even within each class."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key))
-    return df.withColumn("fold", ((rank - 1) % k).cast("int"))
+    return _rank(df, key, label, seed).withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
 def smote(df: DataFrame, key: str, columns: list[str], minority, per_row: int = 1, k: int = 5, seed: int = 0) -> DataFrame:

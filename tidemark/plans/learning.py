@@ -29,20 +29,30 @@ def baskets_by_frequency(t):
 
 
 _LEAST = 400
-_LEVELS = f"""i AS ({_ITEMS}), o AS (SELECT item AS items, count(*) AS n FROM i GROUP BY 1), p AS (SELECT a.item || '|' || b.item AS items, count(*) AS n FROM i a JOIN i b ON a.basket = b.basket AND a.item < b.item GROUP BY 1),
-q AS (SELECT a.item || '|' || b.item || '|' || c.item AS items, count(*) AS n FROM i a JOIN i b ON a.basket = b.basket AND a.item < b.item JOIN i c ON c.basket = a.basket AND b.item < c.item GROUP BY 1),
-f AS (SELECT * FROM o WHERE n >= {_LEAST} UNION ALL SELECT * FROM p WHERE n >= {_LEAST} UNION ALL SELECT * FROM q WHERE n >= {_LEAST})"""
+# Every subset of the frequent items of every basket is counted.
+_EVERY = f"""i AS ({_ITEMS}), o AS (SELECT item FROM i GROUP BY 1 HAVING count(*) >= {_LEAST}), b AS (SELECT basket, list(item ORDER BY item) AS w FROM i SEMI JOIN o USING (item) GROUP BY 1), u AS (SELECT w, unnest(range(1, (2 ** len(w))::BIGINT)) AS m FROM b),
+f AS (SELECT array_to_string(list_filter(w, lambda x, j: (m >> (j - 1)) & 1 = 1), '|') AS items, count(*) AS n FROM u GROUP BY 1 HAVING count(*) >= {_LEAST})"""
 
 
-@query(f"WITH {_LEVELS} SELECT * FROM f")
+@query(f"WITH {_EVERY} SELECT * FROM f")
 def apriori_levels(t):
-    return itemsets.apriori(_baskets(t), _LEAST, 3).select(_text("items"), "n")
+    return itemsets.apriori(_baskets(t), _LEAST).select(_text("items"), "n")
 
 
-@query(f"WITH {_LEVELS} SELECT * FROM f")
+@query(f"WITH {_EVERY} SELECT * FROM f")
 def fpgrowth_itemsets(t):
     b = _baskets(t)
-    return itemsets.fp_growth(b, _LEAST, b.count()).filter(F.size("items") <= 3).select(_text("items"), "n")
+    return itemsets.fp_growth(b, _LEAST, b.count()).select(_text("items"), "n")
+
+
+@query(f"WITH {_EVERY} SELECT * FROM f")
+def vertical_itemsets(t):
+    return itemsets.vertical(_baskets(t), _LEAST).select(_text("items"), "n")
+
+
+@query(f"WITH i AS ({_ITEMS}), b AS (SELECT basket, row_number() OVER (ORDER BY basket) - 1 AS tid FROM i GROUP BY 1) SELECT item, count(*) AS n, count(DISTINCT tid // 65536) AS ranges FROM i JOIN b USING (basket) GROUP BY 1")
+def item_tid_sets(t):
+    return itemsets.tid_sets(_baskets(t)).groupBy("item").agg(F.sum("n").alias("n"), F.count("*").alias("ranges"))
 
 
 _RULES = f"""t AS (SELECT count(DISTINCT basket)::DOUBLE AS total FROM i), s AS (SELECT string_split(items, '|') AS items, n FROM f), m AS (SELECT items, n, unnest(range(1, (2 ** len(items) - 1)::BIGINT)) AS m FROM s WHERE len(items) > 1),
@@ -51,19 +61,14 @@ r AS (SELECT array_to_string(a, '|') AS antecedent, array_to_string(c, '|') AS c
 SELECT antecedent, consequent, round(s, 9) AS support, round(x, 9) AS antecedent_support, round(y, 9) AS consequent_support, round(conf, 9) AS confidence, round(conf / y, 9) AS lift, round(s - x * y, 9) AS leverage, round(CASE WHEN conf < 1 THEN (1 - y) / (1 - conf) END, 9) AS conviction, round((s - x * y) / nullif(greatest(s * (1 - x), x * (y - s)), 0), 9) AS zhang FROM r"""
 
 
-@query(f"WITH {_LEVELS}, {_RULES}")
+@query(f"WITH {_EVERY}, {_RULES}")
 def association_rules_full(t):
     b = _baskets(t)
-    r = itemsets.rules(itemsets.apriori(b, _LEAST, 3), b.count())
+    r = itemsets.rules(itemsets.apriori(b, _LEAST), b.count())
     return r.select(_text("antecedent"), _text("consequent"), *[F.round(c, 9).alias(c) for c in r.columns[2:]])
 
 
-# The three queries above end at three items, as their SQL does; these go on until a level has fewer than two sets.
-# Their SQL counts every subset of the frequent items of every basket.
-_EVERY = f"""i AS ({_ITEMS}), o AS (SELECT item FROM i GROUP BY 1 HAVING count(*) >= {_LEAST}), b AS (SELECT basket, list(item ORDER BY item) AS w FROM i SEMI JOIN o USING (item) GROUP BY 1), u AS (SELECT w, unnest(range(1, (2 ** len(w))::BIGINT)) AS m FROM b),
-f AS (SELECT array_to_string(list_filter(w, lambda x, j: (m >> (j - 1)) & 1 = 1), '|') AS items, count(*) AS n FROM u GROUP BY 1 HAVING count(*) >= {_LEAST})"""
-
-
+# The names that these had while the three above ended at three items.
 @query(f"WITH {_EVERY} SELECT * FROM f")
 def apriori_all_sizes(t):
     return itemsets.apriori(_baskets(t), _LEAST).select(_text("items"), "n")
@@ -247,7 +252,7 @@ def stratified_split(t):
     return s.groupBy("o_orderstatus").agg(F.count_if("is_train").alias("train"), F.count("*").alias("n"))
 
 
-@query("""WITH n AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderstatus, CAST(unnest(range(5)) AS INTEGER) AS fold, n FROM n ORDER BY 1, 2""" .replace("n FROM n ORDER BY 1, 2", "(n - unnest(range(5)) + 4) // 5 AS n FROM n"))
+@query("""WITH n AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderstatus, CAST(unnest(range(5)) AS INTEGER) AS fold, (n - unnest(range(5)) + 4) // 5 AS n FROM n""")
 def stratified_folds(t):
     return splits.folds(t.orders, "o_orderkey", "o_orderstatus", 5).groupBy("o_orderstatus", "fold").agg(F.count("*").alias("n"))
 
