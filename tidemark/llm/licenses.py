@@ -2,13 +2,14 @@
 
 The automaton holds every substring of the templates' words. A text is streamed through it once: each word moves
 to the longest suffix read so far that some template holds. Where such a match ends it becomes an anchor (place in
-the text, place in a template, length); anchors in the same order in both are chained, and the share of a template
-that a chain covers is its score.
+the text, place in a template, length); anchors in the same order in both are chained. A chain over enough words of
+a template is scored by the share it covers of those words that ordinary sentences don't have.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -39,10 +40,17 @@ TEMPLATES = (
     ("cc", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     ("cc", "Licensed under CC BY-NC 4.0."),
     ("cc", "Licensed under CC BY 4.0."),
+    ("cc", "Licensed under CC BY-SA 4.0."),
+    ("cc", "Licensed under CC BY 3.0."),
+    ("cc", "Licensed under CC BY-SA 3.0."),
     ("cc", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 )
-#: An anchor has so many words; a label needs so large a share of a template in one chain, with no larger gap.
+#: Words of the templates that ordinary sentences have too; the others tell licences.
+COMMON = frozenset("a above all an and any anyone applicable applications are as associated at author authors available basis be but by can code conditions do either even event except file files following for form forms free freely from general has held if in included including international into is it its kind language later law legal library license licensed list made materials may means must name names no not of on one option or org other particular permission possible prior program provided public published purpose related released required rights see shall so software source specific terms that the this to txt under unless use used useful version was which whom will with without work worldwide writing written www you your".split())
+#: An anchor has so many words. A label needs a chain with no larger gap that covers so many words of a template (or all, where it has
+#: fewer) and so large a share of its words that tell licences.
 MIN_ANCHOR = 3
+MIN_WORDS = 8
 MIN_SHARE = 0.6
 MAX_GAP = 30
 
@@ -124,27 +132,29 @@ class Automaton:
             yield len(ids), state, length
 
 
-def chains(anchors: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
-    """(start, end, template words) of chains of (start in text, start in template, length), which come in
-    the order of their ends in the text."""
-    best: list[tuple[int, int, int]] = []  # covered, first start, previous end in the text
+def chains(anchors: list[tuple[int, int, int]], gap: int, telling: list[int]) -> list[tuple[int, int, int, int]]:
+    """(start, end, template words, telling words) of chains of (start in text, start in template, length), which come
+    in the order of their ends in the text. ``telling[i]``: how many of the template's first i words tell licences."""
+    best: list[tuple[int, int, int]] = []  # words covered, telling ones, first start
     for j, (x, y, n) in enumerate(anchors):
-        got = (n, x)
+        got = (n, telling[y + n] - telling[y], x)
         for i in range(j - 1, -1, -1):
             px, py, pn = anchors[i]
             if px + pn < x - gap:
                 break  # so do all before it
             lap = max(0, px + pn - x, py + pn - y)
             if px < x and py < y and lap < n:
-                got = max(got, (best[i][0] + n - lap, best[i][1]))
-        best.append((got[0], got[1], x + n))
-    return [(start, end, cover) for cover, start, end in best]
+                got = max(got, (best[i][0] + n - lap, best[i][1] + telling[y + n] - telling[y + lap], best[i][2]))
+        best.append(got)
+    return [(start, x + n, cover, told) for (cover, told, start), (x, _, n) in zip(best, anchors, strict=True)]
 
 
-def scanner(templates=TEMPLATES, phrases=PHRASES, min_anchor=MIN_ANCHOR, min_share=MIN_SHARE, max_gap=MAX_GAP):
+def scanner(templates=TEMPLATES, phrases=PHRASES, min_anchor=MIN_ANCHOR, min_share=MIN_SHARE, max_gap=MAX_GAP, min_words=MIN_WORDS, common=COMMON):
     vocab: dict[bytes, int] = {}
     labels = [label for label, _ in templates]
     split = [[vocab.setdefault(w, len(vocab)) for w in words_of(t.encode())] for _, t in templates]
+    tells = {k for w, k in vocab.items() if w.decode() not in common}
+    telling = [[0, *accumulate(int(w in tells) for w in t)] for t in split]
     base = [([vocab.setdefault(w, len(vocab)) for w in words_of(p.encode())], label) for p, label in phrases]
     automaton = Automaton(split)
     ends_with = defaultdict(list)
@@ -171,8 +181,10 @@ def scanner(templates=TEMPLATES, phrases=PHRASES, min_anchor=MIN_ANCHOR, min_sha
                     anchors[t] += [(end - length, e - length, length) for e in sorted(places)]
             score, also, spans = 0.0, set(found), []
             for t, each in anchors.items():
-                for start, end, cover in chains(each, max_gap):
-                    share = min(1.0, cover / len(split[t]))
+                for start, end, cover, told in chains(each, max_gap, telling[t]):
+                    if cover < min(min_words, len(split[t])) or not told:
+                        continue
+                    share = min(1.0, told / telling[t][-1])
                     score = max(score, share)
                     if share >= min_share:
                         also.add(labels[t])

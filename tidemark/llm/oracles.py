@@ -1,6 +1,6 @@
 """DuckDB SQL of the corpus queries that SQL can express. The others are held against plain Python in tests/llm."""
 
-from .licenses import MAX_GAP, MIN_ANCHOR, MIN_SHARE, PHRASES, TEMPLATES
+from .licenses import COMMON, MAX_GAP, MIN_ANCHOR, MIN_SHARE, MIN_WORDS, PHRASES, TEMPLATES
 
 _CHAT = r"""
 WITH t AS (
@@ -219,21 +219,23 @@ _LAP = "greatest(0, a[i].x + a[i].n - a[k].x, a[i].y + a[i].n - a[k].y)"
 
 # Equal runs of words are islands on the diagonals of text and template. An anchor is the longest run that ends at a place,
 # where no run goes on one longer.
+_COMMON = ", ".join(f"'{w}'" for w in sorted(COMMON))
 _LICENSES = f"""
 WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, {_LICENSE_WORDS.format("coalesce(text, '')")} AS w FROM documents),
-p AS (SELECT t, label, {_LICENSE_WORDS.format("text")} AS w FROM (VALUES {_TEMPLATE_ROWS}) v(t, label, text)),
+pw AS (SELECT t, label, {_LICENSE_WORDS.format("text")} AS w FROM (VALUES {_TEMPLATE_ROWS}) v(t, label, text)),
+p AS (SELECT *, list_transform(range(len(w) + 1), lambda i: len(list_filter(w[1:i], lambda x: x NOT IN ({_COMMON})))) AS g FROM pw),
 q AS (SELECT r, t, x.i AS i, y.i AS j FROM ({_GRAM.format("r", "t")}) x JOIN ({_GRAM.format("t", "p")}) y USING (g)),
 u AS (SELECT r, t, i, j, {MIN_ANCHOR - 1} + row_number() OVER (PARTITION BY r, t, i - j, island ORDER BY i) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY r, t, i - j ORDER BY i) AS island FROM q)),
 l AS (SELECT r, i, max(n) AS n FROM u GROUP BY 1, 2), e AS (SELECT l.* FROM l LEFT JOIN l m ON l.r = m.r AND m.i = l.i + 1 WHERE m.n IS DISTINCT FROM l.n + 1),
-c AS (SELECT u.r, u.t, list({{'x': u.i - u.n, 'y': u.j - u.n, 'n': u.n}} ORDER BY u.i, u.j) AS a FROM u JOIN e ON u.r = e.r AND u.i = e.i AND u.n = e.n GROUP BY 1, 2),
+c AS (SELECT u.r, u.t, list({{'x': u.i - u.n, 'y': u.j - u.n, 'n': u.n}} ORDER BY u.i, u.j) AS a, any_value(p.g) AS g FROM u JOIN e ON u.r = e.r AND u.i = e.i AND u.n = e.n JOIN p ON p.t = u.t GROUP BY 1, 2),
 d AS (
-  SELECT r, t, a, 1::BIGINT AS k, list_transform(a[1:0], lambda v: {{'cover': v.n, 'start': v.x}}) AS best FROM c
+  SELECT r, t, a, g, 1::BIGINT AS k, list_transform(a[1:0], lambda v: {{'cover': v.n, 'told': v.n, 'start': v.x}}) AS best FROM c
   UNION ALL
-  SELECT r, t, a, k + 1, list_append(best, list_max(list_concat([{{'cover': a[k].n, 'start': a[k].x}}], list_transform(list_filter(range(1, k), lambda i: a[i].x + a[i].n >= a[k].x - {MAX_GAP} AND a[i].x < a[k].x AND a[i].y < a[k].y AND {_LAP} < a[k].n),
-    lambda i: {{'cover': best[i].cover + a[k].n - {_LAP}, 'start': best[i].start}})))) FROM d WHERE k <= len(a)
+  SELECT r, t, a, g, k + 1, list_append(best, list_max(list_concat([{{'cover': a[k].n, 'told': g[a[k].y + a[k].n + 1] - g[a[k].y + 1], 'start': a[k].x}}], list_transform(list_filter(range(1, k), lambda i: a[i].x + a[i].n >= a[k].x - {MAX_GAP} AND a[i].x < a[k].x AND a[i].y < a[k].y AND {_LAP} < a[k].n),
+    lambda i: {{'cover': best[i].cover + a[k].n - {_LAP}, 'told': best[i].told + g[a[k].y + a[k].n + 1] - g[a[k].y + {_LAP} + 1], 'start': best[i].start}})))) FROM d WHERE k <= len(a)
 ),
 s AS (SELECT r, t, unnest(best) AS b, unnest(list_transform(a, lambda v: v.x + v.n)) AS e FROM d WHERE k > len(a)),
-o AS (SELECT r, p.label, b.start AS s, e, least(1.0::DOUBLE, b.cover / len(p.w)::DOUBLE) AS share FROM s JOIN p USING (t)),
+o AS (SELECT r, p.label, b.start AS s, e, least(1.0::DOUBLE, b.told / p.g[-1]::DOUBLE) AS share FROM s JOIN p USING (t) WHERE b.cover >= least({MIN_WORDS}, len(p.w)) AND b.told > 0),
 f AS (SELECT r, v.label, i - 1 AS i FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM t) JOIN (VALUES {_PHRASE_ROWS}) v(label, phrase) ON w[i] = string_split(phrase, ' ')[1] AND array_to_string(w[i : i + len(string_split(phrase, ' ')) - 1], ' ') = phrase),
 fs AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM f GROUP BY 1),
 os AS (SELECT r, max(share) AS score, coalesce(list(DISTINCT label) FILTER (WHERE share >= {MIN_SHARE}::DOUBLE), []) AS found FROM o GROUP BY 1),
