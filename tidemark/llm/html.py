@@ -1,12 +1,15 @@
 """HTML extraction: flat text blocks, classified by a decision tree.
 
-A page becomes a flat list of text blocks. Each has its word count and link density, those of its neighbours, where
-it stands (an article, a container that is or names itself as something else, neither), and how much of the page's
-open text stands in articles. A small decision tree, trained here on labelled pages, says which blocks are main text.
+A page becomes a flat list of text blocks. Each has its word count and link density, those of its neighbours, whether it
+is a heading, whether it stands in an article, and how much of the page's text stands in better places than it does: a
+container that is or names itself something else, or a form, gives way to open text, and open text to an article. A
+small decision tree, trained here on a labelled table, says which blocks are main text. Names are weak evidence: one
+counts only if all its parts say so, and where no text is open, words, links and neighbours decide.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections import defaultdict
 from dataclasses import dataclass
@@ -26,6 +29,10 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "cente
 OTHER = {"nav", "header", "footer", "aside", "menu", "dialog", "button", "label"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "alertdialog", "form"}
 NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disqus", "footer", "form", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "paywall", "popup", "promo", "promoted", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget"}
+#: Parts of such names that say nothing by themselves (``site-footer``, ``shareButtons``).
+BLANK = {"area", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "column", "container", "fixed", "global", "group", "icons", "inner", "item", "items", "js", "large", "left", "link", "links", "list", "main", "media", "message", "mobile", "new", "outer", "overlay", "panel", "posts", "primary", "right", "secondary", "section", "site", "slot", "small", "sticky", "text", "title", "top", "unit", "up", "wrap", "wrapper"}
+#: Names that in an article are the article's own.
+IN_ARTICLE = {"byline", "tags", "header", "masthead"}
 #: Names of an article that is a reader's or something beside the page's own.
 NOT_ARTICLE = {"comment", "comment-body", "reply", "related", "promo", "advert", "advertisement", "ad", "sponsored", "teaser"}
 #: What may stand in a head; elements of the foreign kind, which alone can end in their start tag.
@@ -51,10 +58,8 @@ _TOKEN = re.compile(rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]
 _ATTR = re.compile(rf"""({_KEY})(?:{_S}*={_S}*("[^"]*"|'[^']*'|[^ \t\n\f\r>]*))?""")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Words that make a name say something else (``with-sidebar``), and whose header is the article's own.
-BESIDE = {"has", "with", "without", "no", "show", "hide", "open", "closed", "off"}
-OWN = {"article", "post", "entry", "content", "story", "main"}
-HEADERS = {"header", "masthead"}
+#: Names of main text; an element that has one is nothing else.
+OWN = {"article", "content", "entry", "main", "post", "story"}
 #: Where a block stands: nowhere known, in what names itself something else than main text, in an article, in an element
 #: (or role) that never holds main text, in a form.
 UNKNOWN, NOT_MAIN, MAIN, CHROME, FORM = range(5)
@@ -66,19 +71,20 @@ class Block:
     words: int
     linked: int
     place: int
+    heading: bool = False
 
     @property
     def density(self) -> float:
         return min(1.0, self.linked / self.words) if self.words else 0.0
 
 
-def _says_other(name: str, inside: int) -> bool:
-    """Whether one class or id names something else than main text."""
-    words = {w.lower() for w in _NAME.findall(name)}
-    found = NAMES & words
-    if inside == MAIN or OWN & words:
-        found -= HEADERS
-    return bool(found) and not BESIDE & words
+def _says_other(names: list[str], inside: int) -> bool:
+    """Whether classes and ids name something else than main text: one of them does in all its parts, and none names main text."""
+    parts = [{w.lower() for w in _NAME.findall(name)} for name in names]
+    if any(p and p <= OWN for p in parts):
+        return False
+    mine = NAMES - IN_ARTICLE if inside == MAIN else NAMES
+    return any(p & mine and p <= mine | BLANK for p in parts)
 
 
 def _attributes(attrs: str) -> dict[str, str]:
@@ -112,7 +118,7 @@ def _place(tag: str, attrs: str, inside: int) -> int:
         return MAIN
     if tag == "article" or role == "article":
         return NOT_MAIN if any(x.lower() in NOT_ARTICLE for x in names) else inside if inside == NOT_MAIN else MAIN
-    if any(_says_other(x, inside) for x in names):
+    if _says_other(names, inside):
         return NOT_MAIN
     return FORM if tag == "form" and inside != NOT_MAIN else inside
 
@@ -135,7 +141,7 @@ def blocks(html: str) -> list[Block]:
         if text and not mute:
             whole = " ".join(unescape("".join(text)).split())
             if whole:
-                out.append(Block(whole, whole.count(" ") + 1, len(unescape(" ".join(linked)).split()), place))
+                out.append(Block(whole, whole.count(" ") + 1, len(unescape(" ".join(linked)).split()), place, max(where[t][-1] for t in HEADINGS) >= 0))
             text.clear()
             linked.clear()
 
@@ -236,7 +242,9 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-FEATURES = ("other", "named", "form", "main", "words", "density", "prev_words", "prev_density", "next_words", "next_density", "main_share")
+FEATURES = ("rivals", "main", "heading", "words", "density", "prev_words", "prev_density", "next_words", "next_density")
+#: Pages drawn by made_page() that stand beside PAGES in the labelled table, the draw's seed, and rows a leaf has at least.
+MADE, SEED, LEAF = 900, 5, 2
 #: The labelled pages: ``{n}`` stands for n words, ``{+n}`` for n words of main text, ``[...]`` for a link.
 PAGES = (
     "<nav><ul><li>[{1}]<li>[{2}]<li>[{1}]</ul></nav><div class=ad>{7}</div><article><h1>{+8}</h1><p>{+60}<p>{+2}<p>{+110}</article><footer>{12}</footer>",
@@ -264,34 +272,78 @@ PAGES = (
 )
 
 
-def _gini(y: np.ndarray) -> float:
-    p = y.mean() if len(y) else 0.0
-    return 2 * p * (1 - p) * len(y)
-
-
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
-    """A CART: (feature, threshold, left, right) or a leaf's verdict. Ties go to the first feature and threshold."""
-    if depth == 0 or len(set(y.tolist())) < 2:
-        return bool(y.mean() >= 0.5)
+def made_page(rng: random.Random) -> str:
+    """A labelled page in the notation of PAGES: furniture, named or not, round main text whose container says so, says
+    nothing, is a form, or bears a name of furniture."""
+    pick, n = rng.choice, rng.randint
+    links = lambda: " ".join(f"[{{{n(1, 3)}}}]" for _ in range(n(3, 7)))
+    rows = lambda: "<ul>" + "".join(f"<li>[{{{n(1, 9)}}}]</li>" for _ in range(n(2, 7))) + "</ul>"
+    long = lambda: f"<p>{{{n(20, 90)}}}</p>" * n(1, 2)
+    said = pick(["sidebar", "widget", "site-footer", "comments", "cookieBanner", "newsletter-signup", "related-posts", "promo", "share-buttons", "login-box", "notice"])
+    named = lambda body: f"<div {pick(['class', 'id'])}={said}>{body()}</div>"
+    line = lambda: pick([f"<div>{{{n(5, 16)}}}</div>", f"<p>{{{n(5, 14)}}}</p>", f"<div>{{{n(2, 6)}}} [{{{n(1, 3)}}}] [{{{n(1, 3)}}}]</div>"])
+    above = lambda: pick([f"<nav>{rows()}</nav>", f"<header><p>{{{n(2, 20)}}}</p></header>", f"<div>{links()}</div>", rows(), line(), line(), named(long), named(rows), "", "", "", ""])
+    below = lambda: pick([f"<footer>{{{n(4, 40)}}}</footer>", f"<aside>{long()}</aside>", f"<div>{links()}</div>", rows(), line(), line(), line(), named(long), named(rows), "", "", "", ""])
+
+    def part() -> str:
+        kind = rng.random()
+        if kind < 0.68:
+            return f"<p>{{+{n(18, 150)}}}" + (f" [{{+{n(1, 5)}}}] {{+{n(3, 30)}}}" if rng.random() < 0.25 else "") + "</p>"
+        if kind < 0.8:
+            return f"<{(h := pick(['h2', 'h3']))}>{{+{n(1, 9)}}}</{h}><p>{{+{n(25, 120)}}}</p>"
+        if kind < 0.9:
+            return f"<p>{{+{n(2, 14)}}}</p><p>{{+{n(25, 120)}}}</p>"
+        return "<ul>" + "".join(f"<li>{{+{n(3, 20)}}}</li>" for _ in range(n(2, 5))) + f"</ul><p>{{+{n(25, 90)}}}</p>"
+
+    body = (f"<h1>{{+{n(3, 14)}}}</h1>" if rng.random() < 0.85 else "") + f"<p>{{+{n(20, 120)}}}</p>" + "".join(part() for _ in range(n(0, 5)))
+    kind = rng.random()
+    if kind < 0.3:
+        tag = pick(["article", "main", "div role=main"])
+        inner = pick(["", f"<p class=byline>{{+{n(2, 5)}}}</p>", f"<div class=tags>{{+{n(2, 5)}}}</div>", f"<p>[{{+{n(2, 7)}}}]</p>", f"<p>{{+{n(1, 8)}}}</p>"])
+        inner += "".join(pick([f"<p>{{+{n(1, 15)}}}</p>", f"<p>[{{+{n(1, 9)}}}]</p>", f"<li>{{+{n(1, 6)}}} [{{+{n(1, 4)}}}]</li>", f"<h3>{{+{n(1, 6)}}}</h3>"]) for _ in range(n(0, 12)))
+        body = pick([body, body, ""]) or f"<p>{{+{n(1, 12)}}}</p>"
+        beside = pick(["", f"<aside>{long()}</aside>", named(long), f"<form>{{{n(2, 9)}}}<p>{{{n(5, 30)}}}</p></form>"])
+        return f"{above()}{above()}<{tag}>{body}{inner}{beside}</{tag.split()[0]}>{below()}{pick([below(), below(), '', long()])}"
+    wrapped = f"<div{pick(['', '', ' class=page', ' class=social-science', ' id=related-work', ' class=share-price', ' class=post-tags-news'])}>{body}</div>"
+    if kind < 0.6:
+        return f"{above()}{above()}{wrapped}{pick(['', f'<form>{{{n(2, 9)}}}<p>{{{n(5, 40)}}}</p></form>'])}{below()}{below()}"
+    if kind < 0.75:  # a whole page in a form
+        chrome = pick([f"<nav>{rows()}</nav>", f"<div>{links()}</div>", ""])
+        return f"<form{pick(['', ' id=form1', ' id=aspnetForm'])}>{chrome}{wrapped}{pick([line(), f'<footer>{{{n(4, 30)}}}</footer>', ''])}</form>"
+    if kind < 0.92:  # main text where a name says otherwise, and no other
+        said = pick(["widget", "sidebar", "related", "social", "promo", "notice", "banner", "site-header", "share", "tags"])
+        return f"{pick([f'<nav>{rows()}</nav>', f'<div>{links()}</div>', ''])}<div {pick(['class', 'id'])}={said}>{body}{pick([line(), rows(), ''])}</div>{pick([f'<footer>{{{n(4, 30)}}}</footer>', rows(), ''])}"
+    return f"{pick([rows(), line(), named(rows)])}<form>{{{n(1, 4)}}}<p>{{{n(2, 12)}}}</p></form>{pick([line(), f'<footer>{{{n(4, 30)}}}</footer>'])}"
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 20, least: int = LEAF):
+    """A CART by Gini: (feature, threshold, left, right) or a leaf's verdict. Ties go to the first feature and threshold."""
+    verdict = bool(y.mean() >= 0.5)
+    if depth == 0 or len(y) < 2 * least or y.min() == y.max():
+        return verdict
     best = None
     for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for t in (values[1:] + values[:-1]) / 2:
-            left = x[:, f] <= t
-            cost = _gini(y[left]) + _gini(y[~left])
-            if best is None or cost < best[0] - 1e-12:
-                best = cost, f, float(t)
+        order = np.argsort(x[:, f], kind="stable")
+        v, hits = x[order, f], np.cumsum(y[order])
+        n = np.arange(1, len(v))
+        cost = hits[:-1] * (1 - hits[:-1] / n) + (hits[-1] - hits[:-1]) * (1 - (hits[-1] - hits[:-1]) / (len(v) - n))
+        cost[(v[1:] == v[:-1]) | (n < least) | (len(v) - n < least)] = np.inf
+        k = int(cost.argmin())
+        if np.isfinite(cost[k]) and (best is None or cost[k] < best[0] - 1e-9):
+            best = cost[k], f, float((v[k] + v[k + 1]) / 2)
     if best is None:
-        return bool(y.mean() >= 0.5)
+        return verdict
     _, f, t = best
     left = x[:, f] <= t
-    return f, t, grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1)
+    a, b = grow(x[left], y[left], depth - 1, least), grow(x[~left], y[~left], depth - 1, least)
+    return a if isinstance(a, bool) and a is b else (f, t, a, b)
 
 
-def labelled() -> tuple[np.ndarray, np.ndarray]:
-    """The labelled table: a row of features for each block of PAGES, and whether it is main text."""
+def labelled(pages=None) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled table: a row of features for each block of the pages, and whether it is main text."""
+    rng = random.Random(SEED)
     x, y = [], []
-    for page in PAGES:
+    for page in [*PAGES, *(made_page(rng) for _ in range(MADE))] if pages is None else pages:
         page = re.sub(r"\{(\+?)(\d+)\}", lambda m: " ".join(["main" if m[1] else "other"] * int(m[2])), page)
         found = blocks(page.replace("[", "<a>").replace("]", "</a>"))
         x += features(found)
@@ -305,11 +357,13 @@ def tree():
 
 
 def features(all_blocks: list[Block]) -> list[list[float]]:
-    """A row of FEATURES for each block of a page."""
-    total = [sum(b.words for b in all_blocks if b.place == p) for p in (MAIN, UNKNOWN)]
-    share = total[0] / max(1, sum(total))
+    """A row of FEATURES for each block of a page. Rivals: the share of the text, up to where the block stands, in better places:
+    for open text that in articles, for text in forms or under names of furniture all that is open; always 1 in chrome."""
+    total = [sum(b.words for b in all_blocks if b.place == p) for p in (MAIN, UNKNOWN, NOT_MAIN, FORM)]
+    opened = sum(total[:2]) / max(1, sum(total))
+    rivals = {MAIN: 0.0, UNKNOWN: total[0] / max(1, sum(total[:2])), NOT_MAIN: opened, FORM: opened, CHROME: 1.0}
     near = [(0, 0.0), *((b.words, b.density) for b in all_blocks), (0, 0.0)]
-    return [[*(float(b.place == p) for p in (CHROME, NOT_MAIN, FORM, MAIN)), b.words, b.density, *near[i], *near[i + 2], share] for i, b in enumerate(all_blocks)]
+    return [[rivals[b.place], float(b.place == MAIN), float(b.heading), b.words, b.density, *near[i], *near[i + 2]] for i, b in enumerate(all_blocks)]
 
 
 def main_text(html: str, model=None) -> str:
