@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .balls import nearest
 from .relate import row_index
 
 
@@ -85,24 +86,6 @@ def _blocks(df: DataFrame, fn, schema: str, block: int = 1024) -> DataFrame:
     return left.unionByName(right).groupBy("_i", "_j").applyInPandas(run, schema)
 
 
-def nearest(df: DataFrame, key: str, array: str, k: int, include_self: bool = False) -> DataFrame:
-    """key, mean_distance, nearest: the k nearest other rows, exact, block by block."""
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = _distances(np.stack(a.x.to_numpy()), np.stack(b.x.to_numpy()))
-        ids = b.id.to_numpy()
-        same = a.id.to_numpy()[:, None] == ids[None]
-        d[same] = 0.0 if include_self else np.inf
-        n = min(k, len(ids))
-        order = np.argsort(d, 1, kind="stable")[:, :n]
-        out = pd.DataFrame({"id": np.repeat(a.id.to_numpy(), n), "other": ids[order].ravel(), "d": np.take_along_axis(d, order, 1).ravel()})
-        return out[np.isfinite(out.d)]
-
-    near = _blocks(df.select(F.col(key).alias("id"), F.col(array).cast("array<double>").alias("x")), best, "id long, other long, d double")
-    top = near.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k).alias("n"))
-    return top.select(F.col("id").alias(key), (F.aggregate("n", F.lit(0.0), lambda s, v: s + v["d"]) / F.size("n")).alias("mean_distance"), F.transform("n", lambda v: v["other"]).alias("nearest"))
-
-
 def far_from_others(df: DataFrame, key: str, array: str, k: int, cut_at: float = 2.25) -> DataFrame:
     """nearest() with is_outlier: rows whose mean distance to their k nearest is over ``cut_at``."""
     return nearest(df, key, array, k).withColumn("is_outlier", F.col("mean_distance") > cut_at)

@@ -79,9 +79,9 @@ def folds(df: DataFrame, key: str, label: str, k: int, seed: int = 0) -> DataFra
 def smote(df: DataFrame, key: str, columns: list[str], minority, per_row: int = 1, k: int = 5, seed: int = 0) -> DataFrame:
     """New rows between each minority row and one of its k nearest minority rows; draws hash key and number.
 
-    Neighbours are exact, found block by block (see cluster.nearest), so no task sees all pairs. Keys are numbers.
+    Neighbours are exact, found by reference balls (see balls.nearest), so no task sees all pairs. Keys are numbers.
     """
-    from .cluster import nearest
+    from .balls import nearest
 
     m = df.filter(minority).select(F.col(key).cast("long").alias("a"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
     ids = nearest(m, "a", "x", k).select("a", F.posexplode("nearest").alias("rank", "b"))
