@@ -16,22 +16,23 @@ def planted(rng, n, dim, cosine):
     return a, cosine * a + np.sqrt(1 - cosine**2) * z
 
 
-@pytest.mark.parametrize("pivots", [32, 256, 2048, 8192])
+@pytest.mark.parametrize(("pivots", "dim"), [(32, 64), (256, 64), (1024, 64), (2048, 64), (8192, 64), (32768, 64), (32768, 128), (256, 768), (1024, 768), (10922, 384), (5461, 768)])
 @pytest.mark.parametrize("clustered", [False, True])
-def test_recall_near_the_threshold(pivots, clustered):
+def test_recall_near_the_threshold(pivots, dim, clustered):
     rng = np.random.default_rng(pivots)
-    a, b = planted(rng, 1500, 64, 0.9301)
-    points = rng.normal(size=(pivots, 64))
+    a, b = planted(rng, 1500, dim, 0.9301)
+    points = rng.normal(size=(pivots, dim))
     if clustered:  # a few directions, so that many reference points lie near each vector
-        centres = rng.normal(size=(20, 64))
+        centres = rng.normal(size=(20, dim))
         a = embeddings._unit(centres[rng.integers(0, 20, 1500)] + 0.7 * a * 8)
         z = rng.normal(size=a.shape)
         z = embeddings._unit(z - (z * a).sum(1)[:, None] * a)
         b = 0.9301 * a + np.sqrt(1 - 0.9301**2) * z
-        points = centres[rng.integers(0, 20, pivots)] + 0.7 * rng.normal(size=(pivots, 64))
+        points = centres[rng.integers(0, 20, pivots)] + 0.7 * rng.normal(size=(pivots, dim))
     points = embeddings._unit(points)
-    p, q = embeddings.permutations(a, points), embeddings.permutations(b, points)
-    met = [bool(set(x[: embeddings.POSTED]) & set(y[: embeddings.POSTED])) and len(set(x) & set(y)) >= embeddings.SHARED for x, y in zip(p.tolist(), q.tolist(), strict=True)]
+    posted, depth = embeddings.reach(pivots)
+    p, q = embeddings.permutations(a, points, depth), embeddings.permutations(b, points, depth)
+    met = [bool(set(x[:posted]) & set(y[:posted])) and len(set(x) & set(y)) >= embeddings.SHARED for x, y in zip(p.tolist(), q.tolist(), strict=True)]
     assert np.mean(met) >= 0.9
 
 
@@ -102,3 +103,36 @@ def test_join_finds_the_links_of_large_groups(spark, monkeypatch):
         rows.append((k, " ".join(passage[: int(rng.integers(20, 60))] + own)))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute.jaccard(rows)
+
+
+def test_buckets_beyond_two_to_the_sixteenth(spark, monkeypatch):
+    from tests.llm import brute
+
+    monkeypatch.setattr(jaccard, "PER_BUCKET", 1 / 64)
+    monkeypatch.setattr(jaccard, "FREQUENT", 4)
+    rng, rows = np.random.default_rng(11), []
+    for k in range(80):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+        rows += [(4 * k + i, " ".join(base[: 60 - i])) for i in range(4)]
+    wanted = []
+    first = jaccard.first_pass
+    monkeypatch.setattr(jaccard, "first_pass", lambda docs, buckets: wanted.append(buckets) or first(docs, buckets))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.jaccard(rows) and wanted[0] > 1 << 17
+
+
+def test_every_length_of_vectors_has_its_own_index(spark):
+    rng, rows = np.random.default_rng(12), []
+    for dim in (8, 12, 20):
+        a, b = planted(rng, 400, dim, 0.97)
+        rows += [(f"{dim}", [float(v) for v in x]) for pair in zip(a, b, strict=True) for x in pair]
+    df = spark.createDataFrame([(i, v, "one") for i, (_, v) in enumerate(rows)], "vec_id long, embedding array<double>, label string")
+    _, classes = embeddings._classes(df)
+    pivots = embeddings.choose_pivots(classes)
+    assert {d: p.shape for d, p in pivots.items()} == {d: (32, d) for d in (8, 12, 20)}
+    sizes = embeddings.post(classes, pivots).groupBy("dim", "list").count().collect()
+    assert sum(r["count"] ** 2 for r in sizes) < 0.7 * embeddings.POSTED * 3 * 800**2 and max(r["count"] for r in sizes) < 800
+    got = {r.vec_id: r.component_id for r in embeddings.near_vectors(df).collect()}
+    assert np.mean([got[2 * k] == got[2 * k + 1] for k in range(1200)]) >= 0.9
+    few = embeddings.choose_pivots(classes, most_bytes=32 * 8 * 8 + 100)
+    assert list(few) == [8, 12] and len(few[12]) == 1

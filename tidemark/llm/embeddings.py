@@ -20,10 +20,15 @@ from .components import components
 
 LEAST_COSINE = 0.93
 #: Reference points: about the root of the number of classes, between these and of so many bytes at the most; drawn
-#: from a sample of twice as many classes. Their lists then grow with the root, too, up to 10 ** 9 classes.
+#: from a sample of twice as many classes. Lists then grow with the root, too, while the points do: up to 10 ** 9 classes of
+#: 128 numbers (32,768 points), 1.2 * 10 ** 8 of 384 (10,922), 3 * 10 ** 7 of 768 (5,461), 1.7 * 10 ** 7 of 1,024 (4,096).
 LEAST_PIVOTS, MOST_PIVOTS, PIVOT_BYTES = 32, 32768, 32 << 20
+#: Lengths of vectors that have reference points of their own, the most frequent first; each rarer one has a single list.
+MOST_LENGTHS = 64
 #: Lists that a vector is posted in, reference points compared, and how many of those a candidate shares.
 POSTED, DEPTH, SHARED = 5, 8, 2
+#: Beyond so many reference points the first of two near vectors agree less often: lists and points compared there.
+FEW_PIVOTS, MORE_POSTED, MORE_DEPTH = 1024, 8, 12
 #: A longer list is cut into blocks of about so many, and each pair of blocks is a group of its own.
 BLOCK = 2048
 #: Different reference points of a list up to which sharing is counted with a matrix of them.
@@ -55,16 +60,25 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def choose_pivots(classes: DataFrame, n: int, most: int = MOST_PIVOTS, most_bytes: int = PIVOT_BYTES) -> np.ndarray:
-    """Reference points from a sample of the classes, the same in every run."""
-    want = min(most, max(LEAST_PIVOTS, 1 << round(math.log2(max(n, 1)) / 2)))
-    dim = classes.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if dim is None:
-        return np.zeros((1, 1))
-    usual = dim["dim"]
-    want = max(1, min(want, most_bytes // (8 * usual)))
-    rows = classes.filter(F.size("v") == usual).orderBy(F.xxhash64("node"), "node").limit(2 * want).select("v").toArrow()
-    return _unit(_matrix(rows.column("v")))[:want]
+def choose_pivots(classes: DataFrame, most: int = MOST_PIVOTS, most_bytes: int = PIVOT_BYTES) -> dict[int, np.ndarray]:
+    """Reference points by length of vectors, from samples of the classes of that length, the same in every run.
+
+    The more frequent lengths come first and may take what ``most_bytes`` has left.
+    """
+    lengths = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(MOST_LENGTHS).collect()
+    out: dict[int, np.ndarray] = {}
+    for dim, n in lengths:
+        want = min(most, max(LEAST_PIVOTS, 1 << round(math.log2(n) / 2)), most_bytes // (8 * dim))
+        if want > 0:
+            rows = classes.filter(F.size("v") == dim).orderBy(F.xxhash64("node"), "node").limit(2 * want).select("v").toArrow()
+            out[dim] = _unit(_matrix(rows.column("v")))[:want]
+            most_bytes -= out[dim].nbytes
+    return out
+
+
+def reach(pivots: int) -> tuple[int, int]:
+    """Lists that a vector is posted in and reference points compared, with so many reference points."""
+    return (POSTED, DEPTH) if pivots <= FEW_PIVOTS else (MORE_POSTED, MORE_DEPTH)
 
 
 def permutations(x: np.ndarray, pivots: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -84,7 +98,7 @@ def permutations(x: np.ndarray, pivots: np.ndarray, depth: int = DEPTH) -> np.nd
     return np.concatenate(out).astype(np.int32) if out else np.zeros((0, depth), np.int32)
 
 
-def post(classes: DataFrame, pivots: np.ndarray, posted: int = POSTED) -> DataFrame:
+def post(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     """The inverted lists: list, node, label, dim, and the class's permutation, vector and size."""
 
     def run(batches):
@@ -96,8 +110,8 @@ def post(classes: DataFrame, pivots: np.ndarray, posted: int = POSTED) -> DataFr
                 rows = b.filter(pa.array(sizes == dim))
                 raw = _matrix(rows.column("v"))
                 x = _unit(raw)
-                # Vectors of another length have no reference points in common; they share one list.
-                perm = permutations(x, pivots) if dim == pivots.shape[1] else np.zeros((len(x), 1), np.int32)
+                posted, depth = reach(len(pivots[dim])) if dim in pivots else (1, 1)
+                perm = permutations(x, pivots[dim], depth) if dim in pivots else np.zeros((len(x), 1), np.int32)
                 for k in range(min(posted, perm.shape[1])):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(perm[:, k].astype(np.int32)), rows.column("node"), rows.column("label"), pa.array(np.full(len(x), dim, np.int32)), pa.array([p.tobytes() for p in perm], pa.binary()), pa.array([r.tobytes() for r in raw], pa.binary()), rows.column("m")],
@@ -159,8 +173,8 @@ def join_list(which: int, perm: np.ndarray, x: np.ndarray, left: np.ndarray, rig
     return np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
 
 
-def link(postings: DataFrame, least: float, posted: int = POSTED, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
-    """node, n (linked vectors found in a group), other (a link of the group's spanning forest, or null)."""
+def link(postings: DataFrame, least: float, posted: dict[int, int], shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+    """node, n (linked vectors found in a group), other (a link of the group's spanning forest, or null). ``posted``: lists of a vector by length."""
     counts = postings.groupBy("label", "dim", "list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     counts = staged(counts.select(F.col("label").alias("c_label"), F.col("dim").alias("c_dim"), F.col("list").alias("c_list"), "blocks"), "vector-lists")
     n = counts.count()
@@ -180,7 +194,7 @@ def link(postings: DataFrame, least: float, posted: int = POSTED, shared: int =
         kind = np.float64 if len(xs[0]) == 8 * dim else np.float32
         x = _unit(np.stack([np.frombuffer(xs[k], kind) for k in order]))
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        a, b = join_list(which, perm, x, left, right, i == j, least, posted, shared)
+        a, b = join_list(which, perm, x, left, right, i == j, least, posted.get(dim, 1), shared)
         n = np.bincount(a, m[b], len(node)) + np.bincount(b, m[a], len(node))
         use = _forest(a, b, len(node))
         got = np.flatnonzero(n)
@@ -205,8 +219,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     of another than the usual length meet in a list of their own length.
     """
     rows, classes = _classes(pick(vectors, vec_id=id_col, embedding=vector_col, label=label_col))
-    pivots = choose_pivots(classes, classes.count())
-    found = staged(link(post(classes, pivots), least), "vector-links")
+    pivots = choose_pivots(classes)
+    posted = {dim: reach(len(p))[0] for dim, p in pivots.items()}
+    found = staged(link(post(classes, pivots), least, posted), "vector-links")
     parts = components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("node").agg(F.sum("n").alias("n"))
     own = classes.select("node", "m", "least").join(links, "node", "left").join(parts, "node", "left")

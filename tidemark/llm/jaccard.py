@@ -38,6 +38,8 @@ BROADCAST_ROWS, BROADCAST_KEYS = 250_000, 4_000_000
 #: Prefix shingles in a bucket, about; texts and shingles in a block of a large group; shingles that one task takes at
 #: a time, about.
 PER_BUCKET, BLOCK, BLOCK_SHINGLES, PER_TASK = 1_000_000, 2048, 1_000_000, 2_000_000
+#: Buckets grow with the text, to 2 ** 30 (16 petabytes), where a bucket and 32 more bits leave two bits of a hash.
+MOST_BUCKET_BITS = 30
 #: Texts that are dealt to a place beside their leader's set.
 PER_PLACE = 64
 #: Text bytes that are hashed at a time.
@@ -125,7 +127,7 @@ def first_pass(docs: DataFrame, buckets: int) -> DataFrame:
     shingles that several classes of the batch have (short, shared)."""
     names = [c.split()[0] for c in _FIRST.split(", ")]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    mask = np.uint64(buckets - 1)
+    mask, bits = np.uint64(buckets - 1), np.uint64(_bits(buckets))
 
     def table(ids, **cols):
         n = len(next(iter(cols.values())))
@@ -160,16 +162,17 @@ def first_pass(docs: DataFrame, buckets: int) -> DataFrame:
                 owner, tok = np.where(twice, SEVERAL, short[owner])[new], tok[new]
                 b = (tok & mask).astype(np.int64)
                 order = np.argsort(b, kind="stable")
-                tok, owner, b = (tok[order] >> np.uint64(20)).astype(np.uint32), owner[order], b[order]
-                edges = np.searchsorted(b, np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(edges)).tolist()
-                yield table(ids, bucket=full, tok=[tok[edges[k] : edges[k + 1]].tobytes() for k in full], owner=[_pack(owner[edges[k] : edges[k + 1]]) for k in full])
+                tok, owner, b = (tok[order] >> bits).astype(np.uint32), owner[order], b[order]
+                full, start = np.unique(b, return_index=True)
+                edges = [*start.tolist(), len(b)]
+                yield table(ids, bucket=full, tok=[tok[x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)], owner=[_pack(owner[x:y]) for x, y in zip(edges, edges[1:], strict=False)])
 
     return docs.mapInArrow(run, _FIRST.format(kind))
 
 
-def meet(first: DataFrame) -> DataFrame:
+def meet(first: DataFrame, buckets: int) -> DataFrame:
     """In each bucket, how many prefix shingles of a class another one has: short, shared; or token, times of frequent ones."""
+    bits = _bits(buckets)
 
     def run(key, table):
         tok = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("tok").to_pylist()])
@@ -187,15 +190,19 @@ def meet(first: DataFrame) -> DataFrame:
         give_back()
         return pa.table({
             "short": pa.array(np.r_[v, none], mask=np.r_[np.zeros(len(v), bool), np.ones(len(often), bool)]), "shared": np.r_[n, none],
-            "token": np.r_[np.zeros(len(v), np.int64), (tok[new][often].astype(np.int64) << 16) | bucket], "times": np.r_[np.zeros(len(v), np.int64), times[often]],
+            "token": np.r_[np.zeros(len(v), np.int64), (tok[new][often].astype(np.int64) << bits) | bucket], "times": np.r_[np.zeros(len(v), np.int64), times[often]],
         })
 
     return first.filter("bucket is not null").select("bucket", "tok", "owner").groupBy("bucket").applyInArrow(run, "short long, shared long, token long, times long")
 
 
+def _bits(buckets: int) -> int:
+    return buckets.bit_length() - 1
+
+
 def _tokens(s: np.ndarray, buckets: int) -> np.ndarray:
-    """The short form of shingles that meet() gives its frequent ones in."""
-    return (((s >> np.uint64(20)) & np.uint64(0xFFFFFFFF)).astype(np.int64) << 16) | (s & np.uint64(buckets - 1)).astype(np.int64)
+    """The short form of shingles that meet() gives its frequent ones in: the bucket's bits and 32 more."""
+    return (s & np.uint64((buckets << 32) - 1)).astype(np.int64)
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
@@ -450,9 +457,9 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 << max(6, min(16, round(np.log2(max(1, size / 15 / PER_BUCKET)))))
+    buckets = 1 << max(6, min(MOST_BUCKET_BITS, math.ceil(math.log2(max(1, size / 15 / PER_BUCKET)))))
     first = staged(first_pass(docs, buckets), "jaccard-first")
-    met = staged(meet(first), "jaccard-met")
+    met = staged(meet(first, buckets), "jaccard-met")
     shared = met.filter("short is not null").select("short", "shared").unionByName(first.filter("short is not null").select("short", "shared"))
     shared = shared.groupBy(F.col("short").alias("s")).agg(F.sum("shared").alias("shared"))
     rows = first.filter("key is not null").select("doc_id", "key", "n", "node")
