@@ -219,40 +219,3 @@ def top_loadings(loadings: DataFrame, n: int = 20) -> DataFrame:
 
     rank = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("loading"), "feature"))
     return loadings.withColumn("rank", rank).filter(F.col("rank") <= n)
-
-
-def linkage(df: DataFrame, key: str, array: str, clusters: int, method: str = "complete", most: int = 2000) -> DataFrame:
-    """key, cluster by agglomeration in one task. For up to ``most`` rows; more raise an error.
-
-    The nearest pair (first of equals) is merged and its distances updated in place, so a merge costs one row.
-    """
-    n = df.count()
-    if n > most:
-        raise ValueError(f"{n} rows; linkage takes {most} at most")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = np.stack(pdf.x.to_numpy())
-        d = _distances(x, x)
-        np.fill_diagonal(d, np.inf)
-        label, size, alive = np.arange(len(x)), np.ones(len(x)), len(x)
-        while alive > clusters:
-            i, j = sorted(divmod(int(d.argmin()), len(x)))
-            if method == "complete":
-                new = np.maximum(d[i], d[j])
-            elif method == "single":
-                new = np.minimum(d[i], d[j])
-            else:  # ward
-                a, b, c = size[i], size[j], size
-                new = np.sqrt(np.maximum(((a + c) * d[i] ** 2 + (b + c) * d[j] ** 2 - c * d[i, j] ** 2) / (a + b + c), 0))
-                new[~np.isfinite(d[i]) | ~np.isfinite(d[j])] = np.inf
-            d[i], d[:, i] = new, new
-            d[i, i] = np.inf
-            d[j], d[:, j] = np.inf, np.inf
-            size[i] += size[j]
-            label[label == j] = i
-            alive -= 1
-        return pd.DataFrame({"id": pdf.id, "cluster": pd.factorize(label)[0]})
-
-    rows = df.select(F.col(key).alias("id"), F.col(array).cast("array<double>").alias("x"), F.lit(0).alias("_g"))
-    return rows.groupBy("_g").applyInPandas(run, "id long, cluster long").withColumnRenamed("id", key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from ..operators import anomaly, cluster, linalg, models, relate, series, signal, splits
+from ..operators import anomaly, cluster, linalg, linkage, models, relate, series, signal, splits
 from .registry import query
 from .relations import _BETWEEN, _FILLED, _KNOWN, hourly
 
@@ -277,7 +277,7 @@ r AS (SELECT i, i AS c, 0 AS round FROM n UNION ALL (WITH m AS (SELECT p.c AS c,
 l AS (SELECT i, c FROM r WHERE round = (SELECT max(round) FROM r)) SELECT n.c_nationkey, dense_rank() OVER (ORDER BY l.c) - 1 AS cluster FROM l JOIN n USING (i)""")
 def complete_linkage_small(t):
     n = t.customer.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("b"), F.count("*").cast("double").alias("n"))
-    return cluster.linkage(n.select("c_nationkey", F.array("b", "n").alias("x")), "c_nationkey", "x", 3)
+    return linkage.linkage(n.select("c_nationkey", F.array("b", "n").alias("x")), "c_nationkey", "x", 3)
 
 
 @query("""WITH s AS (SELECT avg(l_quantity) a, avg(l_extendedprice) b, covar_samp(l_quantity, l_quantity) p, covar_samp(l_quantity, l_extendedprice) q, covar_samp(l_extendedprice, l_extendedprice) r FROM lineitem)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,16 +43,33 @@ class Tables:
         return self._spark
 
 
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. One of our own where it is unset and all of Spark is this process; on a cluster that is an error."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="tidemark-")
+        sc.setCheckpointDir(folder)
+    return (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()).rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that spark.checkpoint.dir names.
+    """Cut the lineage with a checkpoint in the folder that spark.checkpoint.dir names."""
+    _shared_dir(df.sparkSession)
+    return df.checkpoint()
 
-    One of our own where it is unset and all of Spark is this process; on a cluster that is an error.
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in that folder, which goes when the session's file system closes.
+
+    For loops that join their own results: a checkpoint keeps the estimated size of its plan, and as that of a join is the
+    product of both, the numbers' digits double each round until planning takes all the time. A table has its files' size.
     """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_shared_dir(spark)}/stored-{uuid.uuid4().hex}")
+    df.write.parquet(path.toString())
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(path.toString())
