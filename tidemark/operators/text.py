@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import spaced_tokens
 from .relate import row_index
 
+#: Characters on which a task trains word vectors.
+TRAINED = 1 << 25
+
 
 def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, pos (from 0), token."""
@@ -75,10 +80,17 @@ def json_messages(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.posexplode(m).alias("n", "message"))
 
 
-def word_vectors(t: DataFrame, key: str, size: int = 32, reach: int = 5, least: int = 5, seed: int = 1) -> DataFrame:
-    """token, vector by MLlib's Word2Vec (skip-gram, a substitute for a continuous bag of words)."""
+def word_vectors(df: DataFrame, text: str, size: int = 32, reach: int = 5, least: int = 5, seed: int = 1, share: int = TRAINED) -> DataFrame:
+    """token, vector by MLlib's Word2Vec (skip-gram, a substitute for a continuous bag of words).
+
+    A text is a row of words from the start, so nothing is gathered by key. A task trains on about ``share`` characters; from
+    two tasks on, a word's vector is the mean of those of the tasks that had it.
+    """
     from pyspark.ml.feature import Word2Vec
 
-    lines = t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("s")).select(F.transform("s", lambda x: x["token"]).alias("words"))
-    m = Word2Vec(vectorSize=size, windowSize=reach, minCount=least, seed=seed, maxIter=1, inputCol="words", outputCol="v").fit(lines)
+    parts = max(1, math.ceil((df.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0) / share))
+    m = Word2Vec(vectorSize=size, windowSize=reach, minCount=least, seed=seed, maxIter=1, numPartitions=parts, inputCol="words", outputCol="v")
+    lines = df.select(F.coalesce(spaced_tokens(F.col(text)), F.array().cast("array<string>")).alias("words")).persist()  # read twice
+    m = m.fit(lines)
+    lines.unpersist()
     return m.getVectors().withColumnRenamed("word", "token")

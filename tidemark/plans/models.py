@@ -467,7 +467,7 @@ def kernel_margin(t):
 def word_vectors(t):
     from ..operators import text
 
-    return text.word_vectors(text.tokens(t.documents, "doc_id", "text"), "doc_id", 8)
+    return text.word_vectors(t.documents, "text", 8)
 
 
 @query("""SELECT round(x, 6) AS x, round(y, 6) AS y FROM (SELECT i / 10.0::DOUBLE AS x FROM range(11) t(i)), (SELECT j / 10.0::DOUBLE AS y FROM range(11) u(j))""")
