@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.operators import text
+import numpy as np
+import pytest
+
+from tidemark.operators import balls, blocks, cluster, text
 
 
 def test_word_vectors_train_in_several_tasks(spark):
@@ -12,3 +15,49 @@ def test_word_vectors_train_in_several_tasks(spark):
     words = {f"w{i}" for i in range(7)} | {"near", "far"}
     assert {r.token for r in one} == {r.token for r in many} == words
     assert all(abs(v) < 10 for r in many for v in r.vector) and {r.token: r.vector for r in one} != {r.token: r.vector for r in many}
+
+
+def test_contexts_of_texts_equal_those_of_tokens(spark):
+    df = spark.createDataFrame([(1, "The cat, the\nhat."), (2, "a b c d"), (3, "a b c d e"), (4, None), (5, "")], "k int, t string")
+    got = text.text_contexts(df, "t", 2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, text.contexts(text.tokens(df, "k", "t"), "k", 2).select("token", "context").collect()))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def vectors(spark, n, dims, kind):
+    x = np.random.default_rng(3).normal(size=(n, dims)).round(3)
+    x[5] = x[6]
+    x = x.astype(np.float32).astype(float) if kind == "float" else x
+    return x, spark.createDataFrame([(i, [float(v) for v in r], i % 3) for i, r in enumerate(x)], f"k long, x array<{kind}>, label int").repartition(4)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_neighbours_in_many_dimensions_meet_in_blocks(spark, kind, monkeypatch):
+    monkeypatch.setattr(blocks, "number", lambda n, dims: 3)
+    x, df = vectors(spark, 600, 48, kind)
+    seen = []
+    got = {r.k: r for r in balls.nearest(df, "k", "x", 4, count=seen).collect()}
+    assert seen[-1] == 599 * 600 // 2  # pairs, each once (two rows are one point), not visits of rows to balls
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for i in range(len(x)):
+        order = sorted((d[i, j], j) for j in range(len(x)) if j != i)[:4]
+        assert got[i].nearest == [j for _, j in order] and got[i].mean_distance == pytest.approx(np.mean([v for v, _ in order]))
+    flags = cluster.far_from_others(df, "k", "x", 4, 7.0).filter("is_outlier").count()
+    assert flags == sum(r.mean_distance > 7.0 for r in got.values()) and 0 < flags < 600
+
+
+@pytest.mark.parametrize("n", [1, 4])
+def test_silhouettes_by_pairs_of_blocks(spark, n, monkeypatch):
+    x, df = vectors(spark, 90, 5, "double")
+    monkeypatch.setattr(blocks, "number", lambda *_: n)
+    got = {r.k: r.silhouette for r in cluster.silhouette(df.unionByName(spark.createDataFrame([(90, None, 1)], df.schema)), "k", "x", "label").collect()}
+    d, g = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), np.arange(90) % 3
+    for i in range(90):
+        a = d[i, g == g[i]].sum() / 29
+        b = min(d[i, g == c].mean() for c in range(3) if c != g[i])
+        assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-9)
+    assert got[90] == 0
+
+
+def test_blocks_move_rows_in_proportion_up_to_131_000():
+    assert [blocks.number(n, 64) for n in (500, 8192, 100_000, 600_000)] == [1, 8, 8, 37] and blocks.number(10**6, 4096) == 1954

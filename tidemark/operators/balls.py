@@ -2,7 +2,8 @@
 
 Points belong to the ball of their nearest reference point. A ball whose centre is further from a row than its radius and
 the distance that the row's k-th neighbour so far has can't hold a nearer one, by the triangle inequality. A row looks
-in its own ball, then in the few nearest others, and then only where that bound leaves room.
+in its own ball, then in the few nearest others, and then only where that bound leaves room. Where it leaves room nearly
+everywhere, as in many dimensions, the rows meet in pairs of blocks instead: all pairs, but in bounded memory.
 """
 
 from __future__ import annotations
@@ -16,15 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from . import blocks
+from .blocks import spans as _spans
+from .blocks import squares
+from .blocks import stack as _stack
 from .relate import running_sums
 
 #: Reference points at most, and their bytes; balls that are looked in before bounds decide; rows that visit a ball in one task.
 MOST_BALLS, BALL_BYTES = 8192, 32 << 20
 PROBES = 4
 BLOCK = 4096
-#: Relative slack of bounds for rounding, and numbers in a block of differences.
+#: Bytes of visits that a task hands over at once, and relative slack of bounds for rounding.
+VISIT_BYTES = 8 << 20
 SLACK = 1e-7
-CELLS = 1 << 21
 
 
 @dataclass
@@ -36,22 +41,6 @@ class Balls:
     radius: np.ndarray
 
 
-def _stack(column) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    n = len(flat)
-    return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), float).reshape(n, -1) if n else np.empty((0, 1))
-
-
-def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared distances, within rounding of the vectors' squares."""
-    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
-
-
-def _spans(n: int, width: int):
-    step = max(1, CELLS // max(1, width))
-    return [slice(i, min(n, i + step)) for i in range(0, n, step)]
-
-
 def build(points: DataFrame) -> Balls:
     """``points``: pid, x (different vectors of one length), and more. Reference points are those of the least hashes, about the root of their number."""
     points = cut(points)
@@ -82,7 +71,8 @@ def build(points: DataFrame) -> Balls:
 
 
 def _visits(balls: Balls, rows: DataFrame, part: str, own: str | None) -> DataFrame:
-    """pid, x, ub, (own,) ball: where each of ``rows`` (pid, x, ub, home) looks. ``part``: 'home', 'near' (PROBES balls) or 'rest'."""
+    """pid, x, ub, (own,) ball: where each of ``rows`` (pid, x, ub, home) looks. ``part``: 'home', 'near' (PROBES balls) or 'rest';
+    with 'tally', n: the number of the rest, in parts."""
     centres, radius, names = balls.centres, balls.radius, ["pid", "x", "ub"] + ([own] if own else [])
     if part == "home":
         return rows.select(*names, F.col("home").alias("ball"))
@@ -98,16 +88,66 @@ def _visits(balls: Balls, rows: DataFrame, part: str, own: str | None) -> DataFr
                 order = np.argsort(low, 1, kind="stable")
                 ok = np.take_along_axis(low, order, 1) <= ub[s][:, None] * (1 + SLACK)
                 ok &= np.isfinite(np.take_along_axis(low, order, 1))
-                ok[:, PROBES:] &= part == "rest"
+                ok[:, PROBES:] &= part != "near"
                 ok[:, :PROBES] &= part == "near"
+                if part == "tally":
+                    yield pa.RecordBatch.from_arrays([pa.array([int(ok.sum())])], names=["n"])
+                    continue
                 i, j = np.nonzero(ok)
-                take = pa.array(i + s.start)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in names], pa.array(order[i, j].astype(np.int32))], names=[*names, "ball"])
+                step = max(1, VISIT_BYTES // (8 * (x.shape[1] + 4)))
+                for at in range(0, len(i), step):
+                    take, ball = pa.array(i[at : at + step] + s.start), order[i[at : at + step], j[at : at + step]].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in names], pa.array(ball)], names=[*names, "ball"])
 
+    if part == "tally":
+        return rows.mapInArrow(run, "n long")
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
     return rows.mapInArrow(run, kinds + ", ball int")
 
 
+def _nearest_of(out: tuple[list, list, list], k: int) -> pa.Table:
+    """pid, other, d: the ``k`` nearest of each row among those found."""
+    cols = [np.concatenate(c) if c else np.empty(0, t) for c, t in zip(out, (np.int64, np.int64, float), strict=True)]
+    if len(cols[0]):
+        order = np.lexsort((cols[1], cols[2], cols[0]))
+        cols = [c[order] for c in cols]
+        first = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
+        place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+        cols = [c[place < k] for c in cols]
+    return pa.table({"pid": pa.array(cols[0], pa.int64()), "other": pa.array(cols[1], pa.int64()), "d": pa.array(cols[2], pa.float64())})
+
+
+def _meet(state: DataFrame, k: int, nb: int) -> DataFrame:
+    """pid, other, d: for each row (pid, x, ub) the nearest ``k`` within ub in each block, itself among them."""
+
+    def add(out, ids, others, x, y, ub, d, margin):
+        limit = (ub * (1 + SLACK)) ** 2
+        if not np.isfinite(limit).all() and k < d.shape[1]:
+            limit = np.minimum(limit, np.partition(d, k - 1, 1)[:, k - 1])
+        i, j = np.nonzero(d <= limit[:, None] + margin)
+        for t in _spans(len(i), x.shape[1]):
+            out[0].append(ids[i[t]])
+            out[1].append(others[j[t]])
+            out[2].append(np.sqrt(((x[i[t]] - y[j[t]]) ** 2).sum(1)))
+
+    def run(a: pa.Table, b: pa.Table | None) -> pa.Table:
+        out = ([], [], [])
+        p = a if b is None else b
+        x, y = _stack(a.column("x")), _stack(p.column("x"))
+        ids, others = a.column("pid").to_numpy(), p.column("pid").to_numpy()
+        near, far = a.column("ub").to_numpy(), p.column("ub").to_numpy()
+        size = (y * y).sum(1)
+        for s in _spans(len(x), len(y)) if len(y) else []:
+            d = squares(x[s], y)
+            margin = SLACK * ((x[s] * x[s]).sum(1)[:, None] + size[None])
+            add(out, ids[s], others, x[s], y, near[s], d, margin)
+            if b is not None:
+                add(out, others, ids[s], y, x[s], far, d.T, margin.T)
+        return _nearest_of(out, k)
+
+    return blocks.meet(state.select("pid", "x", "ub"), "pid", nb, run, "pid long, other long, d double")
+
+
 def _look(balls: Balls, visits: DataFrame, k: int, own: str | None) -> DataFrame:
     """pid, other, d: for each visit the nearest ``k`` points of the ball within ub. With ``own``, only points of another ``own``."""
     share = visits.groupBy("ball").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slots"))  # a row a ball
@@ -133,14 +173,7 @@ def _look(balls: Balls, visits: DataFrame, k: int, own: str | None) -> DataFrame
                     out[0].append(ids[s][i[t]])
                     out[1].append(others[j[t]])
                     out[2].append(np.sqrt(((x[s][i[t]] - y[j[t]]) ** 2).sum(1)))
-        cols = [np.concatenate(c) if c else np.empty(0, t) for c, t in zip(out, (np.int64, np.int64, float), strict=True)]
-        if len(cols[0]):  # the nearest of each row only
-            order = np.lexsort((cols[1], cols[2], cols[0]))
-            cols = [c[order] for c in cols]
-            first = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
-            place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
-            cols = [c[place < k] for c in cols]
-        return pa.table({"pid": pa.array(cols[0], pa.int64()), "other": pa.array(cols[1], pa.int64()), "d": pa.array(cols[2], pa.float64())})
+        return _nearest_of(out, k)
 
     return asked.groupBy("ball", "slot").cogroup(held.groupBy("ball", "slot")).applyInArrow(run, "pid long, other long, d double")
 
@@ -154,13 +187,22 @@ def search(balls: Balls, k: int, count: list | None = None) -> DataFrame:
     none = F.array().cast("array<struct<d: double, other: bigint>>")
     state = points.select("pid", "x", "home", F.lit(math.inf).alias("ub"), none.alias("near"))
     sizes = balls.points.groupBy("ball").agg(F.count("*").alias("size"))
+    best = lambda c: F.slice(F.array_sort(c), 1, k)
     for part in ("home", "near", "rest"):
-        visits = cut(_visits(balls, state.select("pid", "x", "ub", "home"), part, None))
+        rows = state.select("pid", "x", "ub", "home")
+        if part == "rest":
+            n = state.count()
+            nb = blocks.number(n, balls.centres.shape[1])
+            if (_visits(balls, rows, "tally", None).agg(F.sum("n")).first()[0] or 0) > n * nb:  # more rows to move than all pairs of blocks take
+                if count is not None:
+                    count.append(n * (n + 1) // 2)
+                return _meet(state, k, nb).groupBy("pid").agg(best(F.collect_list(F.struct("d", "other"))).alias("near"))
+        visits = cut(_visits(balls, rows, part, None))
         if count is not None:
             count.append(visits.groupBy("ball").agg(F.count("*").alias("n")).join(sizes, "ball").agg(F.coalesce(F.sum(F.col("n") * F.col("size")), F.lit(0))).first()[0])
-        found = _look(balls, visits, k, None).groupBy("pid").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k).alias("new"))
+        found = _look(balls, visits, k, None).groupBy("pid").agg(best(F.collect_list(F.struct("d", "other"))).alias("new"))
         both = state.join(found, "pid", "left")
-        near = F.when(F.col("new").isNull(), F.col("near")).otherwise(F.slice(F.array_sort(F.concat("near", "new")), 1, k))
+        near = F.when(F.col("new").isNull(), F.col("near")).otherwise(best(F.concat("near", "new")))
         state = both.select("pid", "x", "home", near.alias("near"))
         state = cut(state.select("pid", "x", "home", F.when(F.size("near") >= k, F.element_at("near", k)["d"]).otherwise(math.inf).alias("ub"), "near"))
     return state.select("pid", "near")
@@ -172,7 +214,7 @@ def nearest(df: DataFrame, key: str, array: str, k: int, include_self: bool = Fa
     Equal vectors are one point with its k + 1 least keys, however many they are. A row without a finite vector has
     no neighbours and is none. Fewer than k other rows: all of them. A row that is alone: null and an empty array.
     """
-    x = F.col(array).cast("array<double>")
+    x = F.col(array) if df.schema[array].dataType.simpleString() == "array<float>" else F.col(array).cast("array<double>")  # floats are half as much to move
     rows = df.select(F.col(key).cast("long").alias("id"), x.alias("x")).filter(F.col("x").isNotNull() & F.forall("x", lambda v: F.coalesce(F.abs(v) < math.inf, F.lit(False))))
     rows = cut(rows)
     groups = rows.groupBy("x").agg(F.min("id").alias("pid"), F.count("*").alias("n"))
