@@ -42,6 +42,17 @@ def contexts(t: DataFrame, key: str, reach: int) -> DataFrame:
     return t.select(key, "pos", "token", near.alias("context")).filter(~F.exists("context", lambda x: x.isNull()))
 
 
+def text_contexts(df: DataFrame, text: str, reach: int) -> DataFrame:
+    """token, context as contexts() has them, from whole texts: each text's words beside themselves moved by 1 to 2 * ``reach``.
+
+    Nothing is shuffled, and no text is copied for its words.
+    """
+    n = F.greatest(F.size("_w") - 2 * reach, F.lit(0))
+    rows = df.select(spaced_tokens(F.col(text)).alias("_w")).filter(F.size("_w") > 2 * reach)
+    rows = rows.select(F.inline(F.arrays_zip(*[F.slice("_w", i + 1, n).alias(f"w{i}") for i in range(2 * reach + 1)])).alias(*[f"w{i}" for i in range(2 * reach + 1)]))
+    return rows.select(F.col(f"w{reach}").alias("token"), F.array(*[f"w{i}" for i in range(2 * reach + 1) if i != reach]).alias("context"))
+
+
 def unigram_weights(vocab: DataFrame, power: float = 0.75) -> DataFrame:
     """token, weight: n ** power over the sum of all."""
     p = F.pow(F.col("n").cast("double"), F.lit(power))

@@ -110,7 +110,7 @@ def vocabulary_ids(t):
 
 @query(f"""WITH t AS (SELECT *, lag(token, 2) OVER w AS a, lag(token, 1) OVER w AS b, lead(token, 1) OVER w AS c, lead(token, 2) OVER w AS d FROM ({_TOKENS}) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT token, count(*) AS n, count(DISTINCT concat_ws(' ', a, b, c, d)) AS contexts FROM t WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND d IS NOT NULL GROUP BY 1""")
 def context_windows(t):
-    c = text.contexts(_tokens(t), "doc_id", 2)
+    c = text.text_contexts(t.documents, "text", 2)
     return c.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct(F.array_join("context", " ")).alias("contexts"))
 
 
