@@ -238,8 +238,7 @@ def cluster_profile(t):
 @query("""WITH RECURSIVE p AS (SELECT s_suppkey AS k, s_acctbal / 100 AS x, s_nationkey::DOUBLE AS y FROM supplier), e AS (SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 16), r AS (SELECT k AS a, k AS b FROM p UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS s_suppkey, min(b) AS component FROM r GROUP BY 1""")
 def eps_components(t):
     p = t.supplier.select("s_suppkey", (F.col("s_acctbal") / 100).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
-    links = relate.close_pairs(p, "s_suppkey", "x", "y", 4.0)
-    return cluster.connected(links, p, "s_suppkey")
+    return cluster.near_components(p, "s_suppkey", "x", "y", 4.0)
 
 
 @query("""WITH RECURSIVE p AS (SELECT s_suppkey AS k, s_acctbal / 100 AS x, s_nationkey::DOUBLE AS y FROM supplier), e AS (SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON a.k <> b.k AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 16), c AS (SELECT a AS k FROM e GROUP BY 1 HAVING count(*) >= 4),
@@ -247,7 +246,7 @@ r AS (SELECT k AS a, k AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b =
 SELECT p.k AS s_suppkey, coalesce(m.c, n.c) AS component FROM p LEFT JOIN m USING (k) LEFT JOIN n USING (k)""")
 def eps_components_core(t):
     p = t.supplier.select("s_suppkey", (F.col("s_acctbal") / 100).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
-    return cluster.connected(relate.close_pairs(p, "s_suppkey", "x", "y", 4.0), p, "s_suppkey", least=5)
+    return cluster.near_components(p, "s_suppkey", "x", "y", 4.0, least=5)
 
 
 @query()
