@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from tidemark.operators import balls, blocks, cluster, text
+from tidemark.operators import balls, blocks, cluster, models, relate, text
 
 
 def test_word_vectors_train_in_several_tasks(spark):
@@ -61,3 +61,32 @@ def test_silhouettes_by_pairs_of_blocks(spark, n, monkeypatch):
 
 def test_blocks_move_rows_in_proportion_up_to_131_000():
     assert [blocks.number(n, 64) for n in (500, 8192, 100_000, 600_000)] == [1, 8, 8, 37] and blocks.number(10**6, 4096) == 1954
+
+
+@pytest.mark.parametrize(("least", "spread", "n"), [(1, 30, 300), (5, 30, 300), (5, 12, 400), (1, 60, 300)])
+def test_components_of_cells_equal_those_of_links(spark, least, spread, n):
+    rng = np.random.default_rng(n + spread)
+    pts = [(i, float(a), float(b)) for i, (a, b) in enumerate((rng.random((n, 2)) * spread).round(0 if spread == 12 else 1))]
+    pts += [(n + i, 100.0, 100.0) for i in range(6)] + [(n + 6, 102.0, 100.0), (n + 7, 200.0, 0.0), (n + 8, None, 0.0), (n + 9, -0.5, -0.5)]
+    df = spark.createDataFrame(pts, "k long, x double, y double")
+    got = sorted(map(tuple, cluster.near_components(df, "k", "x", "y", 2.0, least).collect()))
+    assert got == sorted(map(tuple, cluster.connected(relate.close_pairs(df, "k", "x", "y", 2.0), df, "k", least).collect()))
+
+
+def test_dense_points_meet_few_others(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.random((4000, 2)) * 10)], "k long, x double, y double")
+    for least in (1, 5):
+        met = []
+        assert {r.component for r in cluster.near_components(df, "k", "x", "y", 2.0, least, met).collect()} == {0}
+        assert sum(met) < 2 * 4000
+
+
+def test_kernel_margin_deals_out_rows_before_features(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(float(a), float(b), float(a * a + b * b > 0.5)) for a, b in rng.random((400, 2)) * 2 - 1], "x double, y double, label double").coalesce(1)
+    seen, whole = [], models.fourier_features
+    monkeypatch.setattr(models, "fourier_features", lambda f, *a: seen.append(f.rdd.getNumPartitions()) or whole(f, *a))
+    monkeypatch.setattr(models, "FITTED", 50, raising=False)
+    out = models.kernel_margin(df, ["x", "y"], "label")
+    assert seen == [8, 1] and out.filter("prediction = label").count() > 360 and out.columns == ["x", "y", "label", "prediction"]

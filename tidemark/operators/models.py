@@ -20,6 +20,10 @@ from ..session import cut
 from .trees import forest
 
 
+#: Rows on which a task fits a kernel margin at most, about.
+FITTED = 100_000
+
+
 def linear_fit(df: DataFrame, features: str, label: str, robust: bool = False) -> DataFrame:
     """term, coefficient: least squares, or Huber's loss (MLlib needs epsilon over 1, so 1.0001)."""
     how = {"loss": "huber", "epsilon": 1.0001, "maxIter": 200, "tol": 1e-9} if robust else {"solver": "normal"}
@@ -296,9 +300,14 @@ def fourier_features(df: DataFrame, columns: list[str], n: int, gamma: float, se
 
 
 def kernel_margin(df: DataFrame, columns: list[str], label: str, weight: str | None = None, n: int = 64, gamma: float = 0.5, seed: int = 1) -> DataFrame:
-    """The rows with a prediction (labels 0, 1) by a linear margin on random Fourier features; with row weights if given."""
-    f = fourier_features(df, columns, n, gamma, seed, "_f").cache()
+    """The rows with a prediction (labels 0, 1) by a linear margin on random Fourier features; with row weights if given.
+
+    A row's features are far larger than the row, so rows are dealt out before they get them, FITTED to a task; the fit keeps
+    its own blocks of them.
+    """
+    rows = df.select(*columns, label, *([weight] if weight else []))
+    parts = math.ceil(rows.count() / FITTED)
+    f = fourier_features(rows.repartition(parts) if parts > 1 else rows, columns, n, gamma, seed, "_f")
     how = {"weightCol": weight} if weight else {}
     model = LinearSVC(featuresCol="_f", labelCol=label, maxIter=50, rawPredictionCol="_r", **how).fit(f)
-    f.unpersist()
-    return model.transform(f).drop("_f", "_r")
+    return model.transform(fourier_features(df, columns, n, gamma, seed, "_f")).drop("_f", "_r")
