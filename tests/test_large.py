@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.tuning import CrossValidator
+from pyspark.sql import functions as F
 
 from tidemark.operators import balls, blocks, cluster, models, relate, text
 
@@ -90,3 +95,35 @@ def test_kernel_margin_deals_out_rows_before_features(spark, monkeypatch):
     monkeypatch.setattr(models, "FITTED", 50, raising=False)
     out = models.kernel_margin(df, ["x", "y"], "label")
     assert seen == [8, 1] and out.filter("prediction = label").count() > 360 and out.columns == ["x", "y", "label", "prediction"]
+
+
+@pytest.mark.parametrize("search", ["forest", "tree"])
+def test_grids_work_their_folds_out_once_and_equal_cross_validation(spark, search):
+    x = np.random.default_rng(5).normal(size=(240, 3)).round(2)
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def label(a, b):
+        read.add(1)
+        return float(a + b * b > 0.5)
+
+    plain = spark.createDataFrame([(i, *map(float, r), i % 3) for i, r in enumerate(x)], "k int, a double, b double, c double, fold int").repartition(4, "k")
+    df = plain.select(array_to_vector(F.array("a", "b", "c")).alias("x"), label("a", "b").alias("y"), "fold")
+    if search == "forest":
+        got, est = models.grid_search(df, "x", "y", "fold", 3, [1, 3], [2, 4]).collect(), RandomForestClassifier(featuresCol="x", labelCol="y", seed=1)
+        grid = [{est.maxDepth: r.depth, est.numTrees: r.trees} for r in got]
+        assert [(r.depth, r.trees) for r in got] == [(1, 2), (1, 4), (3, 2), (3, 4)]
+    else:
+        got, est = models.tree_grid(df, "x", "y", "fold", 3, [None, 2], [2], [3], ("gini",)).collect(), DecisionTreeClassifier(featuresCol="x", labelCol="y", seed=1)
+        grid = [{est.maxDepth: r.depth or 30, est.minInstancesPerNode: r.min_leaf} for r in got]
+        assert [r.depth for r in got] == [None, 2]
+    assert read.value == 240  # no row is worked out twice, whatever the folds and settings
+    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy"), numFolds=3, foldCol="fold").fit(df)
+    assert [r.accuracy for r in got] == pytest.approx(cv.avgMetrics, abs=1e-12) and min(cv.avgMetrics) < 1
+
+
+def test_grids_refuse_folds_out_of_range_or_without_rows(spark):
+    df = spark.createDataFrame([(float(i % 2), i % 3) for i in range(12)], "y double, fold int").withColumn("x", array_to_vector(F.array("y")))
+    for folds, k in ((F.col("fold"), 2), (F.col("fold"), 4), (F.lit(0), 1), (F.when(F.col("fold") > 0, 1), 2)):
+        with pytest.raises(ValueError, match="fold"):
+            models.grid_search(df.withColumn("fold", folds), "x", "y", "fold", k, [1], [1])

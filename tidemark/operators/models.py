@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import math
 import time
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,13 +85,40 @@ def boosted_predict(df: DataFrame, boosted: list[tuple[float, object]]) -> DataF
     return df.withColumns({"score": margin, "prediction": (margin > 0).cast("double")}).drop(*[f"_h{k}" for k in range(len(boosted))])
 
 
+def _fold_accuracy(df: DataFrame, estimator, grid: list[dict], features: str, label: str, fold: str, k: int, parallel: int = 1) -> list[float]:
+    """Mean accuracy over the folds 0 .. k - 1 of each setting in ``grid``, as CrossValidator has it.
+
+    That works the folds out anew for every part it keeps or looks into, and fits the best setting to all rows in the end. Here
+    they are worked out once and kept (on disk where memory ends) while the models of the folds, ``parallel`` at a time, are fitted.
+    """
+    spark = df.sparkSession
+    rows = df.select(features, label, fold).persist()
+    try:
+        sizes = {r[0]: r[1] for r in rows.groupBy(fold).count().collect()}
+        if any(f is None or not 0 <= f < k for f in sizes):
+            raise ValueError(f"{fold} must be from 0 to {k - 1}, found {sorted(sizes, key=str)}")
+        if k < 2 or any(f not in sizes for f in range(k)):
+            raise ValueError(f"{k} folds need two with rows at least, and rows in each; found {sorted(sizes)}")
+
+        def accuracy(at: tuple[int, dict]) -> float:
+            i, setting = at
+            model = estimator.fit(rows.filter(F.col(fold) != i), setting)
+            tried = model.transform(rows.filter(F.col(fold) == i))
+            return tried.agg(F.avg((F.col(model.getPredictionCol()) == F.col(label)).cast("double"))).first()[0]
+
+        with ThreadPool(parallel) as pool:
+            got = pool.map(inheritable_thread_target(spark)(accuracy), [(i, s) for i in range(k) for s in grid], 1)
+    finally:
+        rows.unpersist()
+    return [float(a) for a in np.mean(np.reshape(got, (k, len(grid))), 0)]
+
+
 def grid_search(df: DataFrame, features: str, label: str, fold: str, k: int, depths: list[int], trees: list[int], seed: int = 1) -> DataFrame:
     """depth, trees, accuracy of a random forest over stratified folds given in ``fold``."""
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, seed=seed)
     grid = ParamGridBuilder().addGrid(rf.maxDepth, depths).addGrid(rf.numTrees, trees).build()
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"), numFolds=k, foldCol=fold, seed=seed)
-    m = cv.fit(df)
-    rows = [(int(p[rf.maxDepth]), int(p[rf.numTrees]), float(a)) for p, a in zip(grid, m.avgMetrics, strict=True)]
+    accuracy = _fold_accuracy(df, rf, grid, features, label, fold, k)
+    rows = [(int(p[rf.maxDepth]), int(p[rf.numTrees]), a) for p, a in zip(grid, accuracy, strict=True)]
     return df.sparkSession.createDataFrame(rows, "depth int, trees int, accuracy double")
 
 
@@ -105,8 +133,7 @@ def tree_grid(df: DataFrame, features: str, label: str, fold: str, k: int, depth
     wanted = [(c, d, s, m) for c in criteria for d in depths for s in splits for m in leaves]
     settings = list(dict.fromkeys(real(*w) for w in wanted))
     grid = [{tree.impurity: c, tree.maxDepth: d, tree.minInstancesPerNode: m} for c, d, m in settings]
-    cv = CrossValidator(estimator=tree, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"), numFolds=k, foldCol=fold, seed=seed, parallelism=4)
-    accuracy = dict(zip(settings, map(float, cv.fit(df).avgMetrics), strict=True))
+    accuracy = dict(zip(settings, _fold_accuracy(df, tree, grid, features, label, fold, k, 4), strict=True))
     rows = [(*w, accuracy[real(*w)]) for w in wanted]
     return df.sparkSession.createDataFrame(rows, "criterion string, depth int, min_split int, min_leaf int, accuracy double")
 
