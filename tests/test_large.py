@@ -127,3 +127,18 @@ def test_grids_refuse_folds_out_of_range_or_without_rows(spark):
     for folds, k in ((F.col("fold"), 2), (F.col("fold"), 4), (F.lit(0), 1), (F.when(F.col("fold") > 0, 1), 2)):
         with pytest.raises(ValueError, match="fold"):
             models.grid_search(df.withColumn("fold", folds), "x", "y", "fold", k, [1], [1])
+
+
+def test_offsets_of_running_sums_are_broadcast_up_to_a_limit(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 3 or None, (i * 7) % 200, i % 5) for i in range(200)], "g int, k int, v int").repartition(4)
+    set_before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table too large to be broadcast by its own size
+    try:
+        for sent, joins in ((1000, "BroadcastHashJoin"), (1, "SortMergeJoin")):
+            monkeypatch.setattr(relate, "SENT", sent, raising=False)
+            out = relate.running_sums(df, {"s": F.col("v")}, ["g"], "k")
+            assert joins in out._jdf.queryExecution().executedPlan().toString()
+            want = df.selectExpr("g", "k", "sum(v) over (partition by g order by k) s")
+            assert sorted(map(str, out.select("g", "k", "s").collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", set_before)

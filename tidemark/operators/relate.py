@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
+#: Rows of running_sums()' offsets that are broadcast at most.
+SENT = 200_000
+
 
 def lookup_zero_fill(dim: DataFrame, key: str, facts: DataFrame, fact_key: str) -> DataFrame:
     """Each row of the dimension with n, the facts of its key, 0 where there are none. Facts are counted before the join."""
@@ -60,21 +63,21 @@ def running_sums(df: DataFrame, values: dict[str, Column], group: list[str], *or
     """``df`` with a running sum of each of ``values`` within its group (null is one), up to each row in a given order.
 
     Rows are dealt out by ranges of group and order, so that a large group isn't one task; sums of the ranges, a row for each
-    range and group in it, go before them.
+    range and group in it, go before them. Up to SENT of these are broadcast, so that the rows aren't shuffled once more.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df = df.withColumns({f"_v_{k}": v for k, v in values.items()})
     dealt = cut(df.repartitionByRange(n, *[F.col(c) for c in group], *order).withColumn("_part", F.spark_partition_id()))
     upto = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = dealt.withColumns({k: F.sum(f"_v_{k}").over(upto) for k in values})
-    totals = dealt.groupBy("_part", *group).agg(*[F.sum(f"_v_{k}").alias(k) for k in values])
+    totals = cut(dealt.groupBy("_part", *group).agg(*[F.sum(f"_v_{k}").alias(k) for k in values]))
     before = Window.partitionBy(*group, F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a range
     names = {c: f"_g{i}" for i, c in enumerate(group)}
     offsets = totals.select(F.col("_part").alias("_p"), *[F.col(c).alias(g) for c, g in names.items()], *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_b_{k}") for k in values])
     same = F.col("_part") == F.col("_p")
     for c, g in names.items():
         same = same & F.col(c).eqNullSafe(F.col(g))
-    out = local.join(offsets, same).withColumns({k: F.col(k) + F.col(f"_b_{k}") for k in values})
+    out = local.join(F.broadcast(offsets) if totals.count() <= SENT else offsets, same).withColumns({k: F.col(k) + F.col(f"_b_{k}") for k in values})
     return out.drop("_part", "_p", *names.values(), *[f"{x}{k}" for k in values for x in ("_v_", "_b_")])
 
 
