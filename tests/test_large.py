@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalar
 from tidemark.operators import balls, blocks, cluster, models, relate, text
 
 
@@ -22,6 +23,45 @@ def test_word_vectors_train_in_several_tasks(spark):
     assert all(abs(v) < 10 for r in many for v in r.vector) and {r.token: r.vector for r in one} != {r.token: r.vector for r in many}
 
 
+def test_word_vectors_train_on_shares_without_the_vocabulary(spark, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("MLlib holds the vocabulary in the driver and in each task")
+
+    monkeypatch.setattr("pyspark.ml.feature.Word2Vec.fit", refuse)
+    rng = np.random.default_rng(4)
+    lines = [(" ".join(f"{'ab'[k]}{i}" for i in rng.integers(0, 100, 40)) + f" few{i % 300}",) for i, k in enumerate(rng.integers(0, 2, 1200))]
+    df = spark.createDataFrame([*lines, ("common\u00a0sign",), ("common\u00a0sign",), (None,)], "text string").repartition(3)
+    got = [{r.token: r.vector for r in text.word_vectors(df, "text", 8, share=1 << 16).collect()} for _ in range(2)]
+    assert sorted(got[0]) == sorted(f"{c}{i}" for c in "ab" for i in range(100))  # those of four places are left out
+    assert all(np.allclose(got[0][w], v, atol=1e-9) for w, v in got[1].items())
+
+
+def test_bags_tell_words_of_two_kinds_apart():
+    rng = np.random.default_rng(4)
+    v = np.zeros((601, 8), np.float32)
+    v[:-1] = (rng.random((600, 8)) - 0.5) / 8
+    rows = [np.r_[[600] * 5, rng.integers(0, 300, 20) + 300 * k] for k in rng.integers(0, 2, 20_000)]
+    text.bag_of_words(np.concatenate([*rows, [600] * 5]).astype(np.int32), v, 5, 1)
+    u = v[:-1] / np.linalg.norm(v[:-1], axis=1, keepdims=True)
+    a, b = u[:300].mean(0), u[300:].mean(0)
+    assert min(a @ a, b @ b) > a @ b + 0.3
+
+
+def test_words_of_a_text_are_its_tokens(spark):
+    lines = ["The cat, the\nhat.", "\t a\r\n\u00a0b  c\x0b\f", "", " \n", "?!", None, "x\u2003y.z", "A  B"]
+    got = spark.createDataFrame([(x,) for x in lines], "t string").select(scalar.spaced_words(F.col("t")), F.array_join(scalar.spaced_tokens(F.col("t")), " ")).collect()
+    assert all(a == b for a, b in got) and got[0][0] == "the cat , the hat ."
+
+
+@pytest.mark.parametrize("words", [1, 2, 9])
+def test_bags_of_few_words_stay_finite(words):
+    v = np.zeros((words + 1, 4), np.float32)
+    v[:-1] = np.random.default_rng(1).random((words, 4)) / 4 - 0.125
+    ids = np.r_[np.full(5, words), np.arange(60_000) % words, np.full(5, words)].astype(np.int32)
+    text.bag_of_words(ids, v, 5, 1)
+    assert np.isfinite(v).all() and abs(v).max() <= text.MOST and not v[-1].any()
+
+
 def test_contexts_of_texts_equal_those_of_tokens(spark):
     df = spark.createDataFrame([(1, "The cat, the\nhat."), (2, "a b c d"), (3, "a b c d e"), (4, None), (5, "")], "k int, t string")
     got = text.text_contexts(df, "t", 2)

@@ -111,6 +111,11 @@ def spaced_tokens(text: Column, keep_lines: bool = False) -> Column:
     return F.filter(F.split(F.trim(F.regexp_replace(line, PUNCTUATION, " $1 ")), r"\s+"), lambda w: w != "")
 
 
+def spaced_words(text: Column) -> Column:
+    """The tokens of spaced_tokens() as one text, with a space between two."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), PUNCTUATION, " $1 "), r"\s+", " "))
+
+
 def local_epoch(day: Column, zone: str) -> Column:
     """Seconds from 1970-01-01 UTC to the start of a date in a zone; for sessions whose zone is UTC."""
     return F.unix_timestamp(F.to_utc_timestamp(day.cast("timestamp"), zone))

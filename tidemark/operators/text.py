@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import spaced_tokens
+from ..functions.scalar import spaced_tokens, spaced_words
+from ..session import stored
 from .relate import row_index
 
-#: Characters on which a task trains word vectors.
+#: Characters of a share of the texts, on which word vectors are trained together.
 TRAINED = 1 << 25
+#: Places of a step of that training at most, noise words they share, noise words that count for each, its first rate, the changes that a step
+#: adds up for a word at most, and the most that a component may be.
+STEP, NOISE, NEGATIVE, RATE, LUMP, MOST = 2048, 64, 5, 0.05, 8, 8.0
 
 
 def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -91,17 +97,85 @@ def json_messages(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.posexplode(m).alias("n", "message"))
 
 
-def word_vectors(df: DataFrame, text: str, size: int = 32, reach: int = 5, least: int = 5, seed: int = 1, share: int = TRAINED) -> DataFrame:
-    """token, vector by MLlib's Word2Vec (skip-gram, a substitute for a continuous bag of words).
+def _add(to: np.ndarray, ids: np.ndarray, change: np.ndarray, n: np.ndarray) -> None:
+    """Adds rows of ``n`` changes each; where a word has more than LUMP of them, LUMP times their mean, or steps would overshoot."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    few = np.minimum(1, LUMP / np.add.reduceat(n[order], first)).astype(np.float32)
+    to[ids[first]] = np.clip(to[ids[first]] + np.add.reduceat(change[order], first) * few[:, None], -MOST, MOST)
+
 
-    A text is a row of words from the start, so nothing is gathered by key. A task trains on about ``share`` characters; from
-    two tasks on, a word's vector is the mean of those of the tasks that had it.
+def bag_of_words(ids: np.ndarray, vectors: np.ndarray, reach: int, seed: int) -> None:
+    """Trains ``vectors`` in place, once over all places: the mean of the words ``reach`` either side tells a word from noise words.
+
+    Ids are rows of the vectors; the last row, of zeros, is for places between texts (``reach`` of them part two texts and stand at
+    the ends). Sums over contexts are differences of running sums within a step.
     """
-    from pyspark.ml.feature import Word2Vec
+    pad, span, rng = len(vectors) - 1, 2 * reach + 1, np.random.default_rng(seed)
+    out = np.zeros_like(vectors)
+    drawn = np.cumsum(np.bincount(ids, minlength=pad + 1)[:pad] ** 0.75)
+
+    def moving(x):
+        total = np.cumsum(np.concatenate([np.zeros_like(x[:1]), x]), 0)
+        return total[span:] - total[:-span]
+
+    step = max(16, min(STEP, len(ids) // 64))  # few places take as many steps
+    for at in range(0, len(ids) - 2 * reach, step):
+        rate = np.float32(RATE * max(1e-4, 1 - at / len(ids)))
+        w = ids[at : at + step + 2 * reach]
+        x, known, mid = vectors[w], w < pad, slice(reach, len(w) - reach)
+        n = moving(known.astype(np.float32)) - known[mid]
+        use = np.flatnonzero(known[mid] & (n > 0))
+        if not len(use):
+            continue
+        h, target = (moving(x) - x[mid])[use] / n[use, None], w[mid][use]
+        noise, times = np.unique(np.searchsorted(drawn, rng.random(NOISE) * drawn[-1], "right"), return_counts=True)
+        weight = (times * (rate * NEGATIVE / NOISE)).astype(np.float32)
+        y, z = out[target], out[noise]
+        with np.errstate(over="ignore"):
+            right = rate / (1 + np.exp((h * y).sum(1)))
+            wrong = -weight / (1 + np.exp(-h @ z.T))
+        wrong[target[:, None] == noise] = 0
+        error = np.zeros((len(w) + 2 * reach, x.shape[1]), np.float32)
+        error[use + 2 * reach] = right[:, None] * y + wrong @ z
+        _add(out, np.concatenate([target, noise]), np.concatenate([right[:, None] * h, wrong.T @ h]), np.concatenate([np.ones_like(right), weight * (len(use) / rate)]))
+        _add(vectors, w[known], (moving(error) - error[reach:-reach])[known], np.ones(known.sum()))
+
 
+def word_vectors(df: DataFrame, text: str, size: int = 32, reach: int = 5, least: int = 5, seed: int = 1, share: int = TRAINED) -> DataFrame:
+    """token, vector by a continuous bag of words with noise words. Words of fewer than ``least`` places are left out first.
+
+    Texts are dealt into shares of about ``share`` characters. A share is trained on by one task with its own words alone, from first
+    vectors that hashes of the words give; a word's vector is the mean of those of the shares that had it. Neither the driver nor a
+    task holds the vocabulary, which MLlib's Word2Vec does in each of its tasks.
+    """
     parts = max(1, math.ceil((df.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0) / share))
-    m = Word2Vec(vectorSize=size, windowSize=reach, minCount=least, seed=seed, maxIter=1, numPartitions=parts, inputCol="words", outputCol="v")
-    lines = df.select(F.coalesce(spaced_tokens(F.col(text)), F.array().cast("array<string>")).alias("words")).persist()  # read twice
-    m = m.fit(lines)
-    lines.unpersist()
-    return m.getVectors().withColumnRenamed("word", "token")
+    lines = df.select(spaced_words(F.col(text)).alias("words")).filter("words != ''").withColumn("place", F.monotonically_increasing_id())
+    lines = stored(lines.withColumn("share", F.pmod(F.xxhash64("place"), F.lit(parts)).cast("int")))  # a place stays the same in both readings
+    own = lines.select("share", F.explode(F.split("words", " ")).alias("token")).groupBy("share", "token").agg(F.count("*").alias("n"))
+    own = own.withColumn("n", F.sum("n").over(Window.partitionBy("token"))).filter(F.col("n") >= least)  # a row a share
+    own = own.select("share", "token", F.xxhash64(F.lit(seed), "token").alias("start"))
+
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        words = words.sort_by("token")
+        ids = {w: i for i, w in enumerate(words.column("token").to_pylist())}
+        rows, between = [], np.full(reach, len(ids), np.int32)
+        for i in np.argsort(texts.column("place").to_numpy()):
+            line = [w for w in map(ids.get, texts.column("words")[int(i)].as_py().split(" ")) if w is not None]
+            rows += [between, np.array(line, np.int32)] if line else []
+        start = words.column("start").to_numpy().view(np.uint64)[:, None] + np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            start = (start ^ (start >> np.uint64(shift))) * np.uint64(by)
+        vectors = np.zeros((len(ids) + 1, size), np.float32)
+        vectors[:-1] = ((start >> np.uint64(11)) / 2.0**53 - 0.5) / size
+        if rows:
+            bag_of_words(np.concatenate([*rows, between]), vectors, reach, seed)
+        ends = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * size)
+        return pa.table({"token": words.column("token"), "vector": pa.ListArray.from_arrays(ends, pa.array(vectors[:-1].ravel()))})
+
+    from pyspark.ml.functions import array_to_vector
+
+    trained = lines.groupBy("share").cogroup(own.groupBy("share")).applyInArrow(run, "token string, vector array<float>")
+    means = trained.groupBy("token").agg(*[F.avg(F.col("vector")[i]).alias(f"v{i}") for i in range(size)])
+    return means.select("token", array_to_vector(F.array(*[f"v{i}" for i in range(size)])).alias("vector"))
