@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator
@@ -137,6 +137,27 @@ def test_kernel_margin_deals_out_rows_before_features(spark, monkeypatch):
     assert seen == [8, 1] and out.filter("prediction = label").count() > 360 and out.columns == ["x", "y", "label", "prediction"]
 
 
+def test_kernel_margin_keeps_no_features_and_fits_as_well_as_mllib(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(float(a), float(b), float(np.sin(2 * a) > b) if rng.random() > 0.1 else 0.0, 1.0 + float(a > 0)) for a, b in rng.normal(size=(600, 2))], "x double, y double, label double, w double").coalesce(2)
+    f = models.fourier_features(df, ["x", "y"], 16, 0.5, 1, "f")
+    m = LinearSVC(featuresCol="f", labelCol="label", weightCol="w", maxIter=50).fit(f)
+    waves, rows = models._waves(["x", "y"], 16, 0.5, 1), df.selectExpr("x", "y", "2 * label - 1 _y", "w _w")
+    lost = models.hinge_losses(rows, waves, np.r_[m.coefficients.toArray(), m.intercept][None])[0][0] / df.agg(F.sum("w")).first()[0]
+
+    def refuse(*_):
+        raise AssertionError("MLlib keeps the features of all rows")
+
+    found, descend = [], models.descend
+    monkeypatch.setattr(LinearSVC, "fit", refuse)
+    monkeypatch.setattr(models, "descend", lambda *a: found.append(descend(*a)) or found[-1])
+    assert models.kernel_margin(df, ["x", "y"], "label", "w", n=16).filter("label = prediction").count() > 480
+    assert found[0][1] < 1.02 * lost
+    for bad in (df.withColumn("label", F.lit(2.0)), df.withColumn("w", F.lit(-1.0)), df.limit(0)):
+        with pytest.raises(ValueError, match="kernel margin"):
+            models.kernel_margin(bad, ["x", "y"], "label", "w", n=16)
+
+
 @pytest.mark.parametrize("search", ["forest", "tree"])
 def test_grids_work_their_folds_out_once_and_equal_cross_validation(spark, search):
     x = np.random.default_rng(5).normal(size=(240, 3)).round(2)
